@@ -452,17 +452,23 @@ SELECT listed.*, n_train, n_test FROM listed LEFT JOIN matching USING (config_id
     novels = f"""
 novels AS (SELECT doc_id, author AS novelist, language, title FROM corpora WHERE corpus = 'cl_novels'),
 {TITLE_PLAN.replace(", docs", ", novels").replace("FROM docs", "FROM novels")}"""
-    sql["run_matrix"] = _with(f"""{_matrix_long()},{novels}
+    sql["run_matrix"] = _with(f"""{_matrix_long()},{novels},
+counted AS (
 SELECT config_id, count(DISTINCT split_id) AS n_splits, count(*) FILTER (role = 'train') AS n_train,
   count(*) FILTER (role = 'test') AS n_test
 FROM long GROUP BY config_id
 UNION ALL
-SELECT 'cl_novels/' || l.test_language,
+SELECT 'cl_novels/' || l.test_language AS config_id,
   1 + count(*) FILTER ("overlaps" AND covered),
   (1 + count(*) FILTER ("overlaps" AND covered))
     * (SELECT count(*) FROM novels WHERE language <> l.test_language)
     - coalesce(sum(n_removed) FILTER ("overlaps" AND covered), 0)::BIGINT,
   coalesce(sum(n_test) FILTER (split_id IS NOT NULL), 0)::BIGINT
 FROM languages l LEFT JOIN plan USING (test_language)
-WHERE l.test_language IN ('es', 'en') GROUP BY l.test_language""", CORPORA)
+WHERE l.test_language IN ('es', 'en') GROUP BY l.test_language
+)
+SELECT config_id, coalesce(n_splits, 1) AS n_splits, coalesce(n_train, 0)::BIGINT AS n_train,
+  coalesce(n_test, 0)::BIGINT AS n_test
+FROM (VALUES {', '.join(f"('{c.config_id}')" for c in all_configs())}) AS v(config_id)
+LEFT JOIN counted USING (config_id)""", CORPORA)
     return sql

@@ -30,12 +30,16 @@ def cp1252_is_undefined(content: Column) -> Column:
 
 def decode_cp1252(content: Column) -> Column:
     """Text of windows-1252 bytes. Check cp1252_is_undefined for strictness."""
-    return F.translate(latin1(content), _CONTROLS, _CHARACTERS)
+    plain = latin1(content)
+    # Most texts have none of these bytes, and finding that out is the cheaper part.
+    return F.when(plain.rlike(f"[{_CONTROLS}]"), F.translate(plain, _CONTROLS, _CHARACTERS)).otherwise(plain)
 
 
 def encode_cp1252(text: Column) -> Column:
     """Windows-1252 bytes of a text that holds only characters of that set."""
-    return F.encode(F.translate(text, _CHARACTERS, _CONTROLS), "ISO-8859-1")
+    special = text.rlike(f"[{_CHARACTERS}]")
+    bytewise = F.when(special, F.translate(text, _CHARACTERS, _CONTROLS)).otherwise(text)
+    return F.encode(bytewise, "ISO-8859-1")
 
 
 def strip_blanks(text: Column) -> Column:

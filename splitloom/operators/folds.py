@@ -1,9 +1,9 @@
 """Stratified k-fold as cut points.
 
 Without shuffling, every fold of a class is a block of consecutive documents.
-So k - 1 document ids per class say all about the folds, and any table, however
-wide, gets its fold by looking up its class. Only the few documents around a cut
-are ever sorted.
+So k document ids per class, where each fold begins, say all about the folds, and
+any table, however wide, gets its fold by looking up its class. Only the few
+documents around a cut are ever sorted.
 """
 
 from __future__ import annotations
@@ -42,12 +42,15 @@ def _with_buckets(ids: DataFrame, rows_per_bucket: int) -> tuple[DataFrame, int]
     return bucketed.select("doc_id", "target", F.col("_bucket").cast("int").alias("bucket")), buckets
 
 
-def _sizes_before(classes: DataFrame) -> DataFrame:
+def _sizes_before(classes: DataFrame, buckets: int) -> DataFrame:
     """Add `before`, the size of all classes that begin earlier.
 
     Summed per bucket of first documents and within each bucket, so that many
     classes do not meet in one task.
     """
+    within = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)
+    if buckets == 1:
+        return classes.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     totals = classes.groupBy("bucket").agg(F.sum("size").alias("_total"))
     earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
@@ -60,6 +63,19 @@ def _sizes_before(classes: DataFrame) -> DataFrame:
     return based.withColumn("before", before).drop("_b", "_base")
 
 
+def _with_begins(classes: DataFrame, k: int) -> DataFrame:
+    """Add `begins`: the rank in its class at which each fold begins."""
+    shares = (
+        f"transform(sequence(0, {k} - 1), i -> (before + size - 1 - i + {k}) div {k}"
+        f" - (before - 1 - i + {k}) div {k})"
+    )
+    begins = (
+        f"transform(sequence(0, {k} - 1),"
+        " i -> aggregate(slice(shares, 1, i), 0L, (sum, share) -> sum + share))"
+    )
+    return classes.withColumn("shares", F.expr(shares)).select("target", "size", F.expr(begins).alias("begins"))
+
+
 def fold_cuts(
     docs: DataFrame,
     target: str = "author",
@@ -67,10 +83,13 @@ def fold_cuts(
     doc_id: str = "doc_id",
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """(target, size, cuts): where the second and later folds of each class begin."""
+    """(target, size, cuts): the document at which each fold of a class begins.
+
+    Folds without a document of the class begin where the next one does, or
+    nowhere at the end.
+    """
     if n_splits < 2:
         raise ValueError("at least two folds are needed")
-    k = n_splits
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(target).alias("target"))
     ids = reject(ids, F.col("target").isNull(), "a document without target cannot be stratified")
     ids, buckets = _with_buckets(ids, rows_per_bucket)
@@ -81,60 +100,36 @@ def fold_cuts(
     classes = cells.groupBy("target").agg(
         F.sum("n").alias("size"), F.min("first_id").alias("first_id"), F.min("bucket").alias("bucket")
     )
-    classes = _sizes_before(classes)
-    # Documents of the class in each fold, then the rank at which each later fold begins.
-    classes = classes.withColumn(
-        "shares",
-        F.expr(
-            f"transform(sequence(0, {k} - 1), i -> (before + size - 1 - i + {k}) div {k}"
-            f" - (before - 1 - i + {k}) div {k})"
-        ),
-    ).select(
-        "target",
-        "size",
-        F.expr(
-            f"transform(sequence(1, {k} - 1),"
-            " i -> aggregate(slice(shares, 1, i), 0L, (sum, share) -> sum + share))"
-        ).alias("begins"),
-    )
+    classes = _with_begins(_sizes_before(classes, buckets), n_splits)
     if buckets == 1:
-        at_cuts = classes.select(
-            "target", F.lit(0).alias("bucket"), F.explode(F.array_distinct("begins")).alias("rank"), "begins"
-        )
-        at_cuts = at_cuts.withColumn("begin", F.col("rank"))
+        at_cuts = classes.select("*", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("earlier"))
         near = ids
     else:
         up_to_here = Window.partitionBy("target").orderBy("bucket")
         placed = cells.withColumn("until", F.sum("n").over(up_to_here))
-        held = placed.join(classes, "target").withColumn(
-            "inside",
-            F.expr("filter(array_distinct(begins), b -> b >= until - n and b < until)"),
-        )
-        at_cuts = held.select(
-            "target", "bucket", "begins", F.explode("inside").alias("begin"), "until", "n"
-        ).withColumn("rank", F.col("begin") - (F.col("until") - F.col("n")))
-        at_cuts = stored(at_cuts.select("target", "bucket", "begins", "begin", "rank"))
-        near = ids.join(
-            broadcast_if_small(at_cuts.select("target", "bucket").distinct()), ["target", "bucket"], "left_semi"
+        holds_a_cut = F.expr("exists(begins, b -> b >= until - n and b < until)")
+        at_cuts = stored(
+            placed.join(classes, "target").where(holds_a_cut).select(
+                "target", "bucket", "size", "begins", (F.col("until") - F.col("n")).alias("earlier")
+            )
         )
+        keys = broadcast_if_small(at_cuts.select("target", "bucket"))
+        near = ids.join(keys, ["target", "bucket"], "left_semi")
     in_cell = Window.partitionBy("target", "bucket").orderBy("doc_id")
-    ranked = near.withColumn("rank", F.row_number().over(in_cell).cast("long") - 1)
-    found = ranked.join(at_cuts, ["target", "bucket", "rank"])
-    # Folds without a document of the class begin where the next one does.
-    repeated = F.size(F.filter("begins", lambda begin: begin == F.col("begin")))
-    cuts = found.groupBy("target").agg(
-        F.flatten(F.collect_list(F.array_repeat("doc_id", repeated))).alias("cuts")
-    )
+    ranked = near.withColumn("place", F.row_number().over(in_cell).cast("long") - 1)
+    found = ranked.join(at_cuts, ["target", "bucket"]).withColumn("rank", F.col("earlier") + F.col("place"))
+    times = F.size(F.filter("begins", lambda begin: begin == F.col("rank")))
     result = stored(
-        classes.select("target", "size")
-        .join(cuts, "target", "left")
-        .select("target", "size", F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"))
+        found.withColumn("times", times).where("times > 0").groupBy("target").agg(
+            F.max("size").alias("size"),
+            F.flatten(F.collect_list(F.array_repeat("doc_id", F.col("times")))).alias("cuts"),
+        )
     )
     smallest, largest = result.agg(F.min("size"), F.max("size")).first()
-    if largest is None or largest < k:
-        raise ValueError(f"no class has as many documents as there are folds ({k})")
-    if smallest < k:
-        warnings.warn(f"the smallest class has {smallest} documents for {k} folds", stacklevel=2)
+    if largest is None or largest < n_splits:
+        raise ValueError(f"no class has as many documents as there are folds ({n_splits})")
+    if smallest < n_splits:
+        warnings.warn(f"the smallest class has {smallest} documents for {n_splits} folds", stacklevel=2)
     return result
 
 
@@ -144,7 +139,7 @@ def attach_folds(
     """Add the fold to any table of the same documents; its rows stay where they are."""
     side = broadcast_if_small(cuts.select(F.col("target").alias("_class"), F.col("cuts").alias("_cuts")))
     joined = docs.join(side, F.col(target) == F.col("_class"))
-    fold = F.size(F.filter("_cuts", lambda cut: cut <= F.col(doc_id))).cast("long")
+    fold = F.size(F.filter("_cuts", lambda cut: cut <= F.col(doc_id))).cast("long") - 1
     return joined.withColumn("fold", fold).drop("_class", "_cuts")
 
 

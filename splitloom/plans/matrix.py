@@ -15,7 +15,7 @@ from splitloom.operators.folds import attach_folds, fold_cuts
 from splitloom.operators.heldout import split_heldout_title, title_plan
 from splitloom.operators.joins import lookup_side
 from splitloom.operators.predicates import require_values
-from splitloom.plans.configs import SplitConfig, usable
+from splitloom.plans.configs import SplitConfig, configs_frame, usable
 from splitloom.plans.splits import cv_split, train_test_split
 
 KEYS = ("config_id", "split_id")
@@ -144,7 +144,10 @@ def matrix_summary(
     titled = _of_rule(configs, "titles")
     if titled:
         parts.append(_titles_summary(docs, titled, target, corpus))
-    return reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, parts)
+    # A configuration that matches no document is reported with empty sides.
+    listed = configs_frame(docs.sparkSession, configs).select("config_id")
+    return listed.join(found, "config_id", "left").na.fill({"n_splits": 1, "n_train": 0, "n_test": 0})
 
 
 def _capped(count: Column) -> Column:
