@@ -7,25 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitloom.functions.guards import reject
+from splitloom.functions.guards import failing, reject
 from splitloom.functions.order import seeded_order
+from splitloom.operators.joins import lookup_side
+
+
+# Up to this rank Spark cuts groups inside the scan tasks.
+SMALL_LIMIT = 1000
 
 
 def first_per_group(
-    docs: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, own: str | None = None
+    docs: DataFrame, keys: Sequence[str], n: int, doc_id: str = "doc_id", own: str | None = None
 ) -> DataFrame:
-    """The first n rows of every group, however large the group.
-
-    `own` names a column with a limit for each group, none above n.
+    """The first n rows of every group by `_draw`, however large the group.
 
-    Rows are cut to n per group inside each scan task, then per group and task
-    share, and only then per group. A group that holds most rows therefore never
-    meets in one task.
+    `own` names a column with a limit for each group, none above n. A group that
+    holds most rows never meets in one task.
     """
+    if n > SMALL_LIMIT:
+        return _first_by_prefix(docs, keys, n, doc_id, own)
+    # Cut to n rows per group inside each scan task, then per group and share of
+    # the tasks, and only then per group.
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.withColumn("_share", F.spark_partition_id() % shares)
     for grouping in ([*keys, "_share"], list(keys)):
-        window = Window.partitionBy(*grouping).orderBy(*order)
+        window = Window.partitionBy(*grouping).orderBy("_draw", doc_id)
         shared = shared.withColumn("_rank", F.row_number().over(window))
         limit = F.col("_rank") <= n
         if own:
@@ -34,6 +40,51 @@ def first_per_group(
     return shared.drop("_share")
 
 
+def _first_by_prefix(
+    docs: DataFrame, keys: Sequence[str], n: int, doc_id: str, own: str | None
+) -> DataFrame:
+    """The same for many rows per group, which are never sorted as a whole.
+
+    Draws are evenly spread. Counting them by their first digits tells which
+    prefix holds the n-th one; rows before it stay, rows after it go, and only
+    the rows of that one prefix are ranked.
+    """
+    limit = F.col(own).cast("long") if own else F.lit(n).cast("long")
+    docs = docs.withColumn("_prefix", F.substring("_draw", 1, 3)).withColumn("_limit", limit)
+    cells = docs.groupBy(*keys, "_limit", "_prefix").agg(F.count("*").alias("_count"))
+    in_order = Window.partitionBy(*keys).orderBy("_prefix")
+    room = F.col("_limit") - (F.sum("_count").over(in_order) - F.col("_count"))
+    edges = cells.withColumn("_room", room).where("_room >= 0 and _count > _room")
+    # The first prefix that does not fit, if all before it did.
+    edges = edges.groupBy(*[F.col(key).alias(f"_k_{key}") for key in keys]).agg(
+        F.min("_prefix").alias("_edge"), F.min_by("_room", "_prefix").alias("_room")
+    )
+    same = [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys]
+    placed = docs.join(lookup_side(edges), same, "left").drop(*[f"_k_{key}" for key in keys])
+    before = placed.where(F.col("_edge").isNull() | (F.col("_prefix") < F.col("_edge")))
+    window = Window.partitionBy(*keys).orderBy("_draw", doc_id)
+    at_edge = placed.where(F.col("_prefix") == F.col("_edge"))
+    at_edge = at_edge.withColumn("_rank", F.row_number().over(window)).where("_rank <= _room")
+    kept = before.unionByName(at_edge.drop("_rank"))
+    return kept.drop("_prefix", "_limit", "_edge", "_room")
+
+
+def reject_short(kept: DataFrame, groups: Sequence[str], n: int, own: str | None = None) -> DataFrame:
+    """Fail if a group was cut to fewer rows than its limit."""
+    limit = F.col(own) if own else F.lit(n)
+    message = F.concat(
+        F.lit("fewer than "), limit.cast("string"), F.lit(" documents of "), F.concat_ws(", ", *groups)
+    )
+    if n <= SMALL_LIMIT:
+        # Counted on at most n rows per group, partitioned as they are already.
+        counted = kept.withColumn("_n", F.count("*").over(Window.partitionBy(*groups)))
+        return reject(counted, F.col("_n") < limit, message).drop("_n")
+    by = [*groups, own] if own else list(groups)
+    counted = kept.groupBy(*by).agg(F.count("*").alias("_n"))
+    short = failing(counted, F.col("_n") < limit, message).select(by)
+    return kept.unionByName(short, allowMissingColumns=True)
+
+
 def cap_docs_per_target(
     docs: DataFrame,
     n: int | None,
@@ -58,10 +109,5 @@ def cap_docs_per_target(
     groups = [*keys, target]
     draw = seeded_order(seed, "document", *[F.col(k) for k in keys], F.col(doc_id))
     ordered = docs.where(F.col(target).isNotNull()).withColumn("_draw", draw)
-    kept = first_per_group(ordered, groups, ("_draw", doc_id), n).drop("_draw")
-    if on_short == "error":
-        # Counted after the cut, on at most n rows per group, without a shuffle.
-        counted = kept.withColumn("_n", F.count("*").over(Window.partitionBy(*groups)))
-        message = F.concat(F.lit(f"fewer than {n} documents of "), F.col(target).cast("string"))
-        kept = reject(counted, F.col("_n") < n, message).drop("_n")
-    return kept
+    kept = first_per_group(ordered, groups, n, doc_id).drop("_draw")
+    return reject_short(kept, groups, n) if on_short == "error" else kept

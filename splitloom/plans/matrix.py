@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.functions.guards import reject
 from splitloom.functions.order import seeded_order
-from splitloom.operators.cap import first_per_group
+from splitloom.operators.cap import first_per_group, reject_short
 from splitloom.operators.folds import attach_folds, fold_cuts
 from splitloom.operators.heldout import split_heldout_title, title_plan
 from splitloom.operators.joins import lookup_side
@@ -292,14 +291,7 @@ def _cap_each(
     free = train.where(F.col("cap").isNull())
     draw = seeded_order(seed, "document", *[F.col(key) for key in KEYS], F.col("doc_id"))
     limited = train.where(F.col("cap").isNotNull() & F.col("target").isNotNull())
-    kept = first_per_group(limited.withColumn("_draw", draw), groups, ("_draw", "doc_id"), max(caps), "cap")
-    kept = kept.drop("_draw")
+    kept = first_per_group(limited.withColumn("_draw", draw), groups, max(caps), own="cap").drop("_draw")
     if on_short == "error":
-        kept = _reject_short(kept, groups)
+        kept = reject_short(kept, groups, max(caps), "cap")
     return free.unionByName(kept)
-
-
-def _reject_short(kept: DataFrame, groups: Sequence[str]) -> DataFrame:
-    counted = kept.withColumn("_n", F.count("*").over(Window.partitionBy(*groups)))
-    message = F.concat(F.lit("too few documents: "), F.concat_ws(", ", *groups))
-    return reject(counted, F.col("_n") < F.col("cap"), message).drop("_n")

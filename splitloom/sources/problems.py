@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.fixed_values import LANGUAGE_CODES
-from splitloom.functions.guards import reject
+from splitloom.functions.guards import failing
 from splitloom.functions.paths import part
 from splitloom.functions.text import remap
 from splitloom.operators.joins import lookup_side
@@ -43,13 +43,17 @@ def problem_documents(collection: DataFrame, truth: DataFrame, files: DataFrame)
         F.col("folder").startswith("candidate") & F.col("name").rlike(r"^known.*\.txt$")
     ).withColumnRenamed("folder", "author")
     unknown = texts.where(F.col("folder") == "unknown").drop("folder")
-    # Every entry must have its file: entries stay, texts are matched to them.
-    matched = truth_entries(truth).join(unknown, ["problem", "name"], "left")
-    matched = reject(
-        matched,
-        F.col("path").isNull(),
-        F.concat_ws("/", F.lit("missing file: "), "problem", "name"),
+    entries = lookup_side(truth_entries(truth))
+    matched = unknown.join(entries, ["problem", "name"])
+    # Every entry must have its file, which is checked without reading the texts.
+    names = files.select(
+        part(path, 1).alias("problem"), part(path, 3).alias("name"), (part(path, 2) == "unknown").alias("_hit")
     )
+    checked = entries.join(names.where("_hit"), ["problem", "name"], "left")
+    missing = failing(
+        checked, F.col("_hit").isNull(), F.concat_ws("/", F.lit("missing file: "), "problem", "name")
+    )
+    matched = matched.unionByName(missing.drop("_hit"), allowMissingColumns=True)
     sides = known.withColumn("data_type", F.lit("train")).unionByName(
         matched.withColumn("data_type", F.lit("test"))
     )

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from splitloom.operators import cap as module
 from splitloom.operators.cap import cap_docs_per_target
 from splitloom.operators.targets import (
     attach_target,
@@ -34,6 +35,20 @@ def test_exact_and_reproducible(spark, n):
     assert {(r.author, r.doc_id) for r in again.collect()} == expected
 
 
+def test_many_documents_per_target(spark, monkeypatch):
+    docs = _skewed(spark)
+    expected = {n: set(map(tuple, cap_docs_per_target(docs, n, on_short="keep").collect())) for n in (3, 90)}
+    monkeypatch.setattr(module, "SMALL_LIMIT", 1)
+    for n, rows in expected.items():
+        kept = cap_docs_per_target(docs, n, on_short="keep")
+        assert kept.columns == docs.columns
+        assert set(map(tuple, kept.collect())) == rows
+        assert kept.count() == len(rows)
+    with pytest.raises(Exception, match="fewer than 1000 documents of a\\d"):
+        cap_docs_per_target(docs, 1000).collect()
+    assert cap_docs_per_target(docs, 90).count() == len(expected[90])
+
+
 def test_rows_are_cut_before_they_are_shuffled(spark):
     kept = cap_docs_per_target(_skewed(spark), 7)
     plan = kept._jdf.queryExecution().executedPlan().toString()

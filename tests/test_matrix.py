@@ -136,7 +136,7 @@ def test_summary_counts_what_the_runs_give(docs):
 def test_short_targets_are_errors_in_the_matrix(docs):
     configs = [SplitConfig("r", "reuters", "data/reuters-c50/processed", domain="category",
                            train_values=("train",), test_values=("test",), max_docs_per_target=5000)]
-    with pytest.raises(Exception, match="too few documents: r, 0"):
+    with pytest.raises(Exception, match="fewer than 5000 documents of r, 0"):
         matrix_splits(docs, configs, corpus="corpus").collect()
     with pytest.raises(ValueError, match="max_targets"):
         matrix_splits(docs, [SplitConfig("r", "r", "x", n_splits=3, max_targets=2)])
