@@ -32,12 +32,12 @@ def decode_cp1252(content: Column) -> Column:
     """Text of windows-1252 bytes. Check cp1252_is_undefined for strictness."""
     plain = latin1(content)
     # Most texts have none of these bytes, and finding that out is the cheaper part.
-    return F.when(plain.rlike(f"[{_CONTROLS}]"), F.translate(plain, _CONTROLS, _CHARACTERS)).otherwise(plain)
+    return F.when(plain.rlike(r"[\x80-\x9F]"), F.translate(plain, _CONTROLS, _CHARACTERS)).otherwise(plain)
 
 
 def encode_cp1252(text: Column) -> Column:
     """Windows-1252 bytes of a text that holds only characters of that set."""
-    special = text.rlike(f"[{_CHARACTERS}]")
+    special = text.rlike(r"[^\x00-\xFF]")
     bytewise = F.when(special, F.translate(text, _CHARACTERS, _CONTROLS)).otherwise(text)
     return F.encode(bytewise, "ISO-8859-1")
 

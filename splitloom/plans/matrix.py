@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.functions.order import seeded_order
@@ -44,32 +44,47 @@ def run_config(
     return splits.select(F.lit(config.config_id).alias("config_id"), "*")
 
 
-def _belongs(config: SplitConfig, corpus: str | None) -> Column:
-    return F.lit(True) if corpus is None else F.col(corpus) == config.corpus
-
-
-def _marks(configs: Sequence[SplitConfig], corpus: str | None) -> Column:
-    """The configurations that use a row, each with the side and the limit."""
-    entries = []
-    for config in configs:
-        train, test = config.side_conditions()
-        limit = F.lit(config.max_docs_per_target or None).cast("int").alias("cap")
-        name = F.lit(config.config_id).alias("config_id")
-        belongs = _belongs(config, corpus)
-        entries.append(
-            F.when(belongs & train, F.struct(name, F.lit("train").alias("role"), limit)).when(
-                belongs & test, F.struct(name, F.lit("test").alias("role"), limit)
-            )
+def _rules(spark: SparkSession, configs: Sequence[SplitConfig]) -> DataFrame:
+    """The rules on sides as a table, one row per configuration."""
+    schema = (
+        "_corpus STRING, config_id STRING, _domain STRING, _test_domain STRING,"
+        " _train ARRAY<STRING>, _test ARRAY<STRING>, _problem STRING, cap INT"
+    )
+    rows = [
+        (
+            config.corpus, config.config_id, config.domain, config.test_domain,
+            list(config.train_values or ()), list(config.test_values or ()), config.problem,
+            config.max_docs_per_target or None,
         )
-    return F.inline(F.array_compact(F.array(*entries)))
+        for config in configs
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def _marked(docs: DataFrame, configs: Sequence[SplitConfig], corpus: str) -> DataFrame:
+    """Each document once per configuration that uses it, with its role there."""
+    domains = sorted({config.domain for config in configs})
+    # As many rules as configurations were handed over: the broadcast is small.
+    rules = F.broadcast(_rules(docs.sparkSession, configs))
+    joined = docs.join(rules, F.col(corpus) == F.col("_corpus"))
+    value = F.lit(None).cast("string")
+    for domain in domains:
+        value = F.when(F.col("_domain") == domain, F.col(domain)).otherwise(value)
+    one_out = F.when(value.eqNullSafe(F.col("_test_domain")), F.lit("test")).otherwise(F.lit("train"))
+    by_sets = F.when(F.array_contains("_train", value), F.lit("train")).when(
+        F.array_contains("_test", value), F.lit("test")
+    )
+    role = F.when(F.col("_test_domain").isNotNull(), one_out).otherwise(by_sets)
+    if any(config.problem for config in configs):
+        role = F.when(F.col("_problem").isNull() | (F.col("_problem") == F.col("problem")), role)
+    marked = joined.withColumn("role", role).where(F.col("role").isNotNull())
+    return marked.drop("_corpus", "_domain", "_test_domain", "_train", "_test", "_problem")
 
 
-def _columns_used(configs: Sequence[SplitConfig], corpus: str | None) -> list[str]:
-    used = {config.domain for config in configs if config.domain}
+def _columns_used(configs: Sequence[SplitConfig], corpus: str) -> list[str]:
+    used = {config.domain for config in configs} | {corpus}
     if any(config.problem for config in configs):
         used.add("problem")
-    if corpus:
-        used.add(corpus)
     return sorted(used)
 
 
@@ -90,24 +105,24 @@ def _no_target_limit(configs: Sequence[SplitConfig]) -> None:
 
 
 def matching_documents(
-    docs: DataFrame, configs: Sequence[SplitConfig], corpus: str | None = None
+    docs: DataFrame, configs: Sequence[SplitConfig], corpus: str = "corpus"
 ) -> DataFrame:
     """(config_id, n_train, n_test): documents that each rule puts on its sides.
 
+    The column `corpus` says to which corpus a document belongs.
     Rows are first counted per combination of the attributes that rules read, so
     that the configurations multiply counts and not documents.
     """
     sided = _of_rule(configs, "sides")
     counts = usable(docs).groupBy(*_columns_used(sided, corpus)).agg(F.count("*").alias("n"))
-    marked = counts.select("n", _marks(sided, corpus))
-    return marked.groupBy("config_id").agg(
+    return _marked(counts, sided, corpus).groupBy("config_id").agg(
         F.sum(F.when(F.col("role") == "train", F.col("n")).otherwise(0)).alias("n_train"),
         F.sum(F.when(F.col("role") == "test", F.col("n")).otherwise(0)).alias("n_test"),
     )
 
 
 def matrix_summary(
-    docs: DataFrame, configs: Sequence[SplitConfig], target: str = "author", corpus: str | None = None
+    docs: DataFrame, configs: Sequence[SplitConfig], target: str = "author", corpus: str = "corpus"
 ) -> DataFrame:
     """(config_id, n_splits, n_train, n_test), both summed over the splits.
 
@@ -123,7 +138,7 @@ def matrix_summary(
         used = _columns_used(sided, corpus)
         counts = docs.groupBy(*used, F.col(target).alias("target")).agg(F.count("*").alias("n"))
         per_target = (
-            counts.select("target", "n", _marks(sided, corpus))
+            _marked(counts, sided, corpus)
             .groupBy("config_id", "cap", "target")
             .agg(
                 F.sum(F.when(F.col("role") == "train", n).otherwise(0)).alias("train"),
@@ -170,11 +185,11 @@ def _config_rows(configs: Sequence[SplitConfig]) -> Column:
 
 
 def _folds_summary(
-    docs: DataFrame, configs: Sequence[SplitConfig], target: str, corpus: str | None
+    docs: DataFrame, configs: Sequence[SplitConfig], target: str, corpus: str
 ) -> DataFrame:
     k = _one_value(configs, "n_splits")
     _one_value(configs, "path")
-    docs = docs.where(_belongs(configs[0], corpus))
+    docs = docs.where(F.col(corpus) == configs[0].corpus)
     cuts = fold_cuts(docs, target, k)
     folds = attach_folds(docs.select(F.col(target).alias("target"), "doc_id"), cuts, "target")
     per_fold = folds.groupBy("target").agg(
@@ -192,10 +207,10 @@ def _folds_summary(
 
 
 def _titles_summary(
-    docs: DataFrame, configs: Sequence[SplitConfig], target: str, corpus: str | None
+    docs: DataFrame, configs: Sequence[SplitConfig], target: str, corpus: str
 ) -> DataFrame:
     _one_value(configs, "path")
-    docs = docs.where(_belongs(configs[0], corpus))
+    docs = docs.where(F.col(corpus) == configs[0].corpus)
     languages = [config.test_language for config in configs]
     plan = title_plan(docs, languages, author=target).where(F.col("split_id").isNotNull())
     own = F.col("overlaps")
@@ -234,7 +249,7 @@ def matrix_splits(
     docs: DataFrame,
     configs: Sequence[SplitConfig],
     target: str = "author",
-    corpus: str | None = None,
+    corpus: str = "corpus",
     seed: int = 42,
     on_short: str = "error",
 ) -> DataFrame:
@@ -249,9 +264,9 @@ def matrix_splits(
     parts = []
     sided = _of_rule(configs, "sides")
     if sided:
-        rows = docs.select(
-            "doc_id", F.col(target).alias("target"), F.lit("0").alias("split_id"), _marks(sided, corpus)
-        )
+        own = docs.select("doc_id", F.col(target).alias("target"), *_columns_used(sided, corpus))
+        rows = _marked(own, sided, corpus).withColumn("split_id", F.lit("0"))
+        rows = rows.select(*KEYS, "role", "doc_id", "target", "cap")
         train = rows.where(F.col("role") == "train")
         listed = lookup_side(
             train.select(F.col("config_id").alias("_c"), F.col("target").alias("_t")).distinct()
@@ -266,7 +281,7 @@ def matrix_splits(
     if folded:
         k = _one_value(folded, "n_splits")
         _one_value(folded, "path")
-        own = docs.where(_belongs(folded[0], corpus))
+        own = docs.where(F.col(corpus) == folded[0].corpus)
         cuts = fold_cuts(own, target, k)
         folds = attach_folds(own.select("doc_id", F.col(target).alias("target")), cuts, "target")
         rows = folds.select("*", _config_rows(folded)).select(
