@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from splitloom.functions.guards import failing, reject
 from splitloom.functions.order import seeded_order
-from splitloom.operators.joins import lookup_side
+from splitloom.operators.joins import broadcast_if_small, lookup_side, stored
 
 
 # Up to this rank Spark cuts groups inside the scan tasks.
 SMALL_LIMIT = 1000
 
+# Below this many rows it costs more to thin them out than to sort them.
+ROWS_WORTH_THINNING = 1_000_000
+
 
 def first_per_group(
     docs: DataFrame, keys: Sequence[str], n: int, doc_id: str = "doc_id", own: str | None = None
@@ -29,7 +32,7 @@ def first_per_group(
     # Cut to n rows per group inside each scan task, then per group and share of
     # the tasks, and only then per group.
     shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = docs.withColumn("_share", F.spark_partition_id() % shares)
+    shared = _thinned(docs, keys, n, own).withColumn("_share", F.spark_partition_id() % shares)
     for grouping in ([*keys, "_share"], list(keys)):
         window = Window.partitionBy(*grouping).orderBy("_draw", doc_id)
         shared = shared.withColumn("_rank", F.row_number().over(window))
@@ -40,6 +43,36 @@ def first_per_group(
     return shared.drop("_share")
 
 
+def _thinned(docs: DataFrame, keys: Sequence[str], n: int, own: str | None) -> DataFrame:
+    """Leave out rows of large groups that draw too late to be among the first n.
+
+    Draws are evenly spread, so the size of a group tells below which draw about
+    twice as many rows lie as are wanted. Whether enough lie there is counted; if
+    a single group were short of rows, all rows would stay.
+    """
+    wanted = F.col(own) if own else F.lit(n)
+    sizes = docs.groupBy(*keys, wanted.cast("long").alias("_wanted")).agg(F.count("*").alias("_size"))
+    sizes = stored(sizes)
+    plenty = 2 * F.col("_wanted") + 64
+    total, rest = sizes.agg(F.sum("_size"), F.sum(F.least("_size", plenty))).first()
+    if not total or total < ROWS_WORTH_THINNING or rest * 4 > total:
+        return docs
+    digits = F.lpad(F.lower(F.hex((plenty / F.col("_size") * 16.0**12).cast("long"))), 12, "0")
+    # Every hexadecimal draw lies below "g".
+    bound = F.when(F.col("_size") > plenty, digits).otherwise(F.lit("g"))
+    names = [F.col(key).alias(f"_k_{key}") for key in keys]
+    enough = F.least("_size", "_wanted").alias("_enough")
+    bounds = broadcast_if_small(sizes.select(*names, bound.alias("_bound"), enough))
+    same = [F.col(key).eqNullSafe(F.col(f"_k_{key}")) for key in keys]
+    early = docs.join(bounds, [*same, F.col("_draw") < F.col("_bound")])
+    early = stored(early.select(*docs.columns, "_enough"))
+    found = early.groupBy(*keys).agg(F.count("*").alias("_found"), F.max("_enough").alias("_enough"))
+    groups, short = found.agg(F.count("*"), F.count_if(F.col("_found") < F.col("_enough"))).first()
+    if short or groups < bounds.count():
+        return docs
+    return early.drop("_enough")
+
+
 def _first_by_prefix(
     docs: DataFrame, keys: Sequence[str], n: int, doc_id: str, own: str | None
 ) -> DataFrame:

@@ -97,6 +97,9 @@ def fold_cuts(
     cells = ids.groupBy("target", "bucket").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("first_id")
     )
+    if buckets > 1:
+        # Read twice below, and much smaller than the documents.
+        cells = stored(cells)
     classes = cells.groupBy("target").agg(
         F.sum("n").alias("size"), F.min("first_id").alias("first_id"), F.min("bucket").alias("bucket")
     )

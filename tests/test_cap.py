@@ -35,6 +35,28 @@ def test_exact_and_reproducible(spark, n):
     assert {(r.author, r.doc_id) for r in again.collect()} == expected
 
 
+@pytest.mark.parametrize("spread", [True, False])
+def test_thinning_changes_nothing(spark, monkeypatch, spread):
+    # A hot group, one of a few rows, and one without key.
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") < 9, F.lit("few"))
+    docs = spark.range(0, 6000, 1, 16).select(
+        F.col("id").alias("doc_id"), key.alias("group"), F.lit("A").alias("author")
+    )
+    expected = set(map(tuple, cap_docs_per_target(docs, 5, keys=["group"]).collect()))
+    monkeypatch.setattr(module, "ROWS_WORTH_THINNING", 1)
+    if not spread:
+        # Draws that all lie late, so that thinning finds too few and gives up.
+        order = F.concat(F.lit("f"), F.md5(F.col("doc_id").cast("string")))
+        late = docs.withColumn("_draw", order)
+        kept = module.first_per_group(late, ["group"], 5)
+        assert module._thinned(late, ["group"], 5, None) is late
+        assert {r["count"] for r in kept.groupBy("group").count().collect()} == {5}
+        return
+    assert set(map(tuple, cap_docs_per_target(docs, 5, keys=["group"]).collect())) == expected
+    drawn = docs.withColumn("_draw", F.md5(F.col("doc_id").cast("string")))
+    assert module._thinned(drawn, ["group"], 5, None).count() < 300
+
+
 def test_many_documents_per_target(spark, monkeypatch):
     docs = _skewed(spark)
     expected = {n: set(map(tuple, cap_docs_per_target(docs, n, on_short="keep").collect())) for n in (3, 90)}
