@@ -18,7 +18,7 @@ from splitloom.fixed_values import DEFAULT_FOLDS
 from splitloom.functions.guards import reject
 from splitloom.operators.joins import broadcast_if_small, stored
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 MAX_BUCKETS = 10_000
 
 

@@ -55,7 +55,7 @@ CORPORA = {
 }
 
 
-def unify(
+def ingest(
     spark: SparkSession, corpus: str, raw: str, output: str, force: bool = False, **options: int
 ) -> None:
     """Read a raw corpus and write its metadata and content tables."""

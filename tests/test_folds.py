@@ -96,3 +96,19 @@ def test_folds_for_model_selection(spark):
         assert train.count() == 30 and "text" in test.columns
         seen += [row.doc_id for row in test.collect()]
     assert sorted(seen) == list(range(40))
+
+
+def test_fold_column_drives_model_selection(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    table = _table(spark, ["A", "B"] * 20).withColumn("label", (F.col("doc_id") % 2).cast("double"))
+    folded = attach_folds(table, fold_cuts(table, n_splits=4)).withColumn("fold", F.col("fold").cast("int"))
+    rows = VectorAssembler(inputCols=["label", "doc_id"], outputCol="features").transform(folded)
+    search = CrossValidator(
+        estimator=NaiveBayes(), estimatorParamMaps=ParamGridBuilder().build(),
+        evaluator=MulticlassClassificationEvaluator(), numFolds=4, foldCol="fold",
+    )
+    assert len(search.fit(rows).avgMetrics) == 1

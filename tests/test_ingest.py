@@ -184,30 +184,30 @@ def test_problems(spark, tmp_path):
         corpora.pan18(spark, root).collect()
 
 
-def test_unify(spark, tmp_path):
+def test_written_corpus(spark, tmp_path):
     raw = write(tmp_path / "raw", {
         "UK/ann/2.txt": b"two", "UK/ann/1.txt": b"one", "Books/bob/1.txt": b"NA", "Books/bob/2.txt": b"four",
     })
     output = str(tmp_path / "processed")
-    corpora.unify(spark, "guardian", raw, output)
+    corpora.ingest(spark, "guardian", raw, output)
     rows = corpora.load_corpus(spark, output, with_text=True).orderBy("doc_id").collect()
     # Numbered by path before the incomplete text is dropped.
     assert [(r.category, r.text) for r in rows] == [("Books", "four"), ("UK", "one"), ("UK", "two")]
     assert all(r.language == "en" and r.text_path == f"text_raw/{r.doc_id}_{r.author}.txt" for r in rows)
     assert "text" not in corpora.load_corpus(spark, output).columns
     with pytest.raises(Exception, match="(?i)already exists"):
-        corpora.unify(spark, "guardian", raw, output)
-    corpora.unify(spark, "guardian", raw, output, force=True)
+        corpora.ingest(spark, "guardian", raw, output)
+    corpora.ingest(spark, "guardian", raw, output, force=True)
     assert corpora.load_corpus(spark, output).count() == 3
 
 
 @pytest.mark.parametrize("corpus", ["cl_novels", "pan18_attribution"])
-def test_unify_other_layouts(spark, tmp_path, corpus):
+def test_ingest_other_layouts(spark, tmp_path, corpus):
     raw = _problems(tmp_path / "p") if corpus.startswith("pan") else write(
         tmp_path / "n", {"austen/en/emma.txt": "One. Two.", "austen/en/empty.txt": ""}
     )
     output = str(tmp_path / "out")
-    corpora.unify(spark, corpus, raw, output)
+    corpora.ingest(spark, corpus, raw, output)
     loaded = corpora.load_corpus(spark, output, with_text=True)
     assert loaded.count() == (5 if corpus.startswith("pan") else 1)
     assert loaded.select("doc_id").distinct().count() == loaded.count()
