@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.fixed_values import CMCC_CATEGORIES, CMCC_SUBDIRECTORY, SENTENCES_PER_CHUNK
+from splitloom.operators.joins import lookup_side
 from splitloom.operators.prepare import (
     chunk_documents,
     externalize_text,
@@ -51,7 +52,7 @@ CORPORA = {
     "cmcc": (cmcc, ("path",)),
     "imdb62": (imdb62, ("review_id", "item_id", "author", "text")),
     "cl_novels": (novels, ("path", "chunk")),
-    "pan18_attribution": (pan18, ("path", "problem")),
+    "pan18_attribution": (pan18, ("path",)),
 }
 
 
@@ -60,12 +61,18 @@ def ingest(
 ) -> None:
     """Read a raw corpus and write its metadata and content tables."""
     read, order = CORPORA[corpus]
-    docs = with_doc_ids(read(spark, raw, **options), order)
-    docs = docs.drop("path").withColumn("corpus", F.lit(corpus))
-    # Numbers must be fixed before the table is read twice, once per output.
-    numbered = f"{output}/documents"
-    docs.write.mode("overwrite" if force else "errorifexists").parquet(numbered)
-    docs = spark.read.parquet(numbered)
+    docs = read(spark, raw, **options).withColumn("corpus", F.lit(corpus))
+    by_path = "path" in order
+    if not by_path:
+        docs = with_doc_ids(docs, order)
+    # Raw files are opened once; everything else reads this table.
+    staged = f"{output}/documents"
+    docs.write.mode("overwrite" if force else "errorifexists").parquet(staged)
+    docs = spark.read.parquet(staged)
+    if by_path:
+        # A path is a document, so that numbering needs only paths and leaves the texts alone.
+        numbers = lookup_side(with_doc_ids(docs.select(*order).distinct(), order))
+        docs = docs.join(numbers, list(order)).drop("path")
     if corpus == "cl_novels":
         write_corpus(docs.drop("text"), docs.select("doc_id", "text"), output, force)
     else:

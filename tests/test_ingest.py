@@ -201,15 +201,24 @@ def test_written_corpus(spark, tmp_path):
     assert corpora.load_corpus(spark, output).count() == 3
 
 
-@pytest.mark.parametrize("corpus", ["cl_novels", "pan18_attribution"])
-def test_ingest_other_layouts(spark, tmp_path, corpus):
-    raw = _problems(tmp_path / "p") if corpus.startswith("pan") else write(
-        tmp_path / "n", {"austen/en/emma.txt": "One. Two.", "austen/en/empty.txt": ""}
-    )
+@pytest.mark.parametrize(
+    ("corpus", "n_docs"),
+    [("cl_novels", 3), ("pan18_attribution", 5), ("imdb62", 3), ("reuters-c50", 2)],
+)
+def test_ingest_other_layouts(spark, tmp_path, corpus, n_docs):
+    if corpus == "pan18_attribution":
+        raw = _problems(tmp_path / "raw")
+    else:
+        raw = write(tmp_path / "raw", {
+            "austen/en/emma.txt": "One. Two.", "austen/en/empty.txt": "",
+            # Two reviews are the same, and stay two.
+            "imdb62.txt": "r1\ta\tm\t8\tT\ttext\n" * 2 + "r2\ta\tm\t8\tT\tother\n",
+            "train/ann/1.txt": "a", "test/ann/1.txt": "b",
+        })
     output = str(tmp_path / "out")
     corpora.ingest(spark, corpus, raw, output)
     loaded = corpora.load_corpus(spark, output, with_text=True)
-    assert loaded.count() == (5 if corpus.startswith("pan") else 1)
+    assert loaded.count() == n_docs
     assert loaded.select("doc_id").distinct().count() == loaded.count()
 
 
