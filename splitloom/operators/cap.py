@@ -11,7 +11,6 @@ from splitloom.functions.guards import failing, reject
 from splitloom.functions.order import seeded_order
 from splitloom.operators.joins import broadcast_if_small, lookup_side, stored
 
-
 # Up to this rank Spark cuts groups inside the scan tasks.
 SMALL_LIMIT = 1000
 
