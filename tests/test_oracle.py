@@ -5,8 +5,8 @@ from compare import connect, difference
 
 import __spark_entry__ as entry_points
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = entry_points.QUERIES
+SQL = entry_points.oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
