@@ -26,7 +26,7 @@ from splitloom.llm.common import kept
 DEPTH = 5
 END = b"\n"
 #: Rows of a block, and bytes that are worked on at once.
-BLOCK_ROWS, CHUNK_BYTES, UNIQUE_BYTES = 8_192, 2_000_000, 24_000_000
+BLOCK_ROWS, CHUNK_BYTES, CONDENSE_BYTES = 8_192, 2_000_000, 6_000_000
 
 COUNTS = "block long, gram long, word binary, n long"
 
@@ -71,32 +71,50 @@ def count_strings(docs: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[bool, tuple[list[bytes], Counter]] = {}
         block, held = None, 0
+        bodies: dict[bool, list[bytes]] = {True: [], False: []}
+        words: Counter = Counter()
+        grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def condense() -> None:
+            """Fold the bodies at hand into the block's distinct strings."""
+            nonlocal held, grams, n
+            found = [(grams, n)]
+            for train, own in bodies.items():
+                if own:
+                    keys, counts = np.unique(grams_of(own)[0], return_counts=True)
+                    found.append((keys, counts if train else np.zeros(len(keys), np.int64)))
+                    own.clear()
+            grams, place = np.unique(np.concatenate([keys for keys, _ in found]), return_inverse=True)
+            counted = np.concatenate([counts for _, counts in found])
+            n, held = np.bincount(place, weights=counted, minlength=len(grams)).astype(np.int64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal state, held
-            for train, (bodies, words) in state.items():
-                grams, n = np.unique(grams_of(bodies)[0], return_counts=True)
-                names = list(words)
-                counts = [n, list(words.values())] if train else [np.zeros(len(n)), np.zeros(len(names))]
-                whole = batch_of(block, grams, names, counts)
-                for at in range(0, len(whole), 100_000):
-                    yield whole.slice(at, 100_000)
-            state, held = {}, 0
+            nonlocal grams, n
+            condense()
+            whole = batch_of(block, grams, list(words), [n, list(words.values())])
+            for at in range(0, len(whole), 100_000):
+                yield whole.slice(at, 100_000)
+            words.clear()
+            grams, n = grams[:0], n[:0]
 
         for batch in batches:
             columns = (batch.column(name).to_pylist() for name in ("block", "train", "text"))
             for own, train, text in zip(*columns):
-                if held and (own != block or held > UNIQUE_BYTES):
+                if block is not None and own != block:
                     yield from flush()
                 block = own
                 tokens = tokens_of(text)
-                bodies, words = state.setdefault(train, ([], Counter()))
-                words.update(tokens)
-                bodies.append(body_of(tokens))
-                held += len(bodies[-1])
-        if held:
+                if train:
+                    words.update(tokens)
+                else:
+                    for token in tokens:
+                        words.setdefault(token, 0)
+                bodies[train].append(body_of(tokens))
+                held += len(bodies[train][-1])
+                if held > CONDENSE_BYTES:
+                    condense()
+        if block is not None:
             yield from flush()
 
     return docs.select("block", "train", "text").mapInArrow(run, COUNTS)
