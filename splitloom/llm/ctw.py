@@ -26,7 +26,9 @@ from splitloom.llm.common import kept
 DEPTH = 5
 END = b"\n"
 #: Rows of a block, and bytes that are worked on at once.
-BLOCK_ROWS, CHUNK_BYTES, CONDENSE_BYTES = 8_192, 2_000_000, 6_000_000
+BLOCK_ROWS, CHUNK_BYTES, CONDENSE_BYTES = 8_192, 2_000_000, 3_000_000
+#: Distinct strings that a task holds before it hands them on; a block may then come in parts.
+HELD_STRINGS = 2_500_000
 
 COUNTS = "block long, gram long, word binary, n long"
 
@@ -58,6 +60,44 @@ def body_of(tokens: list[bytes]) -> bytes:
     return b" ".join(tokens[:-1]) + END
 
 
+class Held:
+    """Distinct strings and words of one block so far, with their counts in training rows."""
+
+    def __init__(self) -> None:
+        self.bodies: dict[bool, list[bytes]] = {True: [], False: []}
+        self.waiting = 0
+        self.words: Counter = Counter()
+        self.grams, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def size(self) -> int:
+        return len(self.grams) + len(self.words)
+
+    def add(self, tokens: list[bytes], train: bool) -> None:
+        if train:
+            self.words.update(tokens)
+        else:
+            for token in tokens:
+                self.words.setdefault(token, 0)
+        body = body_of(tokens)
+        self.bodies[train].append(body)
+        self.waiting += len(body)
+        if self.waiting > CONDENSE_BYTES:
+            self.condense()
+
+    def condense(self) -> None:
+        """Fold the bodies at hand into the distinct strings."""
+        found = [(self.grams, self.n)]
+        for train, own in self.bodies.items():
+            if own:
+                keys, counts = np.unique(grams_of(own)[0], return_counts=True)
+                found.append((keys, counts if train else np.zeros(len(keys), np.int64)))
+                own.clear()
+        self.grams, place = np.unique(np.concatenate([keys for keys, _ in found]), return_inverse=True)
+        counted = np.concatenate([counts for _, counts in found])
+        self.n = np.bincount(place, weights=counted, minlength=len(self.grams)).astype(np.int64)
+        self.waiting = 0
+
+
 def count_strings(docs: DataFrame) -> DataFrame:
     """(block, gram or word, n): what each block holds, with its count in training rows, which may be 0."""
 
@@ -71,51 +111,28 @@ def count_strings(docs: DataFrame) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, 0
-        bodies: dict[bool, list[bytes]] = {True: [], False: []}
-        words: Counter = Counter()
-        grams, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def condense() -> None:
-            """Fold the bodies at hand into the block's distinct strings."""
-            nonlocal held, grams, n
-            found = [(grams, n)]
-            for train, own in bodies.items():
-                if own:
-                    keys, counts = np.unique(grams_of(own)[0], return_counts=True)
-                    found.append((keys, counts if train else np.zeros(len(keys), np.int64)))
-                    own.clear()
-            grams, place = np.unique(np.concatenate([keys for keys, _ in found]), return_inverse=True)
-            counted = np.concatenate([counts for _, counts in found])
-            n, held = np.bincount(place, weights=counted, minlength=len(grams)).astype(np.int64), 0
+        state: dict[int, Held] = {}
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal grams, n
-            condense()
-            whole = batch_of(block, grams, list(words), [n, list(words.values())])
-            for at in range(0, len(whole), 100_000):
-                yield whole.slice(at, 100_000)
-            words.clear()
-            grams, n = grams[:0], n[:0]
+            nonlocal size
+            for block, own in state.items():
+                own.condense()
+                whole = batch_of(block, own.grams, list(own.words), [own.n, list(own.words.values())])
+                for at in range(0, len(whole), 100_000):
+                    yield whole.slice(at, 100_000)
+            state.clear()
+            size = 0
 
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("block", "train", "text"))
-            for own, train, text in zip(*columns):
-                if block is not None and own != block:
+            for block, train, text in zip(*(batch.column(name) for name in ("block", "train", "text"))):
+                own = state.setdefault(block.as_py(), Held())
+                before = own.size()
+                own.add(tokens_of(text.as_py()), train.as_py())
+                size += own.size() - before
+                if size > HELD_STRINGS:
                     yield from flush()
-                block = own
-                tokens = tokens_of(text)
-                if train:
-                    words.update(tokens)
-                else:
-                    for token in tokens:
-                        words.setdefault(token, 0)
-                bodies[train].append(body_of(tokens))
-                held += len(bodies[train][-1])
-                if held > CONDENSE_BYTES:
-                    condense()
-        if block is not None:
-            yield from flush()
+        yield from flush()
 
     return docs.select("block", "train", "text").mapInArrow(run, COUNTS)
 
@@ -340,6 +357,9 @@ def score(docs: DataFrame) -> DataFrame:
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def stored_blocks(scan: DataFrame, rows: int = BLOCK_ROWS) -> Column:
-    """A block number for the rows of a table read from files: neighbouring rows of one file."""
-    return F.xxhash64(scan["_metadata.file_path"], F.expr(f"_metadata.row_index div {rows}"))
+def stored_blocks(scan: DataFrame, *alike: str, rows: int = BLOCK_ROWS) -> Column:
+    """A block number for the rows of a table read from files: neighbouring rows of one file.
+
+    Rows that differ in one of the columns `alike` go apart, as like texts share more strings.
+    """
+    return F.xxhash64(scan["_metadata.file_path"], F.expr(f"_metadata.row_index div {rows}"), *alike)

@@ -81,7 +81,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = docs.select(
-        "doc_id", "text", (id_bucket("doc_id", 7) != 2).alias("train"), ctw.stored_blocks(docs).alias("block")
+        "doc_id", "text", (id_bucket("doc_id", 7) != 2).alias("train"), ctw.stored_blocks(docs, "lang").alias("block")
     )
     return ctw.score(rows).withColumn("held_out", ~F.col("train")).drop("train")
 
