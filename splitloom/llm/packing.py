@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,42 +27,78 @@ REMEMBERED = 400_000
 #: Special tokens of the vocabulary, which may hold for whole texts only.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
+#: Chunks that hold only Latin-1 without apostrophe and wider spaces, and how they fall into
+#: runs: letters, single digits, and the rest, as the vocabulary's pattern has it.
+PLAIN = re.compile("[!-&(-~\u00a1-\u00ff]+")
+RUNS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+
 PIECES = (
     "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
     "offset long, ids array<int>"
 )
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, then from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(byte) if byte in own else chr(next(rest)) for byte in range(256)]
+
+
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of whole texts as uint32.
 
-    The vocabulary's pre-tokenizer never joins over ASCII space, so each piece between
-    spaces is encoded once and remembered. Texts with a special token go through whole.
+    The vocabulary's pre-tokenizer never joins over ASCII space, so each chunk between
+    spaces is encoded once and remembered. Latin-1 chunks without apostrophe are taken
+    apart here by the same rules (normal form and lower case are plain there) and ask
+    the vocabulary's model for each new run; others go through the whole tokenizer, as
+    do texts that hold a special token.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def learn(pieces: list[bytes]) -> None:
-        if len(known) + len(pieces) > REMEMBERED:
-            known.clear()
-        found = tokenizer.encode_batch_fast([piece.decode() for piece in pieces], add_special_tokens=False)
-        for piece, one in zip(pieces, found):
-            known[piece] = np.array(one.ids, "<u4").tobytes()
+    model, letters = tokenizer.model, byte_letters()
+    chunks: dict[bytes, bytes] = {}
+    runs: dict[str, bytes] = {}
+
+    def of_run(run: str) -> bytes:
+        found = model.tokenize("".join([letters[byte] for byte in run.encode()]))
+        return np.array([token.id for token in found], "<u4").tobytes()
+
+    def learn(new: set[bytes]) -> None:
+        if len(chunks) + len(new) > REMEMBERED:
+            chunks.clear()
+        if len(runs) > REMEMBERED:
+            runs.clear()
+        hard = []
+        for chunk in new:
+            text = chunk.decode()
+            if PLAIN.fullmatch(text):
+                parts = []
+                for run in RUNS.findall(text.lower()):
+                    ids = runs.get(run)
+                    if ids is None:
+                        ids = runs[run] = of_run(run)
+                    parts.append(ids)
+                chunks[chunk] = b"".join(parts)
+            else:
+                hard.append(text)
+        for text, one in zip(hard, tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
+            chunks[text.encode()] = np.array(one.ids, "<u4").tobytes()
 
     def encode(text: str) -> np.ndarray:
         if any(token in text for token in SPECIAL):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         pieces = text.encode().split()
         try:
-            parts = [known[piece] for piece in pieces]
+            parts = [chunks[piece] for piece in pieces]
         except KeyError:
-            learn(list({piece for piece in pieces if piece not in known}))
-            parts = [known.get(piece) for piece in pieces]
-            if None in parts:  # forgotten to make room
-                learn(list(set(pieces)))
-                parts = [known[piece] for piece in pieces]
+            learn({piece for piece in pieces if piece not in chunks})
+            try:
+                parts = [chunks[piece] for piece in pieces]
+            except KeyError:  # some were forgotten to make room
+                learn(set(pieces))
+                parts = [chunks[piece] for piece in pieces]
         return np.frombuffer(b"".join(parts), "<u4")
 
     return encode
