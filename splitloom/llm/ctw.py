@@ -141,7 +141,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after eight steps of the recurrence."""
     steps = sum(np.log(x + n) for n in range(8))
     z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) - steps
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - steps
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:

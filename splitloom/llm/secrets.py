@@ -130,13 +130,13 @@ def fit_forest(labelled: DataFrame, most: int = LABELLED) -> PipelineModel | flo
 
 
 def rated(findings: DataFrame, model: PipelineModel | float) -> DataFrame:
-    """Add probability and is_secret."""
+    """Add probability and is_secret; the forest has no say over shapes that only an issued key has."""
     if isinstance(model, float):
         scored = findings.withColumn("probability", F.lit(model))
     else:
         got = model.transform(findings).withColumn("probability", F.get(vector_to_array("__p"), F.lit(1)))
         scored = got.drop("__x", "__p", "__raw", "__got")
-    return scored.withColumn("is_secret", F.col("probability") >= THRESHOLD)
+    return scored.withColumn("is_secret", (F.col("probability") >= THRESHOLD) | F.col("value").rlike(ISSUED))
 
 
 def _listed(rows: DataFrame, *keys: str) -> DataFrame:
