@@ -71,20 +71,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def without_copies(documents: list[set[int]], hashes: int = 16, same: int = 8) -> list[set[int]]:
+def without_copies(documents: list[np.ndarray], hashes: int = 16, same: int = 8) -> list[np.ndarray]:
     """Drop near copies of earlier documents: one much-copied text would make markers of all its words.
 
     Copies agree in half of their min-hashes or more.
     """
     rng = np.random.default_rng(7)
     factors = rng.integers(1, 1 << 31, hashes, dtype=np.int64) | 1
-    kept: list[set[int]] = []
+    kept: list[np.ndarray] = []
     seen = np.zeros((len(documents), hashes), np.int64)
     for one in documents:
-        if not one:
+        if not len(one):
             continue
-        flat = np.fromiter(one, np.int64, len(one))
-        own = np.array([((flat * factor) & 0xFFFFFFFF).min() for factor in factors])
+        own = np.array([((one.astype(np.int64) * factor) & 0xFFFFFFFF).min() for factor in factors])
         if not ((seen[: len(kept)] == own).sum(axis=1) >= same).any():
             seen[len(kept)] = own
             kept.append(one)
@@ -129,13 +128,14 @@ def nn_pu_fit(
     return weights, bias
 
 
-def fit_features(positive: list[set[int]], unlabelled: list[set[int]], prior: float) -> Model:
-    """Keep features that mark confirmed documents, then fit them by the PU risk."""
+def fit_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Each document is an array of distinct buckets. Keep features that mark confirmed documents, then fit them by the PU risk."""
     positive = without_copies(positive)
     counts = []
     for side in (positive, unlabelled):
-        flat = np.fromiter((x for one in side for x in one), np.int64)
-        counts.append(np.bincount(flat, minlength=BUCKETS))
+        counts.append(np.zeros(BUCKETS))
+        for one in side:
+            counts[-1][one] += 1
     p = (counts[0] + 0.5) / (len(positive) + 1)
     u = (counts[1] + 0.5) / (len(unlabelled) + 1)
     spread = np.sqrt(p * (1 - p) / (len(positive) + 1) + u * (1 - u) / (len(unlabelled) + 1))
@@ -143,13 +143,14 @@ def fit_features(positive: list[set[int]], unlabelled: list[set[int]], prior: fl
     good = (counts[0] >= LEAST_DOCS) & (prior * p >= LEAST_SHARE * u) & (strength >= LEAST_ERRORS)
     order = np.flatnonzero(good)
     order = order[np.lexsort((order, -strength[order]))][:MOST_FEATURES]
-    place = {int(x): n for n, x in enumerate(order)}
+    place = np.full(BUCKETS, -1)
+    place[order] = np.arange(len(order))
 
-    def placed(side: list[set[int]]) -> list[np.ndarray]:
-        return [np.array(sorted(place[x] for x in one if x in place), np.int64) for one in side]
+    def placed(side: list[np.ndarray]) -> list[np.ndarray]:
+        return [own[own >= 0] for own in (place[one] for one in side)]
 
     weights, bias = nn_pu_fit(placed(positive), placed(unlabelled), len(order), prior)
-    return Model({x: float(weights[n]) for x, n in place.items()}, bias)
+    return Model({int(x): float(weights[n]) for n, x in enumerate(order)}, bias)
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
@@ -186,9 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         other.select("doc_id", F.lit(False).alias("confirmed"))
     )
     sample = _featurised(texts.join(F.broadcast(chosen), "doc_id")).toPandas()
-    sides: dict[bool, list[set[int]]] = {True: [], False: []}
+    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for confirmed, features in zip(sample["confirmed"], sample["features"]):
-        sides[bool(confirmed)].append(features)
+        sides[bool(confirmed)].append(np.asarray(features, np.int32))
     if not sides[True] or not sides[False]:
         return Model({}, float(np.log(prior / (1 - prior))))
     return fit_features(sides[True], sides[False], prior)
