@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.llm.common import id_bucket, texts_of
+from splitloom.llm.common import id_bucket, kept, texts_of
 
 #: Bounds of the fitting sample: confirmed documents, and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -23,6 +23,7 @@ LEAST_DOCS, LEAST_SHARE, LEAST_ERRORS = 5, 0.5, 3.0
 MOST_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
 REMEMBERED = 300_000
+HASHES = 16
 THRESHOLD = 0.7
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -71,23 +72,19 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def without_copies(documents: list[np.ndarray], hashes: int = 16, same: int = 8) -> list[np.ndarray]:
-    """Drop near copies of earlier documents: one much-copied text would make markers of all its words.
+def min_hashes(features: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    factors = np.random.default_rng(7).integers(1, 1 << 31, hashes, dtype=np.int64) | 1
+    if not len(features):
+        return np.zeros(hashes, np.int64)
+    return np.array([((features.astype(np.int64) * factor) & 0xFFFFFFFF).min() for factor in factors])
 
-    Copies agree in half of their min-hashes or more.
-    """
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1, 1 << 31, hashes, dtype=np.int64) | 1
-    kept: list[np.ndarray] = []
-    seen = np.zeros((len(documents), hashes), np.int64)
-    for one in documents:
-        if not len(one):
-            continue
-        own = np.array([((one.astype(np.int64) * factor) & 0xFFFFFFFF).min() for factor in factors])
-        if not ((seen[: len(kept)] == own).sum(axis=1) >= same).any():
-            seen[len(kept)] = own
-            kept.append(one)
-    return kept
+
+def near_copies(signatures: np.ndarray, same: int = 8) -> np.ndarray:
+    """Which rows agree in half of their min-hashes or more with an earlier row that is none of these."""
+    kept = np.zeros(len(signatures), bool)
+    for n, own in enumerate(signatures):
+        kept[n] = not ((signatures[:n][kept[:n]] == own).sum(axis=1) >= same).any()
+    return ~kept
 
 
 def _sums(ids: np.ndarray, rows: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
@@ -128,29 +125,16 @@ def nn_pu_fit(
     return weights, bias
 
 
-def fit_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Each document is an array of distinct buckets. Keep features that mark confirmed documents, then fit them by the PU risk."""
-    positive = without_copies(positive)
-    counts = []
-    for side in (positive, unlabelled):
-        counts.append(np.zeros(BUCKETS))
-        for one in side:
-            counts[-1][one] += 1
-    p = (counts[0] + 0.5) / (len(positive) + 1)
-    u = (counts[1] + 0.5) / (len(unlabelled) + 1)
-    spread = np.sqrt(p * (1 - p) / (len(positive) + 1) + u * (1 - u) / (len(unlabelled) + 1))
+def marking_features(counts: pd.DataFrame, positives: int, unlabelled: int, prior: float) -> np.ndarray:
+    """Buckets (feature, p, u documents that have it) that mark confirmed documents, the strongest first, then sorted."""
+    p = (counts["p"].to_numpy() + 0.5) / (positives + 1)
+    u = (counts["u"].to_numpy() + 0.5) / (unlabelled + 1)
+    spread = np.sqrt(p * (1 - p) / (positives + 1) + u * (1 - u) / (unlabelled + 1))
     strength = (p - u) / spread
-    good = (counts[0] >= LEAST_DOCS) & (prior * p >= LEAST_SHARE * u) & (strength >= LEAST_ERRORS)
-    order = np.flatnonzero(good)
-    order = order[np.lexsort((order, -strength[order]))][:MOST_FEATURES]
-    place = np.full(BUCKETS, -1)
-    place[order] = np.arange(len(order))
-
-    def placed(side: list[np.ndarray]) -> list[np.ndarray]:
-        return [own[own >= 0] for own in (place[one] for one in side)]
-
-    weights, bias = nn_pu_fit(placed(positive), placed(unlabelled), len(order), prior)
-    return Model({int(x): float(weights[n]) for n, x in enumerate(order)}, bias)
+    good = (prior * p >= LEAST_SHARE * u) & (strength >= LEAST_ERRORS)
+    features = counts["feature"].to_numpy()[good]
+    order = np.lexsort((features, -strength[good]))[:MOST_FEATURES]
+    return np.sort(features[order])
 
 
 def _sample(ids: DataFrame, most: int) -> DataFrame:
@@ -162,9 +146,48 @@ def _featurised(texts: DataFrame) -> DataFrame:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [np.array(sorted(document_features(t, known)), np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"confirmed": batch["confirmed"], "features": found})
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].astype(str),
+                    "confirmed": batch["confirmed"],
+                    "features": found,
+                    "hashes": [min_hashes(one) for one in found],
+                }
+            )
 
-    return texts.mapInPandas(run, "confirmed boolean, features array<int>")
+    return texts.mapInPandas(run, "doc_id string, confirmed boolean, features array<int>, hashes array<long>")
+
+
+def fit_sample(sample: DataFrame, prior: float) -> Model:
+    """Keep features that mark confirmed documents, then fit them by the PU risk.
+
+    Near copies of confirmed documents are left out: one much-copied text would make
+    markers of all its words. Counts are made by Spark; of each document the driver
+    only sees the kept features.
+    """
+    signs = sample.where("confirmed").select("doc_id", "hashes").orderBy("doc_id").toPandas()
+    copies = near_copies(np.array(signs["hashes"].tolist(), np.int64).reshape(len(signs), HASHES))
+    dropped = sorted(set(signs["doc_id"][copies]) - set(signs["doc_id"][~copies]))
+    if dropped:
+        # At most as many ids as confirmed documents in the sample.
+        gone = sample.sparkSession.createDataFrame([(x, True) for x in dropped], "doc_id string, confirmed boolean")
+        sample = sample.join(F.broadcast(gone), ["doc_id", "confirmed"], "left_anti")
+    sizes = {row.confirmed: row["count"] for row in sample.groupBy("confirmed").count().collect()}
+    if not sizes.get(True) or not sizes.get(False):
+        return Model({}, float(np.log(prior / (1 - prior))))
+    flags = [F.sum(F.when(F.col("confirmed") == side, 1).otherwise(0)).alias(name) for name, side in (("p", True), ("u", False))]
+    counts = sample.select("confirmed", F.explode("features").alias("feature")).groupBy("feature").agg(*flags)
+    kept_features = marking_features(counts.where(F.col("p") >= LEAST_DOCS).toPandas(), sizes[True], sizes[False], prior)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(kept_features, one)).astype(np.int32) for one in batch["features"]]
+            yield pd.DataFrame({"confirmed": batch["confirmed"], "places": own})
+
+    small = sample.select("confirmed", "features").mapInPandas(placed, "confirmed boolean, places array<int>").toPandas()
+    sides = [[np.asarray(x, np.int64) for x in small["places"][small["confirmed"] == side]] for side in (True, False)]
+    weights, bias = nn_pu_fit(*sides, len(kept_features), prior)
+    return Model({int(x): float(w) for x, w in zip(kept_features, weights)}, bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -186,13 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     chosen = one.select("doc_id", F.lit(True).alias("confirmed")).unionByName(
         other.select("doc_id", F.lit(False).alias("confirmed"))
     )
-    sample = _featurised(texts.join(F.broadcast(chosen), "doc_id")).toPandas()
-    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for confirmed, features in zip(sample["confirmed"], sample["features"]):
-        sides[bool(confirmed)].append(np.asarray(features, np.int32))
-    if not sides[True] or not sides[False]:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    return fit_features(sides[True], sides[False], prior)
+    sample = kept(_featurised(texts.join(F.broadcast(chosen), "doc_id")), "toxicity-sample")
+    return fit_sample(sample, prior)
 
 
 def score_column(text: Column, model: Model) -> Column:
