@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from splitloom.llm.common import texts_of
 
@@ -23,7 +24,7 @@ BUCKET_TOKENS = 4_000_000
 #: its width, which gives 6 * width to 1; the width here is 768.
 LINEAR, QUADRATIC = 6 * 768.0, 1.0
 #: Distinct space-separated pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Special tokens of the vocabulary, which may hold for whole texts only.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -174,23 +175,24 @@ def pack(
     columns of the input are left out.
     """
     texts = texts_of(docs, id_column, text_column)
+    id_type = to_arrow_type(texts.schema["doc_id"].dataType)
     schema = PIECES.format(id=texts.schema["doc_id"].dataType.simpleString())
     if not with_ids:
         schema = schema.removesuffix(", ids array<int>")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         first = TaskContext.get().partitionId() << 32
         ids, names, total = [], [], 0
 
-        def flush() -> Iterator[pd.DataFrame]:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal first, ids, names, total
             placed = balanced([len(one) for one in ids], room)
-            for some in range(0, len(placed), 20_000):
-                part = placed[some : some + 20_000]
+            for some in range(0, len(placed), 5_000):
+                part = placed[some : some + 5_000]
                 cuts = [ids[p.item][p.start : p.start + p.length] for p in part]
                 columns = {
-                    "doc_id": pd.Series([names[p.item] for p in part], dtype=object),
+                    "doc_id": pa.array([names[p.item] for p in part], id_type),
                     "start": [p.start for p in part],
                     "length": [p.length for p in part],
                     "ids_crc32": [zlib.crc32(cut.tobytes()) for cut in cuts],
@@ -199,19 +201,19 @@ def pack(
                     "offset": [p.offset for p in part],
                 }
                 if with_ids:
-                    columns["ids"] = [cut.astype(np.int32) for cut in cuts]
-                yield pd.DataFrame(columns)
+                    columns["ids"] = pa.array([cut.astype(np.int32) for cut in cuts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
             first += 1 + max((p.sequence for p in placed), default=-1)
             ids, names, total = [], [], 0
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].astype(object), batch["text"]):
-                names.append(None if pd.isna(name) else name)
-                ids.append(np.append(encode(text), np.array([END_ID], "<u4")))
+            for name, text in zip(batch.column("doc_id"), batch.column("text")):
+                names.append(name.as_py())
+                ids.append(np.append(encode(text.as_py()), np.array([END_ID], "<u4")))
                 total += len(ids[-1])
                 if total >= bucket_tokens:
                     yield from flush()
         if ids:
             yield from flush()
 
-    return texts.mapInPandas(run, schema)
+    return texts.mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +25,9 @@ from splitloom.llm.components import component_roots
 BITS = 64
 SEED = 42
 #: Hashes whose bits are counted at once.
-FLUSH = 500_000
+FLUSH = 150_000
 #: Variants that a cell sorts at once.
-SORT_AT_ONCE = 4_000_000
+SORT_AT_ONCE = 2_000_000
 
 
 def shingle_hashes(text: str, words_each: int) -> list[int]:
@@ -59,19 +60,19 @@ def majority_bits(hashes: list[int], sizes: list[int]) -> np.ndarray:
 def fingerprint_column(text: Column, words_each: int = 4) -> Column:
     """The fingerprint of whole texts as a long; no words give zero."""
 
-    @F.pandas_udf("long")
-    def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             done, hashes, sizes = [], [], []
             for value in texts:
-                own = shingle_hashes(value or "", words_each)
+                own = shingle_hashes(value.as_py() or "", words_each)
                 hashes += own
                 sizes.append(len(own))
                 if len(hashes) >= FLUSH:
                     done.append(majority_bits(hashes, sizes))
                     hashes, sizes = [], []
             done.append(majority_bits(hashes, sizes))
-            yield pd.Series(np.concatenate(done).view(np.int64))
+            yield pa.array(np.concatenate(done).view(np.int64))
 
     return fingerprint(text)
 

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ BUCKETS = 1 << 20
 LEAST_DOCS, LEAST_SHARE, LEAST_ERRORS = 5, 0.5, 3.0
 MOST_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 HASHES = 16
 THRESHOLD = 0.7
 
@@ -216,11 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 def score_column(text: Column, model: Model) -> Column:
     """The score of whole texts; NULL and empty texts score the bias."""
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
-            yield pd.Series([model.score(value or "", known) for value in texts], dtype=float)
+            yield pa.array([model.score(value.as_py() or "", known) for value in texts], pa.float64())
 
     return score(text)
 
