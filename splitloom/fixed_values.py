@@ -56,6 +56,7 @@ REDDIT_CORPORA = {
 
 # A document of R-CL5-FR known to carry a wrong language.
 REDDIT_MISLABELLED = ("text_raw/jeannaimard_en_000176.txt",)
+REDDIT_MISLABELLED_CORPUS = "R-CL5-FR"
 
 # Texts that a CSV reader of the pandas family takes for a missing value.
 MISSING_MARKERS = (

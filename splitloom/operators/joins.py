@@ -45,7 +45,8 @@ def attach_lookup(
     """Add the columns of a lookup with unique keys; they replace columns of that name.
 
     `on` maps columns of `docs` to columns of `lookup`. A document without entry
-    is an error, unless `on_missing` is "keep". An empty lookup adds nothing.
+    is an error, unless `on_missing` is "keep"; two entries of one key are, too. An empty
+    lookup adds nothing.
     """
     if on_missing not in ("error", "keep"):
         raise ValueError("on_missing must be 'error' or 'keep'")
@@ -54,6 +55,10 @@ def attach_lookup(
     )
     if side.isEmpty():
         return docs
+    keys = [F.col(f"_r_{right}") for right in on.values()]
+    twice = side.groupBy(*keys).count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"several entries for {list(twice[:-1])}")
     match = [F.col(left) == F.col(f"_r_{right}") for left, right in on.items()]
     joined = docs.join(side, match, "left")
     if on_missing == "error":

@@ -20,6 +20,7 @@ from splitloom.fixed_values import (
     PAN18_PROBLEMS,
     REDDIT_CORPORA,
     REDDIT_MISLABELLED,
+    REDDIT_MISLABELLED_CORPUS,
 )
 
 
@@ -176,11 +177,14 @@ def configs_frame(spark: SparkSession, configs: Sequence[SplitConfig]) -> DataFr
     )
 
 
-def usable(docs: DataFrame) -> DataFrame:
-    """Leave out documents that are known to be mislabelled."""
+def usable(docs: DataFrame, corpus: Column) -> DataFrame:
+    """Leave out documents that are known to be mislabelled: one of a single corpus.
+
+    `corpus` names the corpus of each document.
+    """
     if "text_path" not in docs.columns:
         return docs
     bad = [F.col("text_path").endswith(path) for path in REDDIT_MISLABELLED]
     for condition in bad:
-        docs = docs.where(~F.coalesce(condition, F.lit(False)))
+        docs = docs.where(~F.coalesce((corpus == REDDIT_MISLABELLED_CORPUS) & condition, F.lit(False)))
     return docs

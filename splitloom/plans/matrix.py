@@ -24,7 +24,7 @@ def run_config(
     docs: DataFrame, config: SplitConfig, target: str = "author", seed: int = 42, on_short: str = "error"
 ) -> DataFrame:
     """The splits of one configuration over the documents of its corpus."""
-    docs = usable(docs)
+    docs = usable(docs, F.lit(config.corpus))
     limits = {
         "max_targets": config.max_targets,
         "max_docs_per_target": config.max_docs_per_target,
@@ -114,7 +114,7 @@ def matching_documents(
     that the configurations multiply counts and not documents.
     """
     sided = _of_rule(configs, "sides")
-    counts = usable(docs).groupBy(*_columns_used(sided, corpus)).agg(F.count("*").alias("n"))
+    counts = usable(docs, F.col(corpus)).groupBy(*_columns_used(sided, corpus)).agg(F.count("*").alias("n"))
     return _marked(counts, sided, corpus).groupBy("config_id").agg(
         F.sum(F.when(F.col("role") == "train", F.col("n")).otherwise(0)).alias("n_train"),
         F.sum(F.when(F.col("role") == "test", F.col("n")).otherwise(0)).alias("n_test"),
@@ -130,7 +130,7 @@ def matrix_summary(
     aggregation for all rules on sides, one for all folds, one for all titles.
     """
     _no_target_limit(configs)
-    docs = usable(docs)
+    docs = usable(docs, F.col(corpus))
     n = F.col("n")
     parts = []
     sided = _of_rule(configs, "sides")
@@ -259,7 +259,7 @@ def matrix_splits(
     configurations. Held-out titles have a form of their own, see `run_config`.
     """
     _no_target_limit(configs)
-    docs = usable(docs)
+    docs = usable(docs, F.col(corpus))
     columns = [*KEYS, "role", "doc_id", "target"]
     parts = []
     sided = _of_rule(configs, "sides")

@@ -6,6 +6,8 @@ Every tree operator takes such a frame. It comes from a directory through
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +16,34 @@ from splitloom.functions.paths import relative_to
 from splitloom.functions.text import cp1252_is_undefined, decode_cp1252
 
 
+def unreadable_files(spark: SparkSession, root: str, name_glob: str) -> list[str]:
+    """Matching files that a scan skips, as they or their directories below `root` begin with `_` or `.`."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    base = system.getFileStatus(top).getPath().toUri().getPath().rstrip("/")
+    found, files = [], system.listFiles(top, True)
+    while files.hasNext():
+        path = files.next().getPath().toUri().getPath()[len(base) + 1 :]
+        *_, name = parts = path.split("/")
+        hidden = any(p.startswith(("_", ".")) for p in parts)
+        if hidden and fnmatch(name, name_glob) and not name.endswith(".crc") and name != "_SUCCESS":
+            found.append(path)
+    return sorted(found)
+
+
 def read_files(
     spark: SparkSession, root: str, name_glob: str = "*.txt", below: str = ""
 ) -> DataFrame:
-    """All files under `root` (or the directories `below` it) whose name matches."""
+    """All files under `root` (or the directories `below` it) whose name matches.
+
+    A matching file that a scan would skip for its name is an error.
+    """
+    skipped = unreadable_files(spark, root, name_glob)
+    if skipped:
+        raise ValueError(f"names that begin with _ or . can't be read: {', '.join(skipped[:20])}")
     location = f"{root.rstrip('/')}/{below}" if below else root
     found = (
         spark.read.format("binaryFile")
@@ -44,5 +70,7 @@ def decoded(files: DataFrame, encoding: str) -> DataFrame:
             ~F.is_valid_utf8(content.cast("string")),
             F.concat(F.lit("not UTF-8: "), F.col("path")),
         )
-        return files.withColumn("text", content.cast("string")).drop("content")
+        # Text files may end their lines in any of the three ways.
+        text = F.regexp_replace(content.cast("string"), "\\r\\n?", "\n")
+        return files.withColumn("text", text).drop("content")
     raise ValueError(f"encoding must be 'cp1252' or 'utf-8', not {encoding!r}")

@@ -54,6 +54,11 @@ def problem_documents(collection: DataFrame, truth: DataFrame, files: DataFrame)
         checked, F.col("_hit").isNull(), F.concat_ws("/", F.lit("missing file: "), "problem", "name")
     )
     matched = matched.unionByName(missing.drop("_hit"), allowMissingColumns=True)
+    # A listed problem without truth would lose its test side.
+    given = truth.where("ground_truth IS NOT NULL").select("problem", F.lit(True).alias("_given")).distinct()
+    untold = listed.join(given, "problem", "left")
+    untold = failing(untold, F.col("_given").isNull(), F.concat(F.lit("no truth for "), "problem"))
+    matched = matched.unionByName(untold.select("problem"), allowMissingColumns=True)
     sides = known.withColumn("data_type", F.lit("train")).unionByName(
         matched.withColumn("data_type", F.lit("test"))
     )
@@ -66,13 +71,15 @@ def read_problem_collection(spark: SparkSession, root: str) -> DataFrame:
     root = root.rstrip("/")
     collection = (
         spark.read.schema(COLLECTION)
-        .json(f"{root}/collection-info.json", multiLine=True)
+        .json(f"{root}/collection-info.json", multiLine=True, mode="FAILFAST")
         .select(F.col("problem-name").alias("problem"), "language")
     )
+    # File paths in metadata are percent-encoded, those of read files are not.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     truth = (
         spark.read.schema(TRUTH)
-        .json(f"{root}/*/ground-truth.json", multiLine=True)
-        .select(part(F.col("_metadata.file_path"), -2).alias("problem"), "ground_truth")
+        .json(f"{root}/*/ground-truth.json", multiLine=True, mode="FAILFAST")
+        .select(part(plain, -2).alias("problem"), "ground_truth")
     )
     known = read_files(spark, root, "known*.txt", below="*/candidate*")
     unknown = read_files(spark, root, "*", below="*/unknown")

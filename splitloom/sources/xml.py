@@ -2,36 +2,64 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splitloom.functions.guards import reject
 from splitloom.functions.paths import base_name, part, stem
+from splitloom.functions.text import decode_cp1252, latin1
 from splitloom.operators.joins import attach_lookup
 from splitloom.sources.files import read_files
 from splitloom.sources.tables import parse_truth, read_truth_lines
 from splitloom.sources.trees import find_directory
 
 
+ENCODINGS = ("", "utf-8", "us-ascii", "iso-8859-1", "latin-1", "windows-1252", "cp1252")
+
+
+def _declared() -> Column:
+    """The encoding that a file's first line names, in lower case; none is UTF-8."""
+    head = latin1(F.substring("content", 1, 200))
+    return F.lower(F.regexp_extract(head, "^<\\?xml[^>]*encoding=[\"']([A-Za-z0-9._-]+)", 1))
+
+
+def _xml_text() -> Column:
+    content = F.col("content")
+    return (
+        F.when(_declared().isin("iso-8859-1", "latin-1"), latin1(content))
+        .when(_declared().isin("windows-1252", "cp1252"), decode_cp1252(content))
+        .otherwise(content.cast("string"))
+    )
+
+
 def xml_documents(files: DataFrame, search_path: str) -> DataFrame:
     """<language>/<author>.xml with one document per element at `search_path`.
 
     The path names elements below the root, such as `documents/document`.
     Files of one author may come in several rows.
     """
-    steps = [step for step in search_path.strip("/").split("/") if step not in ("", ".")]
+    steps = search_path.removeprefix("./").split("/")
+    if not all(re.fullmatch(r"[\w:-][\w:.-]*", step) for step in steps):
+        raise ValueError(f"not a plain list of element names: {search_path!r}")
     schema = "ARRAY<STRING>"
     for step in reversed(steps[1:]):
         schema = f"ARRAY<STRUCT<`{step}`: {schema}>>"
     options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
-    found = F.from_xml(F.col("content").cast("string"), f"`{steps[0]}` {schema}", options)
+    files = reject(
+        files.where(F.col("path").endswith(".xml")),
+        ~_declared().isin(*ENCODINGS) | (_declared().isin("", "utf-8", "us-ascii") & ~F.is_valid_utf8(F.col("content").cast("string"))),
+        F.concat(F.lit("encoding not understood: "), F.col("path")),
+    )
+    found = F.from_xml(_xml_text(), f"`{steps[0]}` {schema}", options)
     elements = found.getField(steps[0])
     for step in steps[1:]:
         elements = F.flatten(F.filter(elements.getField(step), lambda inner: inner.isNotNull()))
     path = F.col("path")
-    return files.where(path.endswith(".xml")).select(
+    return files.select(
         "path",
         part(path, -2).alias("language"),
         stem(base_name(path)).alias("author"),

@@ -184,6 +184,40 @@ def test_problems(spark, tmp_path):
         corpora.pan18(spark, root).collect()
 
 
+def test_broken_or_missing_truth_is_an_error(spark, tmp_path):
+    root = _problems(tmp_path)
+    truth = tmp_path / "problem00002" / "ground-truth.json"
+    whole = truth.read_bytes()
+    truth.write_bytes(whole[:-5])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        corpora.pan18(spark, root).collect()
+    truth.unlink()
+    with pytest.raises(Exception, match="no truth for problem00002"):
+        corpora.pan18(spark, root).collect()
+
+
+def test_skipped_names_are_an_error(spark, tmp_path):
+    root = write(tmp_path, {"_ann/en/emma.txt": "x", "bob/en/_emma.txt": "y", "bob/en/ok.txt": "z"})
+    with pytest.raises(ValueError, match="_ann/en/emma.txt, bob/en/_emma.txt"):
+        read_files(spark, root)
+    assert read_files(spark, write(tmp_path / "b", {"bob/ok.txt": "z"})).count() == 1
+
+
+def test_xml_encodings_and_paths(spark, tmp_path):
+    text = '<?xml version="1.0" encoding="{}"?>\n<a><d>é</d></a>'
+    files = [
+        ("en/a.xml", text.format("ISO-8859-1").encode("latin-1")), ("en/b.xml", text.format("UTF-8").encode()),
+        ("en/c.xml", text.format("windows-1252").encode("cp1252")),
+    ]
+    frame = spark.createDataFrame(files, "path string, content binary")
+    assert [row.text for row in xml_documents(frame, "./d").collect()] == ["é"] * 3
+    bad = spark.createDataFrame([("en/a.xml", text.format("UTF-8").encode("latin-1"))], "path string, content binary")
+    with pytest.raises(Exception, match="encoding not understood"):
+        xml_documents(bad, "d").collect()
+    with pytest.raises(ValueError, match="plain list"):
+        xml_documents(frame, ".//d")
+
+
 def test_written_corpus(spark, tmp_path):
     raw = write(tmp_path / "raw", {
         "UK/ann/2.txt": b"two", "UK/ann/1.txt": b"one", "Books/bob/1.txt": b"NA", "Books/bob/2.txt": b"four",
