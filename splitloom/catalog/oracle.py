@@ -189,7 +189,7 @@ long AS (
   SELECT config_id, split_id, role, doc_id, target FROM usable
   QUALIFY role = 'test' OR cap IS NULL OR row_number() OVER (
     PARTITION BY config_id, split_id, role, target
-    ORDER BY {_draw("config_id", "split_id", "doc_id")}, doc_id) <= cap
+    ORDER BY {_draw("split_id", "doc_id")}, doc_id) <= cap
 )"""
 
 
@@ -448,10 +448,20 @@ matching AS (
 listed(config_id, loader, path, domain, test_domain, train_values, test_values, problem,
        test_language, n_splits, max_docs_per_target) AS (VALUES {_config_rows()})
 SELECT listed.*, n_train, n_test FROM listed LEFT JOIN matching USING (config_id)""", CORPORA)
-    sql["matrix_splits"] = _with(f"{_matrix_long()} SELECT * FROM long", CORPORA)
     novels = f"""
 novels AS (SELECT doc_id, author AS novelist, language, title FROM corpora WHERE corpus = 'cl_novels'),
 {TITLE_PLAN.replace(", docs", ", novels").replace("FROM docs", "FROM novels")}"""
+    sql["matrix_splits"] = _with(f"""{_matrix_long()},{novels}
+SELECT config_id, split_id, role, doc_id, target, CAST(NULL AS VARCHAR) AS not_in_split FROM long
+UNION ALL
+SELECT 'cl_novels/' || test_language, split_id, 'test', doc_id, novelist, NULL
+FROM plan JOIN novels USING (title)
+WHERE language = test_language AND split_id IS NOT NULL AND test_language IN ('es', 'en')
+UNION ALL
+SELECT 'cl_novels/' || l.test_language, NULL, 'train', doc_id, novelist, split_id
+FROM languages l JOIN novels n ON n.language IS DISTINCT FROM l.test_language
+LEFT JOIN plan p ON p.test_language = l.test_language AND p.title = n.title
+WHERE l.test_language IN ('es', 'en')""", CORPORA)
     sql["run_matrix"] = _with(f"""{_matrix_long()},{novels},
 counted AS (
 SELECT config_id, count(DISTINCT split_id) AS n_splits, count(*) FILTER (role = 'train') AS n_train,

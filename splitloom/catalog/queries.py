@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from splitloom.operators.audit import language_audit as audit_languages
 from splitloom.operators.cap import cap_docs_per_target as cap
 from splitloom.operators.folds import attach_folds, fold_cuts
 from splitloom.operators.folds import stratified_kfold as kfold
-from splitloom.operators.heldout import split_heldout_title as heldout
+from splitloom.operators.heldout import split_heldout_titles
 from splitloom.operators.heldout import title_overlap as overlap
 from splitloom.operators.heldout import title_plan
 from splitloom.operators.heldout import untested_titles as untested
@@ -91,11 +90,7 @@ def cv_split_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_heldout_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "language", "title", "novelist")
-    splits = [
-        heldout(docs, language, author="novelist").withColumn("test_language", F.lit(language))
-        for language in LANGUAGES
-    ]
-    return reduce(DataFrame.unionByName, splits)
+    return split_heldout_titles(docs, LANGUAGES, author="novelist")
 
 
 @query

@@ -87,39 +87,54 @@ def title_plan(
     )
 
 
-def split_heldout_title(
+def split_heldout_titles(
     docs: DataFrame,
-    test_language: str,
+    test_languages: Sequence[str],
     require_coverage: bool = False,
     author: str = "author",
     language: str = "language",
     title: str = "title",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """(role, split_id, not_in_split, doc_id, target), one row per document.
+    """(test_language, role, split_id, not_in_split, doc_id, target), a row per language and document.
 
     A test document has the `split_id` that tests it. A training document has
     none, as it serves all splits but the one in `not_in_split`, if any.
     """
     columns = {"author": author, "language": language, "title": title}
-    plan = title_plan(docs, [test_language], require_coverage, **columns)
+    plan = title_plan(docs, test_languages, require_coverage, **columns)
     side = lookup_side(
         plan.where(F.col("split_id").isNotNull()).select(
-            F.col("title").alias("_title"), F.col("split_id").alias("_split")
+            F.col("test_language").alias("_language"), F.col("title").alias("_title"), F.col("split_id").alias("_split")
         )
     )
+    names = F.array(*[F.lit(name) for name in test_languages])
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(author).alias("target"),
+        F.col(language).alias("_own"),
+        F.col(title).alias("title"),
+        F.explode(names).alias("test_language"),
+    )
     # A train title with a split overlaps, since no title of the rest is in train.
-    placed = docs.join(side, F.col(title) == F.col("_title"), "left")
-    tested = F.col(language).eqNullSafe(test_language)
+    same = (F.col("test_language") == F.col("_language")) & (F.col("title") == F.col("_title"))
+    placed = rows.join(side, same, "left")
+    tested = F.col("_own").eqNullSafe(F.col("test_language"))
     return placed.where(~tested | F.col("_split").isNotNull()).select(
+        "test_language",
         F.when(tested, F.lit("test")).otherwise(F.lit("train")).alias("role"),
         F.when(tested, F.col("_split")).alias("split_id"),
         F.when(~tested, F.col("_split")).alias("not_in_split"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(author).alias("target"),
+        "doc_id",
+        "target",
     )
 
 
+def split_heldout_title(docs: DataFrame, test_language: str, require_coverage: bool = False, **columns: str) -> DataFrame:
+    """(role, split_id, not_in_split, doc_id, target), one row per document: the splits of one language."""
+    return split_heldout_titles(docs, [test_language], require_coverage, **columns).drop("test_language")
+
+
 def one_title_split(assigned: DataFrame, split_id: str) -> DataFrame:
     """The plain train and test rows of one split."""
     train = (F.col("role") == "train") & ~F.col("not_in_split").eqNullSafe(split_id)

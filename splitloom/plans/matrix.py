@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splitloom.functions.order import seeded_order
 from splitloom.operators.cap import first_per_group, reject_short
 from splitloom.operators.folds import attach_folds, fold_cuts
-from splitloom.operators.heldout import split_heldout_title, title_plan
+from splitloom.operators.heldout import split_heldout_title, split_heldout_titles, title_plan
 from splitloom.operators.joins import lookup_side
 from splitloom.operators.predicates import require_values
 from splitloom.plans.configs import SplitConfig, configs_frame, usable
@@ -245,6 +246,14 @@ def _titles_summary(
     )
 
 
+def _families(configs: Sequence[SplitConfig]) -> list[list[SplitConfig]]:
+    """Configurations that differ in their limit on documents alone."""
+    families: dict[SplitConfig, list[SplitConfig]] = {}
+    for config in configs:
+        families.setdefault(replace(config, config_id="", max_docs_per_target=None), []).append(config)
+    return list(families.values())
+
+
 def matrix_splits(
     docs: DataFrame,
     configs: Sequence[SplitConfig],
@@ -253,20 +262,22 @@ def matrix_splits(
     seed: int = 42,
     on_short: str = "error",
 ) -> DataFrame:
-    """All splits of many configurations: (config_id, split_id, role, doc_id, target).
+    """All splits of many configurations: (config_id, split_id, role, doc_id, target, not_in_split).
 
-    One plan for all rules on sides and one for all folds, whatever the number of
-    configurations. Held-out titles have a form of their own, see `run_config`.
+    The same rows as `run_config` gives. One plan for all rules on sides, one for all
+    folds, and one for the held-out titles of each corpus, whatever the number of
+    configurations. `not_in_split` is set for held-out titles alone, whose training
+    rows have no `split_id`: they serve all splits but that one.
     """
     _no_target_limit(configs)
     docs = usable(docs, F.col(corpus))
-    columns = [*KEYS, "role", "doc_id", "target"]
     parts = []
-    sided = _of_rule(configs, "sides")
+    sided = _families(_of_rule(configs, "sides"))
     if sided:
-        own = docs.select("doc_id", F.col(target).alias("target"), *_columns_used(sided, corpus))
-        rows = _marked(own, sided, corpus).withColumn("split_id", F.lit("0"))
-        rows = rows.select(*KEYS, "role", "doc_id", "target", "cap")
+        first = [family[0] for family in sided]
+        own = docs.select("doc_id", F.col(target).alias("target"), *_columns_used(first, corpus))
+        rows = _marked(own, first, corpus).withColumn("split_id", F.lit("0"))
+        rows = rows.select(*KEYS, "role", "doc_id", "target")
         train = rows.where(F.col("role") == "train")
         listed = lookup_side(
             train.select(F.col("config_id").alias("_c"), F.col("target").alias("_t")).distinct()
@@ -276,37 +287,78 @@ def matrix_splits(
             (F.col("config_id") == F.col("_c")) & F.col("target").eqNullSafe(F.col("_t")),
             "left_semi",
         )
-        parts += [_cap_each(train, sided, seed, on_short).select(*columns), test.select(*columns)]
-    folded = _of_rule(configs, "folds")
+        parts += _each_limit(train, test, sided, seed, on_short)
+    folded = _families(_of_rule(configs, "folds"))
     if folded:
-        k = _one_value(folded, "n_splits")
-        _one_value(folded, "path")
-        own = docs.where(F.col(corpus) == folded[0].corpus)
+        first = [family[0] for family in folded]
+        k = _one_value(first, "n_splits")
+        _one_value(first, "path")
+        own = docs.where(F.col(corpus) == first[0].corpus)
         cuts = fold_cuts(own, target, k)
         folds = attach_folds(own.select("doc_id", F.col(target).alias("target")), cuts, "target")
-        rows = folds.select("*", _config_rows(folded)).select(
+        rows = folds.select("*", _config_rows(first)).select(
             "*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_split")
         )
         rows = rows.withColumn("split_id", F.col("_split").cast("string"))
         tested = F.col("_split") == F.col("fold")
         train = rows.where(~tested).withColumn("role", F.lit("train"))
         test = rows.where(tested).withColumn("role", F.lit("test"))
-        parts += [_cap_each(train, folded, seed, on_short).select(*columns), test.select(*columns)]
-    return reduce(DataFrame.unionByName, parts)
+        parts += _each_limit(train, test, folded, seed, on_short)
+    parts += _title_rows(docs, _of_rule(configs, "titles"), target, corpus)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(
+        *KEYS, "role", "doc_id", "target", "not_in_split"
+    )
 
 
-def _cap_each(
-    train: DataFrame, configs: Sequence[SplitConfig], seed: int, on_short: str
-) -> DataFrame:
-    """Apply to every configuration its own limit on documents per target."""
-    caps = [config.max_docs_per_target for config in configs if config.max_docs_per_target]
-    if not caps:
-        return train
+def _title_rows(
+    docs: DataFrame, configs: Sequence[SplitConfig], target: str, corpus: str
+) -> list[DataFrame]:
+    """The rows of held-out titles, in one plan per corpus."""
+    parts = []
+    for name in sorted({config.corpus for config in configs}):
+        ids = {config.test_language: config.config_id for config in configs if config.corpus == name}
+        own = docs.where(F.col(corpus) == name)
+        config_id = F.lit(None).cast("string")
+        for language, own_id in ids.items():
+            config_id = F.when(F.col("test_language") == language, F.lit(own_id)).otherwise(config_id)
+        rows = split_heldout_titles(own, list(ids), author=target).withColumn("config_id", config_id)
+        parts.append(rows.drop("test_language"))
+    return parts or [docs.sparkSession.createDataFrame([], "not_in_split STRING")]
+
+
+def _each_limit(
+    train: DataFrame, test: DataFrame, families: Sequence[Sequence[SplitConfig]], seed: int, on_short: str
+) -> list[DataFrame]:
+    """Rows of every family, one for each of its configurations and within its limit.
+
+    The draw of a document depends on its split and not on the limit, so the rows of
+    a limit are among those of a larger one: they are ranked once, up to the largest.
+    """
+    columns = [*KEYS, "role", "doc_id", "target"]
+    limits = [(own[0].config_id, config.config_id, config.max_docs_per_target or None) for own in families for config in own]
+    # As many rows as configurations were handed over: the broadcast is small.
+    listed = F.broadcast(train.sparkSession.createDataFrame(limits, "_family STRING, _id STRING, _cap INT"))
+
+    def each(rows: DataFrame, which: Column) -> DataFrame:
+        joined = rows.join(listed.where(which), F.col("config_id") == F.col("_family"))
+        if "_rank" in rows.columns:
+            joined = joined.where("_rank <= _cap")
+        return joined.withColumn("config_id", F.col("_id")).select(*columns)
+
+    parts = [each(test, F.lit(True)), each(train, F.col("_cap").isNull())]
+    most = {own[0].config_id: max(c.max_docs_per_target or 0 for c in own) for own in families}
+    most = {name: cap for name, cap in most.items() if cap}
+    if not most:
+        return parts
     groups = [*KEYS, "target"]
-    free = train.where(F.col("cap").isNull())
-    draw = seeded_order(seed, "document", *[F.col(key) for key in KEYS], F.col("doc_id"))
-    limited = train.where(F.col("cap").isNotNull() & F.col("target").isNotNull())
-    kept = first_per_group(limited.withColumn("_draw", draw), groups, max(caps), own="cap").drop("_draw")
+    cap = F.lit(None).cast("int")
+    for name, largest in most.items():
+        cap = F.when(F.col("config_id") == name, F.lit(largest)).otherwise(cap)
+    draw = seeded_order(seed, "document", F.col("split_id"), F.col("doc_id"))
+    limited = train.where(F.col("config_id").isin(list(most)) & F.col("target").isNotNull())
+    limited = limited.select(*columns, cap.alias("cap"), draw.alias("_draw"))
+    kept = first_per_group(limited, groups, max(most.values()), own="cap")
     if on_short == "error":
-        kept = reject_short(kept, groups, max(caps), "cap")
-    return free.unionByName(kept)
+        kept = reject_short(kept, groups, max(most.values()), "cap")
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy("_draw", "doc_id"))
+    return [*parts, each(kept.withColumn("_rank", rank), F.col("_cap").isNotNull())]
