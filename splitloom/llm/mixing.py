@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.llm.common import kept, words_of
+from splitloom.llm.common import kept, let
 
 #: Bound of the labelled rows that fit the classifier, and its size.
 LABELLED, FEATURES = 20_000, 4_096
@@ -21,52 +19,96 @@ PARTS = 50
 STEPS, TOLERANCE = 30, 1e-4
 
 
-def _words(text: str) -> Column:
-    return words_of(F.lower(F.coalesce(F.col(text), F.lit(""))))
+#: White space between words.
+SPACE = " \t\n\x0b\x0c\r"
+
+
+def _words(text: Column) -> Column:
+    """The lower-cased words of a text; NULL and blank texts have none."""
+    inner = F.btrim(F.lower(text), F.lit(SPACE))
+    return F.when(F.length(inner) > 0, F.split(inner, f"[{SPACE}]+")).otherwise(F.array().cast("array<string>"))
+
+
+def _sampled(labelled: DataFrame, label: Column, most: int) -> DataFrame:
+    """(text, label): at most `most` distinct texts of a known label, those of the least hashes.
+
+    Hashes are compared before any text is moved, and copies of a text meet within
+    their tasks first, so that a hot text sends few rows. A text with several labels
+    has the least one.
+    """
+    known = labelled.select("text", label.alias("label")).where("label >= 0").withColumn("hash", F.xxhash64("text"))
+    last = known.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    few = known.where(F.col("hash") <= F.lit(last).cast("long"))
+    chosen = few.groupBy("hash").agg(F.min("label").alias("label"), F.min(F.struct("label", "text")).alias("row"))
+    return chosen.select("row.text", "label")
+
+
+def _linear(buckets: Column, weights: np.ndarray, bias: float) -> Column:
+    """The bias plus the mean weight of the buckets, as sum over an array."""
+    table = F.split(F.lit(",".join(repr(float(w)) for w in weights)), ",").cast("array<double>")
+    total = F.aggregate(buckets, F.lit(0.0), lambda a, x: a + F.get(table, x))
+    return F.lit(float(bias)) + total / F.greatest(F.size(buckets), F.lit(1))
+
+
+def _softmax(scores: list[Column]) -> Column:
+    def shares(all_scores: Column) -> Column:
+        top = F.array_max(all_scores)
+        powers = F.transform(all_scores, lambda s: F.exp(s - top))
+        return let(powers, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, y: a + y)))
+
+    return let(F.array(*scores), shares)
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
     """Add `tokens` (words) and `parts`, an array of whole parts of PARTS, one per domain.
 
-    `labelled` has text and domain; at most LABELLED rows of known domains fit a
+    `labelled` has text and domain; at most LABELLED distinct texts of known domains fit a
     multinomial logistic regression over hashed words. Without two domains to tell
     apart, every document has the shares of the labels, or equal ones without any.
     The parts are rounded down, and the likeliest domain takes what is left.
     """
     place = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")) - 1
-    known = labelled.select(_words("text").alias("words"), place.cast("double").alias("label")).where("label >= 0")
-    sample = kept(known.orderBy(F.xxhash64("words"), "label").limit(LABELLED), "mixing-sample")
+    hashing = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=FEATURES)
+    normal = Normalizer(inputCol="__tf", outputCol="__x", p=1.0)
+    sample = _sampled(labelled, place.cast("double"), LABELLED).withColumn("__words", F.transform(_words(F.col("text")), lambda word: F.hash(word)))
+    sample = kept(normal.transform(hashing.transform(sample)).select("__x", "label"), "mixing-sample")
     seen = {int(row.label): row.n for row in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    words = docs.withColumn("__words", _words("text"))
+    # The regression's buckets: its hash of whole numbers is the one of SQL.
+    bucket = lambda word: F.pmod(F.hash(F.hash(word)), F.lit(FEATURES))
+    words = docs.withColumn("__words", F.transform(_words(F.col("text")), bucket))
     if len(seen) < 2:
         total = sum(seen.values())
         flat = [F.lit(seen.get(n, 0) / total if total else 1 / len(domains)) for n in range(len(domains))]
-        shares = words.withColumn("__p", F.array(*flat))
+        share = F.array(*flat)
     else:
         # Domains without a label get no weight.
         order = sorted(seen)
         dense = F.array_position(F.array(*[F.lit(float(n)) for n in order]), F.col("label")) - 1
-        stages = [
-            HashingTF(inputCol="__words", outputCol="__tf", numFeatures=FEATURES),
-            Normalizer(inputCol="__tf", outputCol="__x", p=1.0),
-            LogisticRegression(
-                featuresCol="__x", labelCol="label", probabilityCol="__probability", rawPredictionCol="__raw",
-                predictionCol="__prediction", family="multinomial", maxIter=30, regParam=1e-5,
+        regression = LogisticRegression(
+            featuresCol="__x", labelCol="label", family="multinomial", maxIter=30, regParam=1e-5
+        )
+        model = regression.fit(sample.select("__x", dense.cast("double").alias("label")))
+        weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        # Only differences to the last domain count, so that one has the score zero.
+        scores = let(
+            F.col("__words"),
+            lambda found: _softmax(
+                [_linear(found, weights[n] - weights[-1], bias[n] - bias[-1]) for n in range(len(order) - 1)]
+                + [F.lit(0.0)]
             ),
-        ]
-        model = Pipeline(stages=stages).fit(
-            sample.select(F.col("words").alias("__words"), dense.cast("double").alias("label"))
         )
-        got = vector_to_array("__probability")
-        spread = [F.get(got, F.lit(order.index(n))) if n in seen else F.lit(0.0) for n in range(len(domains))]
-        shares = model.transform(words).withColumn("__p", F.array(*spread))
-    floors = F.transform("__p", lambda p: F.floor(p * PARTS).cast("int"))
-    rest = PARTS - F.aggregate(floors, F.lit(0), lambda a, x: a + x)
-    top = F.array_position("__p", F.array_max("__p")) - 1
-    parts = F.transform(floors, lambda x, i: x + F.when(i == top, rest).otherwise(0))
-    return shares.withColumns({"tokens": F.size("__words").cast("long"), "parts": parts}).drop(
-        "__words", "__tf", "__x", "__raw", "__probability", "__prediction", "__p"
-    )
+        share = let(
+            scores,
+            lambda p: F.array(*[F.get(p, F.lit(order.index(n))) if n in seen else F.lit(0.0) for n in range(len(domains))]),
+        )
+
+    def rounded(p: Column) -> Column:
+        floors = F.transform(p, lambda x: F.floor(x * PARTS).cast("int"))
+        top = F.array_position(p, F.array_max(p)) - 1
+        rest = PARTS - F.aggregate(floors, F.lit(0), lambda a, x: a + x)
+        return F.transform(floors, lambda x, i: x + F.when(i == top, rest).otherwise(0))
+
+    return words.withColumns({"tokens": F.size("__words").cast("long"), "parts": let(share, rounded)}).drop("__words")
 
 
 def _rate(path: list[list[float]], least: float) -> Column:

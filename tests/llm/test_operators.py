@@ -282,6 +282,23 @@ def test_zip64_directory(monkeypatch):
         warczip.members(lambda a, b: bytes(b), 100)
 
 
+def test_mixing_samples_distinct_texts_and_scores_the_fitted_buckets(spark):
+    from pyspark.ml.feature import HashingTF
+
+    rows = [("ein Hund", "de")] * 500 + [("ein Hund", "en"), (None, "de"), ("", "en"), ("a dog", "en"), ("x", "fr")]
+    labelled = spark.createDataFrame(rows, "text string, domain string")
+    label = F.array_position(F.array(F.lit("de"), F.lit("en")), F.col("domain")) - 1
+    whole = mixing._sampled(labelled, label.cast("double"), 100).collect()
+    assert sorted((r.text or "NULL", r.label) for r in whole) == [("", 1), ("NULL", 0), ("a dog", 1), ("ein Hund", 0)]
+    assert mixing._sampled(labelled, label.cast("double"), 2).count() == 2
+    words = spark.createDataFrame([("Zwölf  Hunde\tbellen ",)], "text string").select(mixing._words(F.col("text")).alias("w"))
+    assert words.first().w == ["zwölf", "hunde", "bellen"]
+    hashed = words.select(F.transform("w", lambda w: F.hash(w)).alias("h"))
+    vector = HashingTF(inputCol="h", outputCol="v", numFeatures=mixing.FEATURES).transform(hashed).first().v
+    buckets = words.select(F.transform("w", lambda w: F.pmod(F.hash(F.hash(w)), F.lit(mixing.FEATURES))).alias("b")).first().b
+    assert sorted(set(buckets)) == sorted(vector.indices)
+
+
 def test_mixing_reaches_its_targets(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["red", "blue"] if i % 4 else ["rot", "blau"]) for _ in range(20)), "de" if i % 4 == 0 else "en") for i in range(200)]
