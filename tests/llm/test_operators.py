@@ -289,7 +289,7 @@ def test_mixing_samples_distinct_texts_and_scores_the_fitted_buckets(spark):
     labelled = spark.createDataFrame(rows, "text string, domain string")
     label = F.array_position(F.array(F.lit("de"), F.lit("en")), F.col("domain")) - 1
     whole = mixing._sampled(labelled, label.cast("double"), 100).collect()
-    assert sorted((r.text or "NULL", r.label) for r in whole) == [("", 1), ("NULL", 0), ("a dog", 1), ("ein Hund", 0)]
+    assert sorted(("NULL" if r.text is None else r.text, r.label) for r in whole) == [("", 1), ("NULL", 0), ("a dog", 1), ("ein Hund", 0)]
     assert mixing._sampled(labelled, label.cast("double"), 2).count() == 2
     words = spark.createDataFrame([("Zwölf  Hunde\tbellen ",)], "text string").select(mixing._words(F.col("text")).alias("w"))
     assert words.first().w == ["zwölf", "hunde", "bellen"]
