@@ -36,7 +36,8 @@ def _sampled(labelled: DataFrame, label: Column, most: int) -> DataFrame:
     their tasks first, so that a hot text sends few rows. A text with several labels
     has the least one.
     """
-    known = labelled.select("text", label.alias("label")).where("label >= 0").withColumn("hash", F.xxhash64("text"))
+    key = F.col("text_hash") if "text_hash" in labelled.columns else F.xxhash64("text")
+    known = labelled.select("text", label.alias("label"), key.alias("hash")).where("label >= 0")
     last = known.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
     few = known.where(F.col("hash") <= F.lit(last).cast("long"))
     chosen = few.groupBy("hash").agg(F.min("label").alias("label"), F.min(F.struct("label", "text")).alias("row"))
@@ -63,7 +64,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
     """Add `tokens` (words) and `parts`, an array of whole parts of PARTS, one per domain.
 
     `labelled` has text and domain; at most LABELLED distinct texts of known domains fit a
-    multinomial logistic regression over hashed words. Without two domains to tell
+    multinomial logistic regression over hashed words. A `text_hash` (xxhash64 of the text),
+    where a join that made `labelled` had it already, keeps texts out of that join. Without two domains to tell
     apart, every document has the shares of the labels, or equal ones without any.
     The parts are rounded down, and the likeliest domain takes what is left.
     """

@@ -23,9 +23,10 @@ def vocabulary() -> str:
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents of the label table with their language as domain."""
+    """The documents of the label table with their language as domain; hashed before the join."""
     known = labels.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    return docs.join(known, "doc_id", "left_semi").select("text", F.col("lang").alias("domain"))
+    rows = docs.select("doc_id", "text", F.col("lang").alias("domain"), F.xxhash64("text").alias("text_hash"))
+    return rows.join(known, "doc_id", "left_semi").drop("doc_id")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
