@@ -1,9 +1,10 @@
-"""Minimax contiguous sharding: the smallest capacity that a greedy walk can hold."""
+"""Minimax contiguous sharding: the smallest capacity that a greedy walk can hold, filled evenly."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +38,53 @@ def smallest_capacity(sizes: list[int], shards: int) -> int:
     return low
 
 
+def _level(sizes: np.ndarray, shards: int) -> float:
+    """The bytes of a shard if those sizes that are above it have a shard each and the rest is spread evenly."""
+    level = sizes.sum() / shards
+    while True:
+        large = sizes > level
+        left = shards - int(large.sum())
+        lower = sizes[~large].sum() / left if left > 0 else level
+        if lower >= level or left <= 0:
+            return level
+        level = lower
+
+
+def _aim(sizes: np.ndarray, shards: int) -> float:
+    """The bytes of the first shard: an even share of what comes before the next size that is above the level."""
+    level = _level(sizes, shards) if shards > 0 else float(sizes.sum())
+    large = np.flatnonzero(sizes > level)
+    if not len(large):
+        return level
+    before = sizes[: large[0]].sum()
+    return before / max(1, round(before / level)) if large[0] else float(sizes[0])
+
+
 def cut_points(sizes: list[int], shards: int) -> list[int]:
-    """Positions at which the second and each later shard begins; there may be fewer than asked."""
-    capacity, room, cuts = smallest_capacity(sizes, shards), 0, []
-    room = capacity
+    """Positions at which the second and each later shard begins; there may be fewer than asked.
+
+    No shard is above the least capacity. A shard ends where it is nearest to an even share of what
+    is left, as long as the rest still fits into the shards that are left.
+    """
+    capacity, count = smallest_capacity(sizes, shards), len(sizes)
+    # The shards that a walk from each position needs, by the end of its first one.
+    needed, end, held = [0] * (count + 1), count, 0
+    for at in range(count - 1, -1, -1):
+        held += sizes[at]
+        while held > capacity:
+            end -= 1
+            held -= sizes[end]
+        needed[at] = 1 + needed[end]
+    array, cuts = np.array(sizes, dtype=np.int64), []
+    filled, left, aim = 0, shards, _aim(array, shards)
     for at, size in enumerate(sizes):
-        if size > room:
+        nearest = filled + size - aim > aim - filled
+        spare = left - 1 >= needed[at]
+        if filled and (filled + size > capacity or spare and (nearest or count - at < left)):
             cuts.append(at)
-            room = capacity
-        room -= size
+            filled, left = 0, left - 1
+            aim = _aim(array[at:], left)
+        filled += size
     return cuts
 
 

@@ -141,6 +141,33 @@ def test_smallest_capacity(seed):
     assert len(sharding.cut_points(sizes, shards)) < shards or shards == 1
 
 
+def shard_sums(sizes, shards):
+    cuts = sharding.cut_points(sizes, shards)
+    return [sum(sizes[a:b]) for a, b in zip([0, *cuts], [*cuts, len(sizes)])]
+
+
+@pytest.mark.parametrize("place", [0, 777, 2500, 5000])
+def test_a_group_of_a_third_leaves_no_shard_empty(place):
+    rng = random.Random(place)
+    sizes = [rng.randint(50, 150) for _ in range(5000)]
+    hot = sum(sizes) // 2
+    sizes.insert(place, hot)
+    sums = shard_sums(sizes, 24)
+    assert len(sums) == 24 and max(sums) == sharding.smallest_capacity(sizes, 24) == hot
+    rest = sorted(sums)[:-1]
+    assert rest[0] > 0.8 * hot * 2 / 23 and rest[-1] < 1.25 * hot * 2 / 23
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_shards_stay_within_the_least_capacity(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 5, 50, 400]) * rng.randint(1, 9) for _ in range(rng.randint(1, 60))]
+    shards = rng.randint(1, 24)
+    sums = shard_sums(sizes, shards)
+    assert sum(sums) == sum(sizes) and min(sums) > 0 and len(sums) == min(len(sizes), shards)
+    assert max(sums) == sharding.smallest_capacity(sizes, shards)
+
+
 def test_packing_is_an_exact_partition(spark):
     from tokenizers import Tokenizer
 
