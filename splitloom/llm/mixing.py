@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitloom.llm.common import kept, let
+from splitloom.operators.joins import broadcast_if_small
 
 #: Bound of the labelled rows that fit the classifier, and its size.
 LABELLED, FEATURES = 20_000, 4_096
-#: Posteriors are whole parts of this number, so that documents share few distinct ones.
+#: Documents whose posteriors have equal whole parts of this number share a rate.
 PARTS = 50
 STEPS, TOLERANCE = 30, 1e-4
 
@@ -61,7 +62,7 @@ def _softmax(scores: list[Column]) -> Column:
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """Add `tokens` (words) and `parts`, an array of whole parts of PARTS, one per domain.
+    """Add `tokens` (words), `posterior` and `parts`, its whole parts of PARTS, one per domain each.
 
     `labelled` has text and domain; at most LABELLED distinct texts of known domains fit a
     multinomial logistic regression over hashed words. A `text_hash` (xxhash64 of the text),
@@ -110,15 +111,26 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
         rest = PARTS - F.aggregate(floors, F.lit(0), lambda a, x: a + x)
         return F.transform(floors, lambda x, i: x + F.when(i == top, rest).otherwise(0))
 
-    return words.withColumns({"tokens": F.size("__words").cast("long"), "parts": let(share, rounded)}).drop("__words")
+    known = words.withColumns({"tokens": F.size("__words").cast("long"), "posterior": share})
+    return known.withColumn("parts", let(F.col("posterior"), rounded)).drop("__words")
+
+
+def cells_of(rows: DataFrame, count: int) -> DataFrame:
+    """(parts, tokens, posterior) per distinct parts: the tokens of all its rows and the mean posterior of a token."""
+    mean = [
+        F.coalesce(F.sum(F.col("tokens") * F.get("posterior", F.lit(n))) / F.nullif(F.sum("tokens"), F.lit(0)),
+                   F.avg(F.get("posterior", F.lit(n))))
+        for n in range(count)
+    ]
+    return rows.groupBy("parts").agg(F.sum("tokens").alias("tokens"), F.array(*mean).alias("posterior"))
 
 
 def _rate(path: list[list[float]], least: float) -> Column:
-    """The rate of a document's posterior after the steps in `path`, each projected."""
+    """The rate of a cell's mean posterior after the steps in `path`, each projected."""
     start = F.lit(max(1.0, least))
     if not path:
         return start
-    share = [F.get("parts", F.lit(n)).cast("double") / PARTS for n in range(len(path[0]))]
+    share = [F.get("posterior", F.lit(n)) for n in range(len(path[0]))]
     moves = F.transform(
         F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in path]),
         lambda step: sum([share[n] * F.get(step, F.lit(n)) for n in range(len(path[0]))], F.lit(0.0)),
@@ -129,9 +141,9 @@ def _rate(path: list[list[float]], least: float) -> Column:
 def fit_rates(cells: DataFrame, targets: list[float], least: float = 0.0) -> list[list[float]]:
     """Projected gradient for the least squares over domains of expected less target tokens.
 
-    `cells` has (parts, tokens): the tokens of all documents of one posterior. Documents
-    of one posterior move alike, as the gradient of a rate, by its tokens, holds nothing
-    else. The gradient is scaled by the inverse Gram matrix of the rates that are free to
+    `cells` has (posterior, tokens): the tokens of all documents that share a rate, and the
+    unrounded mean posterior of such a token, so that sums over cells are those over documents.
+    The gradient of a rate, by its tokens, holds nothing else. The gradient is scaled by the inverse Gram matrix of the rates that are free to
     follow it, and halved until it helps; then rates below the least one are projected.
     A step is a few passes of sums over the cells, whose number is bounded by PARTS and
     the domains, whatever the input. Returns the steps, which give each rate.
@@ -139,7 +151,7 @@ def fit_rates(cells: DataFrame, targets: list[float], least: float = 0.0) -> lis
     count = len(targets)
     aim = np.array(targets)
     scale = np.maximum(aim, 1e-9 * max(aim.sum(), 1.0))
-    share = [F.get("parts", F.lit(n)).cast("double") / PARTS for n in range(count)]
+    share = [F.get("posterior", F.lit(n)) for n in range(count)]
 
     def sums(terms: list[Column]) -> np.ndarray:
         row = cells.agg(*[F.sum(F.col("tokens") * term).alias(f"s{n}") for n, term in enumerate(terms)]).first()
@@ -182,7 +194,7 @@ def mix(
     docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None,
     least: float = 0.0, cover: bool = False, seed: int = 1,
 ) -> DataFrame:
-    """Add tokens, parts, rate and copies to the rows of `docs`.
+    """Add tokens, posterior, parts, rate and copies to the rows of `docs`.
 
     `weights` maps domains to target weights of any positive sum. `total` is the
     expected number of tokens to reach; by default that of the input, or with `cover`
@@ -192,19 +204,22 @@ def mix(
 
     NULL and empty texts have no tokens and the rate of their posterior. NULL ids are
     rows like others. Repeated rows have equal rates and copies. An empty table gives no
-    rows. Columns of `docs` named tokens, parts, rate or copies are replaced.
+    rows. Columns of `docs` named tokens, posterior, parts, rate or copies are replaced.
     """
     if not weights or min(weights.values()) < 0 or sum(weights.values()) <= 0:
         raise ValueError("weights must be non-negative and not all zero")
     domains = sorted(weights)
     aim = [weights[d] / sum(weights.values()) for d in domains]
     rows = kept(posteriors(docs, labelled, domains), "mixing")
-    cells = kept(rows.groupBy("parts").agg(F.sum("tokens").alias("tokens")), "mixing-cells").repartition(1)
-    share = [F.get("parts", F.lit(n)).cast("double") / PARTS for n in range(len(domains))]
+    stored = kept(cells_of(rows, len(domains)), "mixing-cells")
+    cells = stored.repartition(1)
+    share = [F.get("posterior", F.lit(n)) for n in range(len(domains))]
     have = [float(x or 0) for x in cells.agg(*[F.sum(F.col("tokens") * s) for s in share]).first()]
     if total is None:
         total = covering_total(have, aim) if cover else sum(have)
     path = fit_rates(cells, [a * total for a in aim], least) if total else []
-    rated = rows.withColumn("rate", _rate(path, least))
+    rates = stored.select(F.col("parts").alias("__parts"), _rate(path, least).alias("rate"))
+    plain = rows.drop("rate")
+    rated = plain.join(broadcast_if_small(rates), plain["parts"] == F.col("__parts")).drop("__parts")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))

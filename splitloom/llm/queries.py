@@ -33,10 +33,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, labelled_languages(docs, read(spark, sf_dir, "labels")), LANGUAGES)
     names = F.array(*[F.lit(name) for name in sorted(LANGUAGES)])
-    top = F.array_max("parts")
+    top = F.array_max("posterior")
     return mixed.select(
-        "doc_id", "tokens", F.get(names, F.array_position("parts", top).cast("int") - 1).alias("domain"),
-        (top / mixing.PARTS).alias("membership"), "rate", "copies",
+        "doc_id", "tokens", F.get(names, F.array_position("posterior", top).cast("int") - 1).alias("domain"),
+        top.alias("membership"), "rate", "copies",
     )
 
 

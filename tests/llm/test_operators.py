@@ -341,6 +341,26 @@ def test_mixing_reaches_its_targets(spark):
         mixing.mix(docs, labelled, {})
 
 
+def test_small_shares_count_in_expected_tokens(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):
+        rare = rng.uniform(0.001, 0.019)
+        many = rng.choice([0.3, 0.5, 0.69])
+        rows.append((i, str(i), rng.randint(5, 50), [many, 1 - many - rare, rare]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens long, posterior array<double>")
+    floors = F.transform("posterior", lambda x: F.floor(x * mixing.PARTS).cast("int"))
+    monkeypatch.setattr(mixing, "posteriors", lambda d, *_: d.withColumn("parts", floors))
+    tokens, shares = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    have = (tokens[:, None] * shares).sum(axis=0)
+    aim = have * [1.05, 0.95, 1.0]
+    weights = dict(zip("abc", (aim / aim.sum()).tolist()))
+    got = mixing.mix(docs, None, weights).toPandas()
+    reached = (np.array(got.posterior.tolist()) * (got.tokens * got.rate).to_numpy()[:, None]).sum(axis=0)
+    assert reached == pytest.approx(aim / aim.sum() * have.sum(), rel=1e-3)
+    assert len(got) == 400 and got.groupby(got.parts.map(tuple)).rate.nunique().max() == 1
+
+
 def secret_docs(spark):
     rng = random.Random(10)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(40)]
