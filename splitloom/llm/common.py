@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from itertools import islice
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,3 +41,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words_of(text: Column) -> Column:
     """The words of a text between ASCII white space, as an array without empty ones."""
     return F.filter(F.split(text, "[ \\t-\\r]+"), lambda word: word != "")
+
+
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What a worker process makes once and keeps over its tasks, also where functions travel with them."""
+    store = vars(sys.modules.setdefault("splitloom_made_once", ModuleType("splitloom_made_once")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def make_room(remembered: dict, size: int) -> None:
+    """Once it is full, a worker forgets the oldest of what it remembers, down to half the size."""
+    if len(remembered) >= size:
+        for old in list(islice(remembered, len(remembered) - size // 2)):
+            del remembered[old]

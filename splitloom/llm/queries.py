@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.catalog.tables import read
-from splitloom.llm import bottomk, ctw, mixing, neighbours, packing, secrets, sharding, simhash, toxicity, warczip
+from splitloom.llm import alignment, automaton, bottomk, conversations, ctw, mixing, neighbours, packing, secrets, sharding, simhash, toxicity, warczip
 from splitloom.llm.common import id_bucket
 
 #: Target weights of the languages; equal shares.
@@ -16,10 +16,10 @@ LANGUAGES = {"de": 1.0, "en": 1.0, "es": 1.0, "fr": 1.0}
 SHARDS = 24
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,11 +98,28 @@ def op10_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return alignment.score(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = automaton.encode(read(spark, sf_dir, "documents"), vocabulary())
+    return rows.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "conversations")
+    return conversations.summaries(conversations.repair(conversations.damaged(table), table))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     function.__name__: function
     for function in (
         op1_mixing, op2_toxicity, op3_simhash, op4_warc, op5_neighbours, op6_secrets, op7_sharding, op8_packing,
-        op9_ctw, op10_bottomk,
+        op9_ctw, op10_bottomk, op11_alignment, op12_bpe, op13_conversations,
     )
 }
 
