@@ -6,18 +6,15 @@ characters, B bytes of whole characters. Where several tokens lie within one cha
 their own bytes say where each ends.
 
 Neither has a token over the edge of a character that isn't white space and a following
-space, so a text falls into units there, and both end a token at the end of each. Units
-are aligned once by a worker and remembered.
+space, nor of a Latin letter and a following mark; so a text falls into units there, and
+both end a token at the end of each. Units are aligned once by a worker and remembered.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import accumulate
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +25,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from splitloom.llm.common import kept, make_room, per_worker, texts_of
 from splitloom.llm.packing import byte_letters
 
-#: A text's units: each begins with a space behind something that is not white space.
+#: A text's units begin with a space behind something that is not white space, or with a mark behind a letter.
 #: A last space stays with what is before it, as the model puts no space before an empty text.
-UNITS = re.compile(r"(?<=\S)(?= (?!\Z))")
+LETTER, MARK = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]", "[,.;:!?]"
+UNITS = re.compile(rf"(?<=\S)(?= (?!\Z))|(?<={LETTER})(?={MARK})")
+#: A unit that any mark may follow.
+BEFORE_MARK = " a"
 #: Units that a worker remembers; the older half goes when it is full. Longer ones are not remembered.
-REMEMBERED, LONGEST = 300_000, 200
+REMEMBERED, LONGEST = 500_000, 100
 #: New units that are encoded as one text.
 TOGETHER = 2_000
 #: How a sentence-piece model writes a space and a byte.
@@ -41,23 +41,27 @@ PIECE_SPACE, PIECE_BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 PAIR = 1 << 20
 
 
-class Unit(NamedTuple):
-    """What the two vocabularies make of a unit."""
+#: What the two vocabularies make of a unit: its numbers of tokens, its groups and its links.
+Unit = tuple[int, int, str, bytes]
 
-    n_a: int
-    n_b: int
-    groups: str
-    links: bytes
 
-
-def refined(coarse: list[int], pieces: list[bytes]) -> list[int]:
-    """Byte ends of tokens from the byte ends of their spans.
+def refined(coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends of tokens from the byte ends of their spans, and how many bytes each token has.
 
     Where a span ends behind what its token's own bytes reach, or before, the token is part of a
     character that it shares with its neighbours, and its own bytes decide.
     """
-    own = list(accumulate(map(len, pieces)))
-    return own if own != coarse else coarse
+    own = np.cumsum(sizes)
+    return np.where(coarse == own, coarse, own)
+
+
+def named(ids: np.ndarray, cuts: np.ndarray, inner: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id as text with what stands behind it, which differs at the last of a group; and its group's number."""
+    group = np.zeros(len(ids), np.int64)
+    group[cuts[:-1] + 1] = 1
+    found = inner[ids]
+    found[cuts] = last[ids[cuts]]
+    return found, np.cumsum(group)
 
 
 class Aligner:
@@ -77,28 +81,32 @@ class Aligner:
             piece = self.b.id_to_piece(number)
             byte = PIECE_BYTE.fullmatch(piece)
             self.b_bytes[number] = bytes.fromhex(byte[1]) if byte else piece.replace(PIECE_SPACE, " ").encode()
-            if PIECE_SPACE in piece.lstrip(PIECE_SPACE):
-                raise ValueError(f"a piece reaches over a space: {piece!r}")
-        self.name = [str(number) for number in range(max(len(self.a_bytes), len(self.b_bytes)) + 1)]
+            if PIECE_SPACE in piece.lstrip(PIECE_SPACE) or re.search(LETTER + MARK, piece):
+                raise ValueError(f"a piece reaches over the edge of a unit: {piece!r}")
+        sizes = (max(self.a_bytes) + 1, max(self.b_bytes) + 1)
+        self.a_sizes, self.b_sizes = (
+            np.array([len(table.get(n, b"")) for n in range(size)]) for table, size in zip((self.a_bytes, self.b_bytes), sizes)
+        )
+        self.names = {end: np.array([f"{n}{end}" for n in range(max(sizes))], object) for end in ",|;"}
+        self.lengths = np.array([len(str(n)) + 1 for n in range(max(sizes))])
         self.known: dict[str, Unit | None] = {}
 
-    def spans_a(self, text: str) -> tuple[list[int], list[int]]:
+    def spans_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends from character offsets."""
         found = self.a.encode(text, add_special_tokens=False)
-        ids, ends = found.ids, [end for _, end in found.offsets]
+        ids, ends = np.array(found.ids, np.int64), np.array([end for _, end in found.offsets], np.int64)
         if not text.isascii():
-            sizes = [0, *accumulate([len(char.encode()) for char in text])]
-            ends = refined([sizes[end] for end in ends], [self.a_bytes[n] for n in ids])
+            chars = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            bytes_each = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+            ends = refined(np.concatenate([[0], np.cumsum(bytes_each)])[ends], self.a_sizes[ids])
         return ids, ends
 
-    def spans_b(self, text: str) -> tuple[list[int], list[int]]:
+    def spans_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids and byte ends from spans of the proto, behind the space that the model puts first."""
-        found = self.b.encode(text[1:], return_type="proto", num_threads=1)
-        spans = [(piece.id, piece.end) for piece in found.pieces]
-        ids, ends = [n for n, _ in spans], [end + 1 for _, end in spans]
-        if not text.isascii():
-            ends = refined(ends, [self.b_bytes[n] for n in ids])
-        return ids, ends
+        pieces = self.b.encode(text[1:], return_type="proto", num_threads=1).pieces
+        ids = np.array([piece.id for piece in pieces], np.int64)
+        ends = np.array([piece.end for piece in pieces], np.int64) + 1
+        return ids, ends if text.isascii() else refined(ends, self.b_sizes[ids])
 
     def together(self, units: list[str]) -> list[Unit] | None:
         """Units encoded side by side; None if a vocabulary does not give them back byte for byte."""
@@ -106,37 +114,44 @@ class Aligner:
         raw = text.encode()
         a, a_ends = self.spans_a(text)
         b, b_ends = self.spans_b(text)
-        if not b"".join([self.a_bytes[n] for n in a]) == raw == b"".join([self.b_bytes[n] for n in b]):
+        whole = [b"".join([table[n] for n in ids.tolist()]) for table, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        if whole != [raw, raw]:
             return None
-        name, out, i, j = self.name, [], 0, 0
-        for end in accumulate([len(unit.encode()) for unit in units]):
-            first_a, first_b, groups, links = i, j, [], []
-            from_a, from_b, at = i, j, -1
-            while at < end:
-                at, other = a_ends[i], b_ends[j]
-                if at < other:
-                    i += 1
-                elif other < at:
-                    j += 1
-                    at = other
-                else:
-                    # No token is empty, so at each shared end there is one pair of tokens.
-                    links.append(a[i] * PAIR + b[j])
-                    i, j = i + 1, j + 1
-                    groups.append(",".join([name[n] for n in a[from_a:i]]) + "|" + ",".join([name[n] for n in b[from_b:j]]))
-                    from_a, from_b = i, j
-            out.append(Unit(i - first_a, j - first_b, ";".join(groups), array("q", links).tobytes()))
+        # No token is empty, so at each shared end there is one pair of tokens.
+        shared, in_a, in_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        links = (a[in_a] * PAIR + b[in_b]).astype("<i8")
+        a_names, a_groups = named(a, in_a, self.names[","], self.names["|"])
+        b_names, b_groups = named(b, in_b, self.names[","], self.names[";"])
+        order = np.argsort(np.concatenate([2 * a_groups, 2 * b_groups + 1]), kind="stable")
+        groups = "".join(np.concatenate([a_names, b_names])[order].tolist())
+        # Both end a token at the end of each unit, so everything falls into units there.
+        ends = np.cumsum([len(unit) for unit in units] if text.isascii() else [len(unit.encode()) for unit in units])
+        cuts = [np.searchsorted(places, ends, side="right") for places in (a_ends, b_ends, shared)]
+        letters = sum(np.concatenate([[0], np.cumsum(self.lengths[ids])])[cut] for ids, cut in ((a, cuts[0]), (b, cuts[1])))
+        out, before = [], (0, 0, 0, 0)
+        for here in zip(*[cut.tolist() for cut in cuts], letters.tolist()):
+            out.append(
+                (here[0] - before[0], here[1] - before[1], groups[before[3] : here[3] - 1], links[before[2] : here[2]].tobytes())
+            )
+            before = here
         return out
 
     def align(self, units: list[str]) -> list[Unit | None]:
-        """Units of a leading space and more; None for those that a vocabulary doesn't give back byte for byte."""
+        """What each unit is among others; None if a vocabulary doesn't give it back byte for byte."""
         found: dict[str, Unit | None] = {}
+
+        def learn(some: list[str]) -> None:
+            chain = [part for unit in some for part in ((unit,) if unit[0] == " " else (BEFORE_MARK, unit))]
+            found.update(zip(chain, self.together(chain) or []))
+
         # A unit at the end of a text may end with white space; then the next space would be no edge.
         inner = [unit for unit in units if not unit[-1].isspace()]
         for at in range(0, len(inner), TOGETHER):
-            some = inner[at : at + TOGETHER]
-            found |= zip(some, self.together(some) or [])
-        return [found[unit] if unit in found else (self.together([unit]) or [None])[0] for unit in units]
+            learn(inner[at : at + TOGETHER])
+        for unit in units:
+            if unit not in found:
+                learn([unit])
+        return [found.get(unit) for unit in units]
 
     def documents(self, texts: list[str | None]) -> list[list[Unit]]:
         """The aligned units of each whole text; none if it has no tokens."""
@@ -145,7 +160,7 @@ class Aligner:
         self.known.update(zip(new, self.align(new)))
         out = []
         for units in cut:
-            found = [self.known[unit] for unit in units]
+            found = [*map(self.known.__getitem__, units)]
             out.append([] if None in found else found)
         for unit in new:
             if len(unit) > LONGEST:
@@ -158,15 +173,14 @@ def aligner(byte_level: str, piece_model: str) -> Aligner:
     return per_worker(f"aligner {byte_level} {piece_model}", lambda: Aligner(byte_level, piece_model))
 
 
-ALIGNED = "doc_id {id}, n_a long, n_b long, groups binary, links binary"
-
-
-def align(docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_a, n_b, groups, links) of each text.
+def align(
+    docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "doc_id", text_column: str = "text", with_groups: bool = True
+) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups or groups_sha256, links) of each text.
 
     `groups` has the ids between the places where both vocabularies end a token, as
-    `a1,a2|b1;a3|b2,b3`. `links` has the pairs of tokens that end together, each
-    A's id times PAIR plus B's, as little-endian longs.
+    `a1,a2|b1;a3|b2,b3`; without them there is their digest, '' for none. `links` has the
+    pairs of tokens that end together, each A's id times PAIR plus B's, as little-endian longs.
 
     NULL and empty texts, and texts that a vocabulary does not give back byte for byte, have no
     tokens. A NULL id stays NULL, repeated rows stay repeated, an empty table gives no rows, further
@@ -178,20 +192,28 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_level, piece_model)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                found = own.documents(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id").cast(id_type),
-                        "n_a": [sum([unit.n_a for unit in units]) for units in found],
-                        "n_b": [sum([unit.n_b for unit in units]) for units in found],
-                        "groups": pa.array([";".join([unit.groups for unit in units]).encode() for units in found], pa.binary()),
-                        "links": pa.array([b"".join([unit.links for unit in units]) for units in found], pa.binary()),
-                    }
-                )
-
-    return texts.mapInArrow(run, ALIGNED.format(id=texts.schema["doc_id"].dataType.simpleString()))
+            for at in range(0, len(batch), 100):
+                some = batch.slice(at, 100)
+                found = own.documents(some.column("text").to_pylist())
+                # Per document: both numbers, groups and links of its units.
+                parts = [[*zip(*units)] or [(), (), (), ()] for units in found]
+                groups = [";".join(part[2]) for part in parts]
+                columns = {
+                    "doc_id": some.column("doc_id").cast(id_type),
+                    "n_a": pa.array([sum(part[0]) for part in parts], pa.int64()),
+                    "n_b": pa.array([sum(part[1]) for part in parts], pa.int64()),
+                    "n_groups": pa.array([one.count("|") for one in groups], pa.int64()),
+                }
+                if with_groups:
+                    columns["groups"] = pa.array(groups, pa.string())
+                else:
+                    columns["groups_sha256"] = pa.array([sha256(one.encode()).hexdigest() if one else "" for one in groups], pa.string())
+                columns["links"] = pa.array([b"".join(part[3]) for part in parts], pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    shown = "groups" if with_groups else "groups_sha256"
+    id_name = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {id_name}, n_a long, n_b long, n_groups long, {shown} string, links binary")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -227,7 +249,7 @@ def score(docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "
     Aligned documents are written out; the counts of pairs, which the vocabularies bound,
     go to every task.
     """
-    aligned = kept(align(docs, byte_level, piece_model, id_column, text_column), "aligned")
+    aligned = kept(align(docs, byte_level, piece_model, id_column, text_column, with_groups=False), "aligned")
     counts = link_counts(aligned)
     best = F.max("count").over(Window.partitionBy(F.col("pair") % PAIR))
     table = counts.withColumn("best", F.col("count") == best).orderBy("pair").toArrow()
@@ -240,17 +262,16 @@ def score(docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "
         pairs, n, is_best = sent.value
         for batch in batches:
             links = [np.searchsorted(pairs, np.frombuffer(one, "<i8")) for one in batch.column("links").to_pylist()]
-            groups = batch.column("groups").to_pylist()
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").cast(id_type),
                     "n_a": batch.column("n_a"),
                     "n_b": batch.column("n_b"),
-                    "n_groups": [one.count(b";") + 1 if one else 0 for one in groups],
+                    "n_groups": batch.column("n_groups"),
                     "n_links": [len(one) for one in links],
                     "n_best": [int(is_best[one].sum()) for one in links],
                     "count_sum": [int(n[one].sum()) for one in links],
-                    "groups_sha256": [sha256(one).hexdigest() if one else "" for one in groups],
+                    "groups_sha256": batch.column("groups_sha256"),
                 }
             )
 
