@@ -11,7 +11,8 @@ banned token in front. So each state's arcs are a set of bans, and nothing of th
 tokens by tokens is stored.
 
 Of each string just one token sequence is accepted, and so of each prefix of a word: every
-place in a word has one state, and the arc that came in last.
+place in a word that the arcs can reach has one state, and a place that leads nowhere need not
+be reached twice.
 """
 
 from __future__ import annotations
@@ -104,25 +105,37 @@ class Automaton:
         """Token ids of a word of base symbols, the last of which is at its end if the vocabulary knows ends."""
         if self.word_end:
             word = word[:-1] + chr(ord(word[-1]) + AT_END)
-        size = len(word)
-        states, arrived = [0] * (size + 1), [0] * (size + 1)
+        size, at, state, out = len(word), 0, 0, []
         prefixes, allowed, arc, target = self.prefixes, self._allowed, self.arc, self.target
-        for start in range(size):
-            state = states[start]
-            high = state << 20
-            for end in range(start + 1, size + 1):
-                token = prefixes.get(word[start:end])
+        # The arcs not tried yet at each token so far; places that lead nowhere. A place has one state.
+        untried: list[tuple[int, int, list[int]]] = []
+        dead: set[int] = set()
+        while at < size:
+            arcs = []
+            for end in range(at + 1, size + 1):
+                token = prefixes.get(word[at:end])
                 if token is None:
                     break
                 if token >= 0:
-                    known = allowed.get(high | token)
-                    if known or (known is None and arc(state, token)):
-                        states[end], arrived[end] = target[token], (end - start) << 20 | token
-        out, at = [], size
-        while at:
-            out.append(arrived[at] & 0xFFFFF)
-            at -= arrived[at] >> 20
-        return out[::-1]
+                    arcs.append(end << 20 | token)
+            while True:
+                # The longest arc is tried first, as it is the right one nearly always.
+                while arcs:
+                    end, token = divmod(arcs.pop(), 1 << 20)
+                    if end not in dead:
+                        known = allowed.get(state << 20 | token)
+                        if known or (known is None and arc(state, token)):
+                            break
+                else:
+                    dead.add(at)
+                    at, state, arcs = untried.pop()
+                    out.pop()
+                    continue
+                break
+            untried.append((at, state, arcs))
+            out.append(token)
+            at, state = end, target[token]
+        return out
 
 
 class Codec:
