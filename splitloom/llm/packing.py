@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from splitloom.llm.common import texts_of
+from splitloom.llm.common import make_room, per_worker, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
@@ -24,7 +24,7 @@ BUCKET_TOKENS = 4_000_000
 #: its width, which gives 6 * width to 1; the width here is 768.
 LINEAR, QUADRATIC = 6 * 768.0, 1.0
 #: Distinct space-separated pieces whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Special tokens of the vocabulary, which may hold for whole texts only.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -67,10 +67,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         return np.array([token.id for token in found], "<u4").tobytes()
 
     def learn(new: set[bytes]) -> None:
-        if len(chunks) + len(new) > REMEMBERED:
-            chunks.clear()
-        if len(runs) > REMEMBERED:
-            runs.clear()
+        make_room(chunks, REMEMBERED)
+        make_room(runs, REMEMBERED)
         hard = []
         for chunk in new:
             text = chunk.decode()
@@ -181,7 +179,7 @@ def pack(
         schema = schema.removesuffix(", ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = per_worker(f"encoder {vocabulary}", lambda: encoder(vocabulary))
         first = TaskContext.get().partitionId() << 32
         ids, names, total = [], [], 0
 
