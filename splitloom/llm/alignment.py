@@ -32,13 +32,13 @@ UNITS = re.compile(rf"(?<=\S)(?= (?!\Z))|(?<={LETTER})(?={MARK})")
 #: A unit that any mark may follow.
 BEFORE_MARK = " a"
 #: Units that a worker remembers; the older half goes when it is full. Longer ones are not remembered.
-REMEMBERED, LONGEST = 500_000, 100
+REMEMBERED, LONGEST = 300_000, 100
 #: New units that are encoded as one text.
 TOGETHER = 2_000
 #: How a sentence-piece model writes a space and a byte.
 PIECE_SPACE, PIECE_BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
-#: A pair of ids as one number: A's times this, plus B's.
-PAIR = 1 << 20
+#: Documents that are aligned or looked up at once.
+DOCUMENTS = 100
 
 
 #: What the two vocabularies make of a unit: its numbers of tokens, its groups and its links.
@@ -64,16 +64,26 @@ def named(ids: np.ndarray, cuts: np.ndarray, inner: np.ndarray, last: np.ndarray
     return found, np.cumsum(group)
 
 
+def pair_code(tokenizer, pieces) -> tuple[int, str]:
+    """A pair of ids as one number: A's times the number of pieces, plus B's; and the type that holds it."""
+    base = pieces.get_piece_size()
+    return base, "<u4" if tokenizer.get_vocab_size() * base <= 1 << 32 else "<u8"
+
+
+def opened(byte_level: str, piece_model: str) -> tuple:
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(byte_level), sentencepiece.SentencePieceProcessor(model_file=piece_model)
+
+
 class Aligner:
     """Both tokenizers, and units already aligned."""
 
     def __init__(self, byte_level: str, piece_model: str):
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_level)
+        self.a, self.b = opened(byte_level, piece_model)
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.base, self.pair_type = pair_code(self.a, self.b)
         back = {letter: byte for byte, letter in enumerate(byte_letters())}
         self.a_bytes = {n: bytes(map(back.get, t)) for t, n in self.a.get_vocab(with_added_tokens=False).items()}
         self.b_bytes = {}
@@ -119,7 +129,7 @@ class Aligner:
             return None
         # No token is empty, so at each shared end there is one pair of tokens.
         shared, in_a, in_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        links = (a[in_a] * PAIR + b[in_b]).astype("<i8")
+        links = (a[in_a] * self.base + b[in_b]).astype(self.pair_type)
         a_names, a_groups = named(a, in_a, self.names[","], self.names["|"])
         b_names, b_groups = named(b, in_b, self.names[","], self.names[";"])
         order = np.argsort(np.concatenate([2 * a_groups, 2 * b_groups + 1]), kind="stable")
@@ -180,7 +190,7 @@ def align(
 
     `groups` has the ids between the places where both vocabularies end a token, as
     `a1,a2|b1;a3|b2,b3`; without them there is their digest, '' for none. `links` has the
-    pairs of tokens that end together, each A's id times PAIR plus B's, as little-endian longs.
+    pairs of tokens that end together, as `pair_code` has them, little-endian.
 
     NULL and empty texts, and texts that a vocabulary does not give back byte for byte, have no
     tokens. A NULL id stays NULL, repeated rows stay repeated, an empty table gives no rows, further
@@ -192,8 +202,8 @@ def align(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_level, piece_model)
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                some = batch.slice(at, 100)
+            for at in range(0, len(batch), DOCUMENTS):
+                some = batch.slice(at, DOCUMENTS)
                 found = own.documents(some.column("text").to_pylist())
                 # Per document: both numbers, groups and links of its units.
                 parts = [[*zip(*units)] or [(), (), (), ()] for units in found]
@@ -216,19 +226,21 @@ def align(
     return texts.mapInArrow(run, f"doc_id {id_name}, n_a long, n_b long, n_groups long, {shown} string, links binary")
 
 
-def link_counts(aligned: DataFrame) -> DataFrame:
+def link_counts(aligned: DataFrame, pair_type: str) -> DataFrame:
     """(pair, count) over all documents: how many links hold the pair of ids.
 
-    Each batch of documents is counted before the shuffle. Of tokens that end together one's bytes
-    end with the other's, so the number of pairs is bounded by the vocabularies.
+    Each task counts before the shuffle. Of tokens that end together one's bytes end with the
+    other's, so the number of pairs is bounded by the vocabularies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            own, n = np.unique(np.frombuffer(b"".join(batch.column("links").to_pylist()), "<i8"), return_counts=True)
-            pairs, place = np.unique(np.concatenate([pairs, own]), return_inverse=True)
-            counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(pairs)).astype(np.int64)
+            for at in range(0, len(batch), 10 * DOCUMENTS):
+                links = b"".join(batch.column("links").slice(at, 10 * DOCUMENTS).to_pylist())
+                own, n = np.unique(np.frombuffer(links, pair_type), return_counts=True)
+                pairs, place = np.unique(np.concatenate([pairs, own.astype(np.int64)]), return_inverse=True)
+                counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(pairs)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "n": pa.array(counts, pa.int64())})
 
     counted = aligned.select("links").mapInArrow(run, "pair long, n long")
@@ -250,30 +262,32 @@ def score(docs: DataFrame, byte_level: str, piece_model: str, id_column: str = "
     go to every task.
     """
     aligned = kept(align(docs, byte_level, piece_model, id_column, text_column, with_groups=False), "aligned")
-    counts = link_counts(aligned)
-    best = F.max("count").over(Window.partitionBy(F.col("pair") % PAIR))
+    base, pair_type = pair_code(*opened(byte_level, piece_model))
+    counts = link_counts(aligned, pair_type)
+    best = F.max("count").over(Window.partitionBy(F.col("pair") % base))
     table = counts.withColumn("best", F.col("count") == best).orderBy("pair").toArrow()
     pairs, n = (table.column(c).to_numpy() for c in ("pair", "count"))
+    pairs = pairs.astype(pair_type)
     is_best = table.column("best").to_numpy().astype(np.int64)
     sent = docs.sparkSession.sparkContext.broadcast((pairs, n, is_best))
     id_type = to_arrow_type(aligned.schema["doc_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, is_best = sent.value
-        for batch in batches:
-            links = [np.searchsorted(pairs, np.frombuffer(one, "<i8")) for one in batch.column("links").to_pylist()]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id").cast(id_type),
-                    "n_a": batch.column("n_a"),
-                    "n_b": batch.column("n_b"),
-                    "n_groups": batch.column("n_groups"),
-                    "n_links": [len(one) for one in links],
-                    "n_best": [int(is_best[one].sum()) for one in links],
-                    "count_sum": [int(n[one].sum()) for one in links],
-                    "groups_sha256": batch.column("groups_sha256"),
-                }
-            )
+        for whole in batches:
+            for at in range(0, len(whole), DOCUMENTS):
+                batch = whole.slice(at, DOCUMENTS)
+                links = [np.searchsorted(pairs, np.frombuffer(one, pair_type)) for one in batch.column("links").to_pylist()]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").cast(id_type),
+                        **{name: batch.column(name) for name in ("n_a", "n_b", "n_groups")},
+                        "n_links": [len(one) for one in links],
+                        "n_best": [int(is_best[one].sum()) for one in links],
+                        "count_sum": [int(n[one].sum()) for one in links],
+                        "groups_sha256": batch.column("groups_sha256"),
+                    }
+                )
 
     return aligned.mapInArrow(run, SCORED.format(id=aligned.schema["doc_id"].dataType.simpleString()))
 
