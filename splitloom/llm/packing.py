@@ -24,7 +24,7 @@ BUCKET_TOKENS = 4_000_000
 #: its width, which gives 6 * width to 1; the width here is 768.
 LINEAR, QUADRATIC = 6 * 768.0, 1.0
 #: Distinct space-separated pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Special tokens of the vocabulary, which may hold for whole texts only.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -58,12 +58,12 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    model, letters = tokenizer.model, byte_letters()
+    model, letters = tokenizer.model, "".join(byte_letters())
     chunks: dict[bytes, bytes] = {}
     runs: dict[str, bytes] = {}
 
     def of_run(run: str) -> bytes:
-        found = model.tokenize("".join([letters[byte] for byte in run.encode()]))
+        found = model.tokenize(run.encode().decode("latin-1").translate(letters))
         return np.array([token.id for token in found], "<u4").tobytes()
 
     def learn(new: set[bytes]) -> None:
@@ -86,11 +86,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             chunks[text.encode()] = np.array(one.ids, "<u4").tobytes()
 
     def encode(text: str) -> np.ndarray:
-        if any(token in text for token in SPECIAL):
+        if "<|" in text and any(token in text for token in SPECIAL):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         pieces = text.encode().split()
         try:
-            parts = [chunks[piece] for piece in pieces]
+            parts = [*map(chunks.__getitem__, pieces)]
         except KeyError:
             learn({piece for piece in pieces if piece not in chunks})
             try:
