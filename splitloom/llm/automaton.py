@@ -152,7 +152,7 @@ class Codec:
             raise ValueError("a vocabulary of plain merges is needed")
         pairs = [tuple(pair.split(" ") if isinstance(pair, str) else pair) for pair in model["merges"]]
         self.automaton = Automaton(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
-        self.letters = byte_letters()
+        self.letters = "".join(byte_letters())
         self.special = {token["content"]: token["id"] for token in described["added_tokens"]}
         if set(self.special) != set(SPECIAL) or described.get("decoder"):
             raise ValueError("the special tokens or the decoder are not those that are known here")
@@ -172,7 +172,7 @@ class Codec:
     def split(self, chunk: str) -> list[str]:
         """The words of a chunk without special tokens, as the vocabulary's normal form and pattern have them."""
         if PLAIN.fullmatch(chunk):
-            return ["".join([self.letters[byte] for byte in run.encode()]) for run in RUNS.findall(chunk.lower())]
+            return [run.encode().decode("latin-1").translate(self.letters) for run in RUNS.findall(chunk.lower())]
         normal = self.tokenizer.normalizer.normalize_str(chunk)
         return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
 
@@ -180,7 +180,7 @@ class Codec:
         """Ids of a text without special tokens; chunks between ASCII spaces never share a word."""
         pieces = text.encode().split()
         try:
-            return b"".join([self.chunks[piece] for piece in pieces])
+            return b"".join(map(self.chunks.__getitem__, pieces))
         except KeyError:
             pass
         out = []
