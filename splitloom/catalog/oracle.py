@@ -34,6 +34,60 @@ corpora AS (
 )"""
 
 
+SENTENCES = r""",
+short AS (
+  SELECT doc_id, language, replace(text, ', ', CASE doc_id % 3 WHEN 0 THEN '... '
+    WHEN 1 THEN CASE language WHEN 'de' THEN ' bzw. ' ELSE ', Mr. ' END ELSE ', ' END) AS text FROM docs
+),
+raw_tokens AS (
+  SELECT doc_id, language, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (
+    SELECT doc_id, language, regexp_extract_all(
+      regexp_replace(text, '^[ \t\n\r\f]+', ''), '[^ \t\n\r\f]+[ \t\n\r\f]*') AS l FROM short)
+),
+cores AS (
+  SELECT *, regexp_replace(regexp_replace(raw, '[ \t\n\r\f]+\z', ''),
+    '^["''(\[«„“”‘’]+|["'')\]»“”‘’]+\z', '', 'g') AS core FROM raw_tokens
+),
+words AS (SELECT *, lower(regexp_replace(core, '[.,;:!?…]+\z', '')) AS word FROM cores),
+placed_tokens AS (
+  SELECT *, lead(core) OVER d AS after, lead(word) OVER d AS next_word FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+),
+counted AS (
+  SELECT language, word, count(*) FILTER (core LIKE '%.' AND core NOT LIKE '%..') AS n_period,
+    count(*) FILTER (NOT (core LIKE '%.' AND core NOT LIKE '%..')) AS n_plain
+  FROM words WHERE regexp_matches(word, '\pL') GROUP BY ALL
+),
+sums AS (SELECT language, sum(n_period)::DOUBLE AS periods, sum(n_period + n_plain)::DOUBLE AS total FROM counted GROUP BY ALL),
+scored AS (
+  SELECT c.*, length(replace(word, '.', ''))::DOUBLE AS letters, length(word) AS size,
+    n_period * ln(0.99) + n_plain * ln(0.01) - n_period * ln(periods / total) - n_plain * ln(1 - periods / total) AS ratio
+  FROM counted c JOIN sums USING (language) WHERE n_period > 0
+),
+abbreviations AS (
+  SELECT * FROM scored WHERE 2 * ratio * exp(-letters) * (size - letters + 1) * pow(letters, -n_plain) >= 0.3
+),
+after_ends AS (
+  SELECT language, next_word AS word, count(*) FILTER (regexp_matches(after, '^\p{Lu}')) AS n_after, count(*) AS n_ends
+  FROM placed_tokens p
+  WHERE after IS NOT NULL AND core LIKE '%.' AND core NOT LIKE '%..' AND length(replace(word, '.', '')) > 1
+    AND regexp_matches(word, '\pL')
+    AND NOT EXISTS (FROM abbreviations a WHERE a.language = p.language AND a.word = p.word)
+  GROUP BY ALL
+),
+starters AS (
+  SELECT * FROM (
+    SELECT a.language, a.word, n_after, n_period + n_plain AS n_all, n_after::DOUBLE AS h,
+      (n_period + n_plain)::DOUBLE AS c, b, total AS n
+    FROM after_ends a JOIN counted USING (language, word) JOIN sums USING (language)
+    JOIN (SELECT language, sum(n_ends)::DOUBLE AS b FROM after_ends GROUP BY ALL) USING (language)
+    WHERE n_after > 0 AND regexp_matches(a.word, '\pL'))
+  WHERE h / b > c / n AND 2 * (
+      h * ln(h / b) + (b - h) * CASE WHEN h < b THEN ln(1 - h / b) ELSE 0 END
+    + (c - h) * CASE WHEN c > h THEN ln((c - h) / (n - b)) ELSE 0 END + (n - b - c + h) * ln(1 - (c - h) / (n - b))
+    - h * ln(c / n) - (b - h) * ln(1 - c / n) - (c - h) * ln(c / n) - (n - b - c + h) * ln(1 - c / n)) >= 30
+)"""
+
+
 def _with(sql: str, base: str = DOCS) -> str:
     return f"WITH {base}{sql}"
 
@@ -392,6 +446,33 @@ SELECT doc_id, i AS chunk,
   'text_raw/' || author || '_' || language || '_' || title || '_' || i || '.txt' AS text_path,
   array_to_string(s[i * 5 + 1:i * 5 + 5], ' ') AS text
 FROM kept, range((len(s) + 4) // 5) AS r(i)""")
+    sql["train_sentences"] = _with(SENTENCES + """
+SELECT language, 'abbreviation' AS kind, word, n_period AS n, n_plain AS n_other FROM abbreviations
+UNION ALL
+SELECT language, 'starter', word, n_after, n_all FROM starters""")
+    sql["split_sentences"] = _with(SENTENCES + r""",
+flagged AS (
+  SELECT doc_id, i, raw,
+    CASE WHEN after IS NULL THEN true
+         WHEN regexp_matches(core, '[!?]\z') THEN true
+         WHEN NOT regexp_matches(core, '[.…]\z') THEN false
+         WHEN regexp_matches(core, '(\.\.|…)\z') OR regexp_matches(word, '^\pL\z') OR
+              EXISTS (FROM abbreviations a WHERE a.language = p.language AND a.word = p.word)
+         THEN regexp_matches(after, '^\p{Lu}') AND
+              EXISTS (FROM starters s WHERE s.language = p.language AND s.word = p.next_word)
+         ELSE NOT (regexp_matches(word, '^[0-9]+\z') AND regexp_matches(after, '^\p{Ll}')) END AS ends
+  FROM placed_tokens p
+),
+numbered AS (
+  SELECT *, count(*) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY i) - CASE WHEN ends THEN 1 ELSE 0 END AS sentence
+  FROM flagged
+),
+joined AS (
+  SELECT doc_id, sentence, regexp_replace(string_agg(raw, '' ORDER BY i), '[ \t\n\r\f]+\z', '') AS s
+  FROM numbered GROUP BY ALL
+)
+SELECT d.doc_id, count(j.s) AS n_sentences, md5(coalesce(string_agg(j.s, '|' ORDER BY j.sentence), '')) AS sentences_md5
+FROM short d LEFT JOIN joined j ON j.doc_id = d.doc_id GROUP BY d.doc_id""")
     sql["externalize_text"] = _with("""
 SELECT doc_id, author, topic, 'en' AS language, text_path, text FROM docs
 WHERE topic IS NOT NULL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from splitloom.catalog.tables import all_corpora, documents, read
 from splitloom.fixed_values import CMCC_RENAMED_FILES, GUARDIAN_GENRES, GUARDIAN_TOPICS, LANGUAGE_CODES
 from splitloom.functions.text import encode_cp1252, remap
-from splitloom.operators import targets, validate
+from splitloom.operators import sentences, targets, validate
 from splitloom.operators.audit import language_audit as audit_languages
 from splitloom.operators.cap import cap_docs_per_target as cap
 from splitloom.operators.folds import attach_folds, fold_cuts
@@ -19,7 +19,7 @@ from splitloom.operators.heldout import split_heldout_titles
 from splitloom.operators.heldout import title_overlap as overlap
 from splitloom.operators.heldout import title_plan
 from splitloom.operators.heldout import untested_titles as untested
-from splitloom.operators.joins import attach_lookup
+from splitloom.operators.joins import attach_lookup, stored
 from splitloom.operators.predicates import by_value_sets, leave_one_out, predefined
 from splitloom.operators.predicates import exclude_rows as exclude
 from splitloom.operators.prepare import chunk_documents as chunk
@@ -351,6 +351,37 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk(docs, 5).select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text_path", "text")
 
 
+def _abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with an abbreviation and an ellipsis in place of some commas, as they have none of their own."""
+    docs = documents(spark, sf_dir).select("doc_id", "author", "language", "title", "text")
+    short = F.when(F.col("language") == "de", F.lit(" bzw. ")).otherwise(F.lit(", Mr. "))
+    kinds = F.when(F.col("doc_id") % 3 == 0, F.lit("... ")).when(F.col("doc_id") % 3 == 1, short).otherwise(F.lit(", "))
+    return docs.withColumn("text", F.replace("text", F.lit(", "), kinds))
+
+
+@query
+def train_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abbreviations and sentence starters of each language, with the counts that they follow from."""
+    docs = _abbreviated(spark, sf_dir)
+    counts = stored(sentences.word_counts(docs))
+    short = sentences.abbreviations(counts)
+    known = sentences.words_by_language(short)
+    starters = sentences.sentence_starters(docs, counts, known)
+    return short.select("language", F.lit("abbreviation").alias("kind"), "word", F.col("n_period").alias("n"), F.col("n_plain").alias("n_other")).unionByName(
+        starters.select("language", F.lit("starter").alias("kind"), "word", F.col("n_after").alias("n"), F.col("n_all").alias("n_other"))
+    )
+
+
+@query
+def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _abbreviated(spark, sf_dir)
+    model = sentences.train_sentences(docs)
+    found = docs.select("doc_id", sentences.split_sentences(F.col("text"), F.col("language"), model).alias("found"))
+    return found.select(
+        "doc_id", F.size("found").cast("long").alias("n_sentences"), F.md5(F.array_join("found", "|")).alias("sentences_md5")
+    )
+
+
 @query
 def externalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "author", "topic", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +19,11 @@ _CHARACTERS = "".join(char for char, _ in _HIGH if char)
 _UNDEFINED = "".join(control for char, control in _HIGH if not char)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once per row, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def latin1(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 

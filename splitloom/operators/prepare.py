@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from splitloom.fixed_values import DEFAULT_LANGUAGE, MISSING_MARKERS, SENTENCES_PER_CHUNK
 from splitloom.functions.paths import chunk_file_name, text_file_name
 from splitloom.functions.text import chunked, sentences
+from splitloom.operators.sentences import SentenceModel, split_sentences
 
 
 def with_doc_ids(docs: DataFrame, order: Sequence[str] = ("path",), doc_id: str = "doc_id") -> DataFrame:
@@ -47,12 +48,17 @@ def chunk_documents(
     language: str = "language",
     title: str = "title",
     text: str = "text",
+    model: SentenceModel | None = None,
 ) -> DataFrame:
-    """Cut each text into chunks of whole sentences, numbered from 0."""
+    """Cut each text into chunks of whole sentences, numbered from 0.
+
+    Sentences end as the model of `train_sentences` has it; without one at every . ! or ? before a blank.
+    """
     if size < 1:
         raise ValueError("a chunk needs at least one sentence")
     others = [c for c in docs.columns if c != text]
-    split = docs.select(*others, sentences(F.col(text)).alias("_sentences"))
+    found = sentences(F.col(text)) if model is None else split_sentences(F.col(text), F.col(language), model)
+    split = docs.select(*others, found.alias("_sentences"))
     cut = split.select(*others, F.posexplode(chunked(F.col("_sentences"), size)).alias("chunk", text))
     name = chunk_file_name(F.col(author), F.col(language), F.col(title), F.col("chunk"))
     return cut.withColumn("text_path", F.concat(F.lit("text_raw/"), name))

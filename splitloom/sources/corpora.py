@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.fixed_values import CMCC_CATEGORIES, CMCC_SUBDIRECTORY, SENTENCES_PER_CHUNK
-from splitloom.operators.joins import lookup_side
+from splitloom.operators.joins import lookup_side, stored
 from splitloom.operators.prepare import (
     chunk_documents,
     externalize_text,
     with_doc_ids,
     write_corpus,
 )
+from splitloom.operators.sentences import train_sentences
 from splitloom.sources.files import read_files
 from splitloom.sources.problems import read_problem_collection
 from splitloom.sources.tables import read_tsv, under_root
@@ -38,7 +39,9 @@ def imdb62(spark: SparkSession, raw: str) -> DataFrame:
 
 
 def novels(spark: SparkSession, raw: str, chunk_size: int = SENTENCES_PER_CHUNK) -> DataFrame:
-    return chunk_documents(language_tree(read_files(spark, raw)), chunk_size)
+    """Sentence ends are learnt from the novels themselves, which are read once."""
+    texts = stored(language_tree(read_files(spark, raw)))
+    return chunk_documents(texts, chunk_size, model=train_sentences(texts))
 
 
 def pan18(spark: SparkSession, raw: str) -> DataFrame:
