@@ -34,6 +34,27 @@ corpora AS (
 )"""
 
 
+def _detected(taught: str) -> str:
+    """Language by trigrams, learnt from some of the documents."""
+    return r""",
+told AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) < '3' AS held_out FROM docs),
+runs AS (SELECT doc_id, language, held_out, unnest(regexp_extract_all(lower(text), '\pL{1,40}')) AS run FROM told),
+grams AS (
+  SELECT doc_id, language, held_out, substr(' ' || run || ' ', unnest(range(1, length(run) + 1))::INT, 3) AS gram FROM runs
+),
+taught AS (SELECT language, gram, count(*) AS n FROM grams WHERE %s GROUP BY ALL),
+totals AS (SELECT language, sum(n) + (SELECT count(DISTINCT gram) FROM taught) AS size FROM taught GROUP BY ALL),
+logs AS (
+  SELECT g.gram, t.language AS name, ln((coalesce(n, 0) + 1) / size::DOUBLE) AS l
+  FROM (SELECT DISTINCT gram FROM taught) g CROSS JOIN totals t
+  LEFT JOIN taught h ON h.gram = g.gram AND h.language = t.language
+),
+scores AS (SELECT doc_id, name, sum(l) AS score FROM grams JOIN logs USING (gram) GROUP BY ALL),
+best AS (SELECT doc_id, name FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name) = 1),
+detected AS (SELECT d.doc_id, d.language, d.held_out, b.name AS detected FROM told d LEFT JOIN best b ON b.doc_id = d.doc_id)
+""" % taught
+
+
 SENTENCES = r""",
 short AS (
   SELECT doc_id, language, replace(text, ', ', CASE doc_id % 3 WHEN 0 THEN '... '
@@ -183,19 +204,6 @@ summary AS (
   FROM per_target GROUP BY split_id
 )"""
 
-STOPWORD_SQL = {
-    "de": "der und das ist nicht ein mit auf auch sich",
-    "en": "the and of is that it for was with are",
-    "es": "el los las una por con para del como pero",
-    "fr": "le les des et est dans pour une qui avec",
-}
-
-
-def _hits(language: str) -> str:
-    listed = ", ".join(f"'{word}'" for word in STOPWORD_SQL[language].split())
-    return f"len(list_filter(words, lambda w: w IN ({listed}))) AS {language}"
-
-
 def _quoted(value: str | None) -> str:
     return "NULL" if value is None else f"'{value}'"
 
@@ -411,18 +419,11 @@ SELECT count(*) AS n_docs, count(*) FILTER (author <> {target}) AS n_author_is_n
   '{target}' AS "check" FROM docs"""
         for joiner, target in (("", "author"), (" UNION ALL", "novelist"))
     ))
-    sql["language_audit"] = _with(f""",
-tokens AS (
-  SELECT language, string_split_regex(lower(text), '[^\\p{{L}}]+') AS words FROM docs
-),
-hits AS (SELECT language, {', '.join(map(_hits, STOPWORD_SQL))} FROM tokens),
-detected AS (
-  SELECT language, CASE greatest(de, en, es, fr) WHEN 0 THEN NULL WHEN de THEN 'de'
-    WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END AS detected FROM hits
-)
-SELECT language, detected, count(*) AS n_docs,
-  count(*) FILTER (language IS DISTINCT FROM detected) AS n_misses
+    sql["language_audit"] = _with(_detected("language IS NOT NULL") + """
+SELECT language, detected, count(*) AS n_docs, count(*) FILTER (language IS DISTINCT FROM detected) AS n_misses
 FROM detected GROUP BY ALL""")
+    sql["detect_language"] = _with(_detected("NOT held_out") + """
+SELECT doc_id, language, held_out, detected FROM detected""")
 
     sql["scan_metadata"] = _with("""
 SELECT author, language, topic, text_path AS text_raw, true AS under_root,

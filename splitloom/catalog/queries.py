@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from splitloom.catalog.tables import all_corpora, documents, read
 from splitloom.fixed_values import CMCC_RENAMED_FILES, GUARDIAN_GENRES, GUARDIAN_TOPICS, LANGUAGE_CODES
 from splitloom.functions.text import encode_cp1252, remap
-from splitloom.operators import sentences, targets, validate
-from splitloom.operators.audit import language_audit as audit_languages
+from splitloom.operators import audit, sentences, targets, validate
 from splitloom.operators.cap import cap_docs_per_target as cap
 from splitloom.operators.folds import attach_folds, fold_cuts
 from splitloom.operators.folds import stratified_kfold as kfold
@@ -308,7 +307,16 @@ def validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def language_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit_languages(documents(spark, sf_dir), languages=LANGUAGES)
+    return audit.language_audit(documents(spark, sf_dir))
+
+
+@query
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles are learnt from thirteen sixteenths of the documents and applied to all."""
+    docs = documents(spark, sf_dir).withColumn("held_out", F.md5(F.col("doc_id").cast("string")) < "3")
+    profiles = audit.train_profiles(docs.where("NOT held_out"))
+    found = audit.detect_language(docs, profiles)
+    return docs.select("doc_id", "language", "held_out").join(found, "doc_id")
 
 
 # --- preparation ----------------------------------------------------------

@@ -64,13 +64,3 @@ MISSING_MARKERS = (
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
     "nan", "null",
 )
-
-# Frequent words that no other language of the list shares.
-STOPWORDS = {
-    "de": ("der", "und", "das", "ist", "nicht", "ein", "mit", "auf", "auch", "sich"),
-    "en": ("the", "and", "of", "is", "that", "it", "for", "was", "with", "are"),
-    "es": ("el", "los", "las", "una", "por", "con", "para", "del", "como", "pero"),
-    "fr": ("le", "les", "des", "et", "est", "dans", "pour", "une", "qui", "avec"),
-    "nl": ("het", "een", "van", "niet", "zijn", "voor", "ook", "maar", "wordt", "naar"),
-    "pt": ("os", "uma", "não", "do", "da", "em", "mais", "são", "pelo", "muito"),
-}

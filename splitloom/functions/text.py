@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from splitloom.fixed_values import STOPWORDS
-
 # White space that both Java and RE2 count as such.
 BLANK = r"[ \t\n\r\f]"
 
@@ -70,33 +68,3 @@ def remap(code: Column, mapping: Mapping[str, str]) -> Column:
     for old, new in mapping.items():
         result = F.when(code == old, F.lit(new)).otherwise(result)
     return result
-
-
-def words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
-
-
-def stopwords_in(text: Column, languages: Sequence[str]) -> Column:
-    """The words of a text that are a stopword of some language."""
-    known = [word for language in languages for word in STOPWORDS[language]]
-    return F.filter(words(text), lambda word: word.isin(known))
-
-
-def hits_per_language(found: Column, languages: Sequence[str]) -> Column:
-    """Count stopwords by language, as a struct with one field per language."""
-
-    def count(language: str) -> Column:
-        own = list(STOPWORDS[language])
-        return F.size(F.filter(found, lambda word: word.isin(own)))
-
-    return F.struct(*[count(language).alias(language) for language in languages])
-
-
-def best_language(hits: Column, languages: Sequence[str]) -> Column:
-    """The language with most hits, the alphabetically first on a tie, NULL without any."""
-    ordered = sorted(languages)
-    top = F.greatest(*[hits.getField(lang) for lang in ordered])
-    result = F.lit(None).cast("string")
-    for lang in reversed(ordered):
-        result = F.when(hits.getField(lang) == top, F.lit(lang)).otherwise(result)
-    return F.when(top > 0, result)

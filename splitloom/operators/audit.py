@@ -1,36 +1,102 @@
-"""Does the text look like the language it claims?"""
+"""Does the text look like the language it claims?
+
+Languages are told apart by letter trigrams. Their counts per language are a table that grows
+with the languages' words, not with the texts; a text's score is the sum of the logarithms
+of its trigrams' smoothed shares.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.fixed_values import STOPWORDS
-from splitloom.functions.text import best_language, hits_per_language, stopwords_in
+from splitloom.operators.joins import lookup_side, stored
 
-LANGUAGES = tuple(sorted(STOPWORDS))
+#: Runs of letters are cut into pieces of at most so many, as a place in a long string is found by counting.
+PIECE = 40
+GRAM = 3
 
 
-def detect_language(
-    docs: DataFrame, text: str = "text", languages: Sequence[str] = LANGUAGES
-) -> DataFrame:
-    """Add `detected`, the language whose stopwords are the most frequent."""
-    found = docs.withColumn("_found", stopwords_in(F.col(text), languages))
-    counted = found.withColumn("_hits", hits_per_language(F.col("_found"), languages))
-    return counted.withColumn("detected", best_language(F.col("_hits"), languages)).drop("_found", "_hits")
+def trigrams(text: Column) -> Column:
+    """All letter trigrams of a text in lower case; each run of letters has a blank on both sides."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{1,{PIECE}}}"), F.lit(0))
+
+    def grams(run: Column) -> Column:
+        padded = F.concat(F.lit(" "), run, F.lit(" "))
+        return F.transform(F.sequence(F.lit(1), F.length(run)), lambda at: F.substring(padded, at, F.lit(GRAM)))
+
+    return F.flatten(F.transform(runs, grams))
+
+
+@dataclass(frozen=True)
+class LanguageProfiles:
+    """`grams`: (gram, logs), with one logarithm for each of the languages, which are in order."""
+
+    languages: tuple[str, ...]
+    grams: DataFrame
+
+
+def train_profiles(docs: DataFrame, language: str = "language", text: str = "text") -> LanguageProfiles:
+    """Profiles of the languages that documents claim; those without language teach nothing.
+
+    Runs of letters are counted before they are taken apart, so that frequent words cost as
+    much as rare ones.
+    """
+    known = docs.where(F.col(language).isNotNull())
+    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"\p{{L}}{{1,{PIECE}}}"), F.lit(0))
+    words = known.select(F.col(language).alias("language"), F.explode(runs).alias("run")).groupBy("language", "run").count()
+    grams = words.select("language", "count", F.explode(trigrams(F.col("run"))).alias("gram"))
+    counts = stored(grams.groupBy("gram", "language").agg(F.sum("count").alias("n")))
+    sums = {row.language: row.total for row in counts.groupBy("language").agg(F.sum("n").alias("total")).collect()}
+    languages = tuple(sorted(sums))
+    size = counts.select("gram").distinct().count()
+    logs = [
+        F.ln((F.coalesce(F.sum(F.when(F.col("language") == name, F.col("n"))), F.lit(0)) + 1.0) / float(sums[name] + size))
+        for name in languages
+    ]
+    empty = F.array().cast("array<double>")
+    table = counts.groupBy("gram").agg((F.array(*logs) if logs else empty).alias("logs"))
+    return LanguageProfiles(languages, lookup_side(table))
+
+
+def detect_language(docs: DataFrame, profiles: LanguageProfiles, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, detected): the likeliest language of each document, NULL without a trigram of any profile.
+
+    A document's trigrams are counted and scored in the task that reads it, as long as the profiles
+    are small enough to broadcast; one row per document and task is shuffled. The alphabetically
+    first of equally likely languages counts. Rows of one id count as one document.
+    """
+    key = F.col(doc_id).alias("doc_id")
+    grams = docs.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
+    found = grams.join(profiles.grams, "gram")
+    scores = [F.sum(F.get("logs", F.lit(n))).alias(f"s{n}") for n in range(len(profiles.languages))]
+    sums = found.groupBy("doc_id").agg(F.count("*").alias("n_grams"), *scores)
+    likeliest = F.lit(None).cast("string")
+    if profiles.languages:
+        scores = [F.struct(F.col(f"s{n}").alias("score"), F.lit(-n), F.lit(name).alias("name")) for n, name in enumerate(profiles.languages)]
+        likeliest = F.array_max(F.array(*scores)).getField("name")
+    scored = sums.select(F.col("doc_id").alias("_id"), likeliest.alias("detected"))
+    every = docs.select(key).distinct()
+    return every.join(scored, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "detected")
 
 
 def language_audit(
     docs: DataFrame,
+    profiles: LanguageProfiles | None = None,
     language: str = "language",
     text: str = "text",
-    languages: Sequence[str] = LANGUAGES,
+    doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Claimed against detected language, with the number of documents and of misses."""
-    detected = detect_language(docs.select(language, text), text, languages)
-    return detected.groupBy(F.col(language).alias("language"), "detected").agg(
-        F.count("*").alias("n_docs"),
-        F.count_if(~F.col(language).eqNullSafe(F.col("detected"))).alias("n_misses"),
+    """Claimed against detected language, with the number of documents and of misses.
+
+    Without profiles they are learnt from the documents' own claims, of which most must be right.
+    """
+    profiles = profiles or train_profiles(docs, language, text)
+    claims = docs.select(F.col(doc_id).alias("doc_id"), F.col(language).alias("language"))
+    detected = detect_language(docs, profiles, text, doc_id).withColumnRenamed("doc_id", "_id")
+    joined = claims.join(detected, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.groupBy("language", "detected").agg(
+        F.count("*").alias("n_docs"), F.count_if(~F.col("language").eqNullSafe(F.col("detected"))).alias("n_misses")
     )

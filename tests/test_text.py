@@ -1,9 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from splitloom.fixed_values import STOPWORDS
 from splitloom.functions import paths, text
-from splitloom.operators.audit import detect_language
 from splitloom.operators.prepare import chunk_documents
 from splitloom.sources.files import decoded
 
@@ -61,22 +59,3 @@ def test_paths(spark):
     assert _one(spark, "/x/y", lambda v: paths.under("/root/", v)) == "/x/y"
     assert _one(spark, "file:/tmp/r(1)/x/y", lambda v: paths.relative_to("/tmp//r(1)/", v)) == "x/y"
     assert _one(spark, "a/b", lambda v: paths.part(v, 3)) is None
-
-
-def test_stopword_lists_are_disjoint():
-    listed = [word for words in STOPWORDS.values() for word in words]
-    assert len(listed) == len(set(listed))
-
-
-def test_language_of_plain_sentences(spark):
-    rows = [
-        ("en", "The cat and the dog are friends with that bird."),
-        ("de", "Der Hund und das Pferd sind nicht auf dem Feld."),
-        ("fr", "Les chats et le chien dans une maison avec des fleurs."),
-        ("es", "El perro y los gatos para una casa con las flores."),
-        ("pt", "Os gatos não são do homem em uma casa."),
-        ("nl", "Het paard van een man zijn niet voor ons."),
-        (None, "12345 ???"),
-    ]
-    table = spark.createDataFrame(rows, "language string, text string")
-    assert [(r.language, r.detected) for r in detect_language(table).collect()] == [(l, l) for l, _ in rows]
