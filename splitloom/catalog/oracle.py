@@ -506,7 +506,19 @@ SELECT CAST(doc_id AS VARCHAR) AS review_id, author, title AS item_id,
   CAST(n_chars AS VARCHAR) AS rating, language AS title, text AS text_raw FROM docs""")
     sql["scan_xml_documents"] = _with("""
 , cut AS (SELECT language, author, string_split(text, chr(10)) AS s FROM docs)
-SELECT language, author, i AS position, s[i + 1] AS text FROM cut, range(len(s)) AS r(i)""")
+SELECT language, author, i AS position, nullif(s[i + 1], '') AS text FROM cut, range(len(s)) AS r(i)""")
+    sql["scan_xml_elements"] = _with("""
+, cut AS (SELECT doc_id, language, string_split(text, chr(10)) AS s FROM docs)
+SELECT language, doc_id AS author, 2 * i AS position, nullif(split_part(s[i + 1], ' ', 1), '') AS text
+FROM cut, range(len(s)) AS r(i)
+UNION ALL SELECT language, doc_id, 2 * i + 1, NULL FROM cut, range(len(s)) AS r(i)""")
+    sql["scan_files"] = _with("""
+SELECT '_' || author || '/' || language || '/' || CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '' END || title || doc_id || '.txt' AS path,
+  '_' || author AS author, language, CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '' END || title || doc_id AS title, text
+FROM docs WHERE doc_id % 7 = 0
+UNION ALL SELECT author || '/' || language || '/' || CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '' END || title || doc_id || '.txt',
+  author, language, CASE WHEN doc_id % 2 = 0 THEN '_' ELSE '' END || title || doc_id, text
+FROM docs WHERE doc_id % 7 NOT IN (0, 3)""")
     sql["parse_delimited_truth"] = """
 SELECT CAST(doc_id AS VARCHAR) AS author, CAST(quality AS VARCHAR) AS quality,
   CAST(toxic AS VARCHAR) AS toxic

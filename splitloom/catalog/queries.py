@@ -31,7 +31,7 @@ from splitloom.plans.configs import all_configs, configs_frame
 from splitloom.session import scratch_path
 from splitloom.sources import trees
 from splitloom.sources.corpora import load_corpus
-from splitloom.sources.files import decoded
+from splitloom.sources.files import decoded, read_files, write_files
 from splitloom.sources.problems import problem_documents
 from splitloom.sources.tables import parse_truth, read_metadata, read_tsv
 from splitloom.sources.xml import language_availability, xml_documents
@@ -497,6 +497,39 @@ def scan_xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("language", "author", F.col("position").cast("long").alias("position"), "text")
 
 
+@query
+def scan_xml_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text before the first child, and none in empty elements, at any depth of each document's own file."""
+    text = F.col("text")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    # Of each line the first word stands before a child; every line is followed by an empty element.
+    line = F.concat(
+        F.lit("<s><p>"), F.substring_index(F.col("line"), " ", 1), F.lit("<b>inner</b>"), F.col("line"), F.lit("</p></s><p/>")
+    )
+    lines = documents(spark, sf_dir).select("doc_id", "language", F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    grouped = lines.select("doc_id", "language", "i", line.alias("xml")).groupBy("doc_id", "language").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct("i", "xml"))).getField("xml"), "").alias("xml")
+    )
+    files = grouped.select(
+        F.concat_ws("/", F.lit("pan-train"), "language", F.concat(F.col("doc_id").cast("string"), F.lit(".xml"))).alias("path"),
+        F.encode(F.concat(F.lit("<a>"), "xml", F.lit("</a>")), "UTF-8").alias("content"),
+    )
+    found = xml_documents(files, ".//p")
+    return found.select("language", F.col("author").cast("long").alias("author"), F.col("position").cast("long").alias("position"), "text")
+
+
+@query
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of its own, some with names that a scan skips, some hidden; written, listed and read."""
+    number = F.col("doc_id") % 7
+    author = F.when(number == 0, F.concat(F.lit("_"), "author")).when(number == 3, F.concat(F.lit("."), "author")).otherwise(F.col("author"))
+    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "_").otherwise(""), "title", F.col("doc_id").cast("string"), F.lit(".txt"))
+    root = scratch_path(spark, "files")
+    write_files(_packed(documents(spark, sf_dir), author, "language", name), root)
+    return trees.language_tree(read_files(spark, root))
+
+
 @query
 def parse_delimited_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where("quality is not null and toxic is not null")

@@ -3,67 +3,125 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from xml.etree.ElementTree import Element, ParseError, XMLPullParser
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.functions.guards import reject
 from splitloom.functions.paths import base_name, part, stem
-from splitloom.functions.text import decode_cp1252, latin1
-from splitloom.operators.joins import attach_lookup
+from splitloom.operators.joins import attach_lookup, stored
 from splitloom.sources.files import read_files
 from splitloom.sources.tables import parse_truth, read_truth_lines
 from splitloom.sources.trees import find_directory
 
 
-ENCODINGS = ("", "utf-8", "us-ascii", "iso-8859-1", "latin-1", "windows-1252", "cp1252")
+#: Bytes that the parser is fed at once, and documents that are handed on at once.
+FEED_BYTES, BATCH_ROWS = 65_536, 1_000
 
 
-def _declared() -> Column:
-    """The encoding that a file's first line names, in lower case; none is UTF-8."""
-    head = latin1(F.substring("content", 1, 200))
-    return F.lower(F.regexp_extract(head, "^<\\?xml[^>]*encoding=[\"']([A-Za-z0-9._-]+)", 1))
+def path_steps(search_path: str) -> list[tuple[bool, str]]:
+    """The steps of an element path: whether each may lie at any depth, and its name or `*`.
 
-
-def _xml_text() -> Column:
-    content = F.col("content")
-    return (
-        F.when(_declared().isin("iso-8859-1", "latin-1"), latin1(content))
-        .when(_declared().isin("windows-1252", "cp1252"), decode_cp1252(content))
-        .otherwise(content.cast("string"))
-    )
+    `a/b`, `*`, `.//b` and names with a namespace in braces are understood; there may be one `//`.
+    """
+    # A path that ends with a slash means all children there.
+    search_path += "*" if search_path.endswith("/") else ""
+    parts = re.findall(r"//|/|(?:\{[^}]*\})?[^/{}]+", search_path)
+    if "".join(parts) != search_path or not search_path:
+        raise ValueError(f"not an element path: {search_path!r}")
+    steps, anywhere = [], False
+    for number, one in enumerate(parts):
+        if one == "/" and number:
+            continue
+        if one == "//" and number:
+            anywhere = True
+        elif one == "." and number == 0:
+            continue
+        elif re.fullmatch(r"(\{[^}]*\})?(\*|[\w:-][\w:.-]*)", one):
+            steps.append((anywhere, one))
+            anywhere = False
+        else:
+            raise ValueError(f"not an element path: {search_path!r}")
+    if anywhere or not steps or sum(deep for deep, _ in steps) > 1:
+        raise ValueError(f"not an element path: {search_path!r}")
+    return steps
+
+
+def element_texts(content: bytes, steps: list[tuple[bool, str]]) -> Iterator[tuple[int, str | None]]:
+    """Place in the document and text before the first child (None: none) of each element on the path.
+
+    Elements are read as events and forgotten at their end, so that a file's tree is never whole in memory.
+    """
+    parser = XMLPullParser(("start", "end"))
+    # Per open element: the element, the steps that its children may match, its place if it is on the path.
+    opened: list[tuple[Element, list[int], int | None]] = []
+    count = 0
+    for at in range(0, max(1, len(content)), FEED_BYTES):
+        parser.feed(content[at : at + FEED_BYTES])
+        if at + FEED_BYTES >= len(content):
+            parser.close()
+        for event, element in parser.read_events():
+            if event == "start":
+                waiting, place = [0], None
+                if opened:
+                    waiting = []
+                    for step in opened[-1][1]:
+                        deep, name = steps[step]
+                        if deep:
+                            waiting.append(step)
+                        if name in ("*", element.tag):
+                            if step + 1 == len(steps):
+                                place = count
+                            else:
+                                waiting.append(step + 1)
+                count += place is not None
+                opened.append((element, waiting, place))
+            else:
+                _, _, place = opened.pop()
+                if place is not None:
+                    yield place, element.text
+                if opened:
+                    opened[-1][0].remove(element)
 
 
 def xml_documents(files: DataFrame, search_path: str) -> DataFrame:
-    """<language>/<author>.xml with one document per element at `search_path`.
+    """<language>/<author>.xml with one document per element at `search_path`, below the root.
 
-    The path names elements below the root, such as `documents/document`.
-    Files of one author may come in several rows.
+    The text is what stands before an element's first child, NULL if there is nothing. Files of
+    one author may come in several rows. A file that is not XML fails the job.
     """
-    steps = search_path.removeprefix("./").split("/")
-    if not all(re.fullmatch(r"[\w:-][\w:.-]*", step) for step in steps):
-        raise ValueError(f"not a plain list of element names: {search_path!r}")
-    schema = "ARRAY<STRING>"
-    for step in reversed(steps[1:]):
-        schema = f"ARRAY<STRUCT<`{step}`: {schema}>>"
-    options = {"mode": "FAILFAST", "ignoreSurroundingSpaces": "false"}
-    files = reject(
-        files.where(F.col("path").endswith(".xml")),
-        ~_declared().isin(*ENCODINGS) | (_declared().isin("", "utf-8", "us-ascii") & ~F.is_valid_utf8(F.col("content").cast("string"))),
-        F.concat(F.lit("encoding not understood: "), F.col("path")),
+    steps = path_steps(search_path)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                rows: list[tuple[int, str | None]] = []
+
+                def made() -> pa.RecordBatch:
+                    columns = [pa.array([path.as_py()] * len(rows)), pa.array([n for n, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())]
+                    return pa.RecordBatch.from_arrays(columns, ["path", "position", "text"])
+
+                try:
+                    for row in element_texts(content.as_py() or b"", steps):
+                        rows.append(row)
+                        if len(rows) == BATCH_ROWS:
+                            yield made()
+                            rows.clear()
+                except (ParseError, ValueError, LookupError) as error:
+                    raise ValueError(f"{path.as_py()}: {error}") from error
+                if rows:
+                    yield made()
+
+    found = files.where(F.col("path").endswith(".xml")).select("path", "content").mapInArrow(
+        parse, "path string, position int, text string"
     )
-    found = F.from_xml(_xml_text(), f"`{steps[0]}` {schema}", options)
-    elements = found.getField(steps[0])
-    for step in steps[1:]:
-        elements = F.flatten(F.filter(elements.getField(step), lambda inner: inner.isNotNull()))
     path = F.col("path")
-    return files.select(
-        "path",
-        part(path, -2).alias("language"),
-        stem(base_name(path)).alias("author"),
-        F.posexplode(elements).alias("position", "text"),
+    return found.select(
+        "path", part(path, -2).alias("language"), stem(base_name(path)).alias("author"), "position", "text"
     )
 
 
@@ -109,18 +167,32 @@ def read_xml_corpus(
     """Both sides of an XML corpus with the truth of each author attached."""
     files = read_files(spark, root, "*.xml")
     names = {side: find_directory(files, side) for side in ("train", "test")}
-    path = F.col("path")
-    located = files.select("path", part(path, 1).alias("top"), part(path, 2).alias("language"))
+    top, folder = part(F.col("path"), 1), part(F.col("path"), 2)
+    located = files.select(top.alias("top"), folder.alias("language"))
     languages = resolve_languages(
         *[located.where(F.col("top") == names[side]) for side in ("train", "test")], languages
     )
-    parts = []
-    for side, name in names.items():
-        for language in languages:
-            own = read_files(spark, root, "*.xml", below=f"{name}/{language}")
-            documents = xml_documents(own, search_path)
-            lines = read_truth_lines(spark, f"{root.rstrip('/')}/{name}", language)
-            truth = parse_truth(lines, truth_columns)
-            joined = attach_lookup(documents, truth, {"author": truth_columns[0]})
-            parts.append(joined.withColumn("data_type", F.lit(side)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    # One pass over the files of all sides and languages, and one table of all their truth files.
+    wanted = files.where(top.isin(*names.values()) & folder.isin(*languages))
+    side = F.when(part(F.col("path"), 1) == names["train"], F.lit("train")).otherwise(F.lit("test"))
+    documents = xml_documents(wanted, search_path).withColumn("data_type", side)
+    truth = reduce(
+        DataFrame.unionByName,
+        [
+            parse_truth(read_truth_lines(spark, f"{root.rstrip('/')}/{name}", language), truth_columns)
+            .select("*", F.lit(side).alias("data_type"), F.lit(language).alias("language"), F.lit(True).alias("_told"))
+            for side, name in names.items()
+            for language in languages
+        ],
+    )
+    truth = stored(truth)
+    told = [F.lit(f"{row.data_type}/{row.language}") for row in truth.select("data_type", "language").distinct().collect()]
+    joined = attach_lookup(
+        documents, truth, {"data_type": "data_type", "language": "language", "author": truth_columns[0]}, on_missing="keep"
+    )
+    if not told:
+        return joined
+    # An author without entry is an error, but an empty truth file tells nothing of its side and language.
+    place = F.concat_ws("/", "data_type", "language")
+    missing = F.concat(F.lit("no entry for "), place, F.lit("/"), "author")
+    return reject(joined, F.col("_told").isNull() & place.isin(*told), missing).drop("_told")

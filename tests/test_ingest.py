@@ -2,14 +2,15 @@
 
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 
 from splitloom.sources import corpora
-from splitloom.sources.files import read_files
+from splitloom.sources.files import read_files, write_files
 from splitloom.sources.tables import parse_truth, read_metadata, read_truth_lines, read_tsv
 from splitloom.sources.trees import coded_tree, find_directory
-from splitloom.sources.xml import read_xml_corpus, resolve_languages, xml_documents
+from splitloom.sources.xml import element_texts, path_steps, read_xml_corpus, resolve_languages, xml_documents
 from splitloom.session import scratch_path
 
 
@@ -196,26 +197,71 @@ def test_broken_or_missing_truth_is_an_error(spark, tmp_path):
         corpora.pan18(spark, root).collect()
 
 
-def test_skipped_names_are_an_error(spark, tmp_path):
-    root = write(tmp_path, {"_ann/en/emma.txt": "x", "bob/en/_emma.txt": "y", "bob/en/ok.txt": "z"})
-    with pytest.raises(ValueError, match="_ann/en/emma.txt, bob/en/_emma.txt"):
-        read_files(spark, root)
-    assert read_files(spark, write(tmp_path / "b", {"bob/ok.txt": "z"})).count() == 1
+def test_names_that_a_scan_skips(spark, tmp_path):
+    root = write(tmp_path, {
+        "_ann/en/emma.txt": "x", "bob/en/_emma.txt": "y", "bob/en/ok.txt": "z", "bob/en/._emma.txt": "no", ".git/en/a.txt": "no",
+        "bob/en/_note.md": "no", "_top.txt": "t",
+    })
+    files = read_files(spark, root)
+    assert {(r.path, bytes(r.content)) for r in files.collect()} == {
+        ("_ann/en/emma.txt", b"x"), ("bob/en/_emma.txt", b"y"), ("bob/en/ok.txt", b"z"), ("_top.txt", b"t"),
+    }
+    assert sorted(r.path for r in read_files(spark, root, below="*/en").collect()) == [
+        "_ann/en/emma.txt", "bob/en/_emma.txt", "bob/en/ok.txt",
+    ]
+    assert {r.path for r in read_files(spark, root, below="{bob,eve}/en").collect()} == {"bob/en/_emma.txt", "bob/en/ok.txt"}
+    plain = read_files(spark, write(tmp_path / "b", {"bob/ok.txt": "z"}))
+    assert plain.count() == 1
 
 
-def test_xml_encodings_and_paths(spark, tmp_path):
+def test_written_files(spark, tmp_path):
+    rows = [(f"a{n % 3}/_f {n}.txt", bytes([n])) for n in range(20)] + [("top.txt", None)]
+    frame = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    root = str(tmp_path / "new")
+    assert write_files(frame, root) == 21
+    assert {(r.path, bytes(r.content)) for r in read_files(spark, root).collect()} == {(p, c or b"") for p, c in rows}
+    with pytest.raises(ValueError, match="not empty"):
+        write_files(frame, root)
+    with pytest.raises(ValueError, match="several rows"):
+        write_files(frame.unionByName(frame), str(tmp_path / "other"))
+
+
+def test_xml_encodings(spark):
     text = '<?xml version="1.0" encoding="{}"?>\n<a><d>é</d></a>'
     files = [
         ("en/a.xml", text.format("ISO-8859-1").encode("latin-1")), ("en/b.xml", text.format("UTF-8").encode()),
-        ("en/c.xml", text.format("windows-1252").encode("cp1252")),
+        ("en/c.xml", text.format("windows-1252").encode("cp1252")), ("en/d.xml", text.format("UTF-16").encode("utf-16")),
     ]
     frame = spark.createDataFrame(files, "path string, content binary")
-    assert [row.text for row in xml_documents(frame, "./d").collect()] == ["é"] * 3
-    bad = spark.createDataFrame([("en/a.xml", text.format("UTF-8").encode("latin-1"))], "path string, content binary")
-    with pytest.raises(Exception, match="encoding not understood"):
-        xml_documents(bad, "d").collect()
-    with pytest.raises(ValueError, match="plain list"):
-        xml_documents(frame, ".//d")
+    assert [row.text for row in xml_documents(frame, "./d").collect()] == ["é"] * 4
+    for content in (text.format("UTF-8").encode("latin-1"), text.format("klingon").encode(), b"<a><d></a>", b"", b"<a>", None):
+        bad = spark.createDataFrame([("en/x.xml", content)], "path string, content binary")
+        with pytest.raises(Exception, match="en/x.xml"):
+            xml_documents(bad, "d").collect()
+
+
+XML = """<a><d>one <b>two</b> three</d><d/><d> </d><!-- c --><e><d>x<!-- c -->y<d>in</d>z</d></e><b><b>deep</b></b><d>&amp;<![CDATA[<]]></d>
+<n:d xmlns:n="urn:n">n</n:d></a>"""
+
+
+@pytest.mark.parametrize("search", ["d", "./d", "e/d", ".//d", "*", "*/d", ".//b", "e//d", "./e/*", "b/b", "{urn:n}d", ".//{urn:n}d", "a", ".//*", "e/", "e//"])
+def test_xml_paths_are_those_of_element_tree(search):
+    found = sorted(element_texts(XML.encode(), path_steps(search)))
+    assert [text for _, text in found] == [e.text for e in ElementTree.fromstring(XML).findall(search)]
+    assert [place for place, _ in found] == list(range(len(found)))
+
+
+@pytest.mark.parametrize("search", ["", "/d", "..", "d[1]", ".//a//b", "d//e//f", "a b"])
+def test_other_xml_paths_are_errors(search):
+    with pytest.raises(ValueError, match="not an element path"):
+        path_steps(search)
+
+
+def test_large_xml_files(spark):
+    body = "".join(f"<d>{n}<x>y</x></d>" for n in range(30_000)) + "<d>" + "é" * 200_000 + "</d>"
+    frame = spark.createDataFrame([("en/a.xml", f"<a>{body}</a>".encode())], "path string, content binary")
+    rows = xml_documents(frame, "d").orderBy("position").collect()
+    assert [r.text for r in rows] == [*map(str, range(30_000)), "é" * 200_000]
 
 
 def test_written_corpus(spark, tmp_path):
