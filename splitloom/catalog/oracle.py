@@ -479,8 +479,7 @@ SELECT doc_id, author, topic, 'en' AS language, text_path, text FROM docs
 WHERE topic IS NOT NULL
   AND text NOT IN ('', 'NA', 'N/A', 'n/a', 'NULL', 'null', 'NaN', 'nan', 'None', '<NA>')""")
     sql["number_documents"] = _with("""
-SELECT count(*) AS n_docs, count(*) AS n_numbers, min(text_path) AS first_path,
-  max(text_path) AS last_path FROM docs""")
+SELECT text_path AS path, row_number() OVER (ORDER BY text_path COLLATE "C") - 1 AS doc_id FROM docs""")
 
     sql["decode_cp1252"] = _with("""
 , quoted AS (SELECT doc_id, '“' || replace(text, ', ', ' – ') || '”' AS text FROM docs)

@@ -24,13 +24,13 @@ from splitloom.operators.predicates import exclude_rows as exclude
 from splitloom.operators.prepare import chunk_documents as chunk
 from splitloom.operators.prepare import drop_incomplete as drop_missing
 from splitloom.operators.prepare import externalize_text as externalize
-from splitloom.operators.prepare import with_doc_ids, write_corpus
+from splitloom.operators.prepare import with_doc_ids
 from splitloom.plans import matrix
 from splitloom.plans import splits as builders
 from splitloom.plans.configs import all_configs, configs_frame
 from splitloom.session import scratch_path
 from splitloom.sources import trees
-from splitloom.sources.corpora import load_corpus
+from splitloom.sources.corpora import load_corpus, write_corpus
 from splitloom.sources.files import decoded, read_files, write_files
 from splitloom.sources.problems import problem_documents
 from splitloom.sources.tables import parse_truth, read_metadata, read_tsv
@@ -394,22 +394,14 @@ def split_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def externalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "author", "topic", "text")
     output = scratch_path(spark, "corpus")
-    write_corpus(*externalize(docs), output)
+    write_corpus(externalize(docs), output)
     return load_corpus(spark, output, with_text=True)
 
 
 @query
 def number_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document numbers follow the order of the paths; shown as each one's successor."""
-    docs = documents(spark, sf_dir).select(F.col("text_path").alias("path"))
-    output = scratch_path(spark, "numbered")
-    with_doc_ids(docs).write.parquet(output)
-    numbered = spark.read.parquet(output)
-    in_order = numbered.agg(
-        F.count("*").alias("n_docs"), F.countDistinct("doc_id").alias("n_numbers"),
-        F.min_by("path", "doc_id").alias("first_path"), F.max_by("path", "doc_id").alias("last_path"),
-    )
-    return in_order
+    """Each path with its number in the order of the paths."""
+    return with_doc_ids(documents(spark, sf_dir).select(F.col("text_path").alias("path")))
 
 
 # --- raw corpora ----------------------------------------------------------

@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from splitloom.fixed_values import DEFAULT_LANGUAGE, MISSING_MARKERS, SENTENCES_PER_CHUNK
 from splitloom.functions.paths import chunk_file_name, text_file_name
 from splitloom.functions.text import chunked, sentences
+from splitloom.operators.joins import stored
 from splitloom.operators.sentences import SentenceModel, split_sentences
 
 
+#: Digits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
+
+
 def with_doc_ids(docs: DataFrame, order: Sequence[str] = ("path",), doc_id: str = "doc_id") -> DataFrame:
-    """Number documents by their order, with gaps between Spark partitions.
+    """Number rows from 0 by their order, without gaps. NULLs come first; equal rows follow each other.
 
-    Write the result before using it twice: the gaps depend on the partitioning.
+    Rows are spread by ranges of the order, numbered within each range, and moved up by the rows of
+    the ranges before, of which there are as many as partitions. All columns are written once
+    on the way, so give it narrow rows.
     """
     ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return ranged.select(F.monotonically_increasing_id().alias(doc_id), "*")
+    placed = stored(ranged.select("*", F.monotonically_increasing_id().alias("_at")))
+    part = F.shiftright("_at", ROW_BITS)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = F.broadcast(sizes.select("_part", before.alias("_before")))
+    numbered = placed.withColumn("_part", part).join(moved, "_part")
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)
+    return numbered.select(number.alias(doc_id), *[f"`{c}`" for c in docs.columns])
 
 
 def drop_incomplete(docs: DataFrame, markers: Sequence[str] = MISSING_MARKERS) -> DataFrame:
@@ -66,24 +80,13 @@ def chunk_documents(
 
 def externalize_text(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", author: str = "author"
-) -> tuple[DataFrame, DataFrame]:
-    """Split complete documents into (metadata, content), linked by `doc_id`.
+) -> DataFrame:
+    """Complete documents with the path that names their text, and the text itself last.
 
-    The metadata name the text by path; one table of texts replaces the many
-    small files, and readers that need no text never scan it.
+    One table takes the place of the many small files. Its columns are stored apart, so that
+    readers that need no text never read it, and a text needs no join with its metadata.
     """
-    complete = drop_incomplete(docs)
-    metadata = with_default(complete.drop(text), "language", DEFAULT_LANGUAGE).withColumn(
-        "text_path", F.concat(F.lit("text_raw/"), text_file_name(F.col(doc_id), F.col(author)))
-    )
-    return metadata, complete.select(doc_id, F.col(text).alias("text"))
-
-
-def write_corpus(
-    metadata: DataFrame, content: DataFrame | None, output: str, force: bool = False
-) -> None:
-    """Write both tables. An existing output is an error unless forced."""
-    mode = "overwrite" if force else "errorifexists"
-    metadata.write.mode(mode).parquet(f"{output}/metadata")
-    if content is not None:
-        content.write.mode(mode).parquet(f"{output}/content")
+    complete = with_default(drop_incomplete(docs), "language", DEFAULT_LANGUAGE)
+    path = F.concat(F.lit("text_raw/"), text_file_name(F.col(doc_id), F.col(author)))
+    others = [c for c in complete.columns if c not in (text, "text_path")]
+    return complete.select(*others, path.alias("text_path"), F.col(text).alias("text"))

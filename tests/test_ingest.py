@@ -5,7 +5,9 @@ import os
 from xml.etree import ElementTree
 
 import pytest
+from pyspark.sql import functions as F
 
+from splitloom.operators.prepare import with_doc_ids
 from splitloom.sources import corpora
 from splitloom.sources.files import read_files, write_files
 from splitloom.sources.tables import parse_truth, read_metadata, read_truth_lines, read_tsv
@@ -277,8 +279,53 @@ def test_written_corpus(spark, tmp_path):
     assert "text" not in corpora.load_corpus(spark, output).columns
     with pytest.raises(Exception, match="(?i)already exists"):
         corpora.ingest(spark, "guardian", raw, output)
+    before = corpora.load_corpus(spark, output)
     corpora.ingest(spark, "guardian", raw, output, force=True)
     assert corpora.load_corpus(spark, output).count() == 3
+    assert before.count() == 3
+    assert corpora.drop_old_versions(spark, output) == 1
+    assert corpora.load_corpus(spark, output).count() == 3
+
+
+def test_a_failed_run_leaves_the_old_corpus(spark, tmp_path):
+    output = str(tmp_path / "processed")
+    docs = spark.range(5).withColumn("text", F.lit("x"))
+    corpora.write_corpus(docs, output)
+    broken = docs.withColumn("text", F.when(F.col("id") == 4, F.raise_error(F.lit("broken")).cast("string")).otherwise("new"))
+    with pytest.raises(Exception, match="broken"):
+        corpora.write_corpus(broken, output, force=True)
+    assert [r.text for r in corpora.load_corpus(spark, output, with_text=True).collect()] == ["x"] * 5
+    # What the failed run has written goes with the other old versions.
+    corpora.write_corpus(docs.withColumn("text", F.lit("y")), output, force=True)
+    assert corpora.drop_old_versions(spark, output) == 2
+    assert [r.text for r in corpora.load_corpus(spark, output, with_text=True).collect()] == ["y"] * 5
+    with pytest.raises(FileNotFoundError):
+        corpora.load_corpus(spark, str(tmp_path / "none"))
+
+
+def test_texts_are_read_without_an_exchange(spark, tmp_path):
+    output = str(tmp_path / "processed")
+    corpora.write_corpus(spark.range(5).withColumn("text", F.lit("x")), output)
+    plan = corpora.load_corpus(spark, output, with_text=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    plan = corpora.load_corpus(spark, output)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = [(n * 7 % 50, None if n % 9 == 0 else f"p{n % 20:02d}") for n in range(300)]
+    frame = spark.createDataFrame(rows, "a long, path string").repartition(7)
+    found = with_doc_ids(frame, ("path", "a")).orderBy("doc_id").collect()
+    assert [r.doc_id for r in found] == list(range(300))
+    assert [(r.path, r.a) for r in found] == sorted(((p, a) for a, p in rows), key=lambda r: (r[0] is not None, r))
+    assert with_doc_ids(frame.limit(0)).collect() == []
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    raw = write(tmp_path / "raw", {"imdb62.txt": 'r1\ta\tm\t8\tT\t"two\nlines"\nr2\ta\tm\t8\tT\tone\n'})
+    output = str(tmp_path / "out")
+    corpora.ingest(spark, "imdb62", raw, output, multi_line=True)
+    assert [r.text for r in corpora.load_corpus(spark, output, with_text=True).orderBy("doc_id").collect()] == ["two\nlines", "one"]
 
 
 @pytest.mark.parametrize(
