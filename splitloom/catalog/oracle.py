@@ -186,6 +186,32 @@ plan AS (
   FROM titles LEFT JOIN n_train_title n USING (test_language, title)
 )"""
 
+# Every row of every split, the rest of each language included.
+TITLE_LONG = """
+title_ids AS (
+  SELECT DISTINCT test_language, split_id FROM plan WHERE split_id IS NOT NULL
+  UNION SELECT test_language, '*rest*' FROM languages
+),
+title_long AS (
+  SELECT i.test_language, i.split_id, 'test' AS role, d.novelist AS target, d.language
+  FROM title_ids i JOIN plan p ON p.test_language = i.test_language AND p.split_id = i.split_id
+  JOIN docs d ON d.title = p.title AND d.language = i.test_language
+  UNION ALL
+  SELECT i.test_language, i.split_id, 'train', d.novelist, d.language
+  FROM title_ids i JOIN docs d ON d.language <> i.test_language
+  WHERE d.title <> i.split_id OR i.split_id = '*rest*'
+),
+title_targets AS (
+  SELECT test_language, split_id, target, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS test
+  FROM title_long GROUP BY ALL
+),
+title_summary AS (
+  SELECT test_language, split_id, sum(train)::BIGINT AS n_train, sum(test)::BIGINT AS n_test,
+    count(*) FILTER (train > 0) AS n_train_targets, count(*) FILTER (test > 0) AS n_test_targets,
+    count(*) FILTER (train = 0 AND test > 0) AS n_unseen_targets, 0::BIGINT AS n_null_targets
+  FROM title_targets GROUP BY test_language, split_id
+)"""
+
 RAW_SIDES = """
 splits AS (
   SELECT problem AS split_id, data_type AS role, doc_id, novelist AS target, language,
@@ -314,6 +340,20 @@ LEFT JOIN plan p ON p.test_language = l.test_language AND p.title = d.title""")
     sql["heldout_title_plan_covered"] = _with(f""",{TITLE_PLAN}
 SELECT * REPLACE (CASE WHEN covered THEN split_id END AS split_id) FROM plan""")
 
+    sql["title_split_summary"] = _with(f",{TITLE_PLAN},{TITLE_LONG} SELECT * FROM title_summary")
+    sql["validate_title_splits"] = _with(f""",{TITLE_PLAN},{TITLE_LONG}
+SELECT test_language, split_id, unnest(['two_train_classes', 'test_classes_in_train', 'two_train_rows', 'one_test_row',
+    'every_row_has_a_target']) AS rule,
+  unnest([CASE WHEN n_train_targets < 2 THEN 1 ELSE 0 END, n_unseen_targets, CASE WHEN n_train < 2 THEN 1 ELSE 0 END,
+    CASE WHEN n_test < 1 THEN 1 ELSE 0 END, n_null_targets])::BIGINT AS n_violations
+FROM title_summary""")
+    sql["validate_title_languages"] = _with(f""",{TITLE_PLAN},{TITLE_LONG}
+SELECT test_language, split_id, count(*) FILTER (train > 0) AS n_train_languages, count(*) FILTER (test > 0) AS n_test_languages,
+  count(*) FILTER (train > 0 AND test > 0) AS n_shared_languages, sum(train)::BIGINT AS n_train, sum(test)::BIGINT AS n_test
+FROM (SELECT test_language, split_id, language, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS test
+      FROM title_long GROUP BY ALL)
+GROUP BY ALL""")
+
     sql["attach_target"] = _with(" SELECT doc_id, language AS y_0, author AS y_1 FROM docs")
     sql["distinct_targets"] = _with(" SELECT DISTINCT novelist FROM docs")
     sql["select_targets"] = f"""SELECT author FROM (SELECT DISTINCT source AS author FROM documents)

@@ -305,6 +305,30 @@ def validate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_author.unionByName(by_novelist)
 
 
+def _titles_in_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return split_heldout_titles(docs, LANGUAGES, author="novelist")
+
+
+@query
+def title_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and targets of every held-out title split, from the compact form."""
+    return validate.title_split_summary(_titles_in_languages(spark, sf_dir))
+
+
+@query
+def validate_title_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = validate.title_split_summary(_titles_in_languages(spark, sf_dir))
+    return validate.violations(summary, ("test_language", "split_id"))
+
+
+@query
+def validate_title_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    languages = documents(spark, sf_dir).select("doc_id", "language")
+    assigned = _titles_in_languages(spark, sf_dir).join(languages, "doc_id")
+    return validate.title_split_languages(assigned)
+
+
 @query
 def language_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.language_audit(documents(spark, sf_dir))

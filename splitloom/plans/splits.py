@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitloom.fixed_values import DEFAULT_FOLDS
@@ -12,6 +12,7 @@ from splitloom.operators.cap import cap_docs_per_target
 from splitloom.operators.folds import ROWS_PER_BUCKET, attach_folds, stratified_kfold
 from splitloom.operators.joins import broadcast_if_small
 from splitloom.operators.targets import distinct_targets, restrict_targets, select_targets
+from splitloom.session import scratch_path
 
 COLUMNS = ("split_id", "role", "doc_id", "target")
 
@@ -93,17 +94,32 @@ def cv_split(
     return _sided(train, "train").unionByName(_sided(test, "test"))
 
 
+def write_splits(splits: DataFrame, path: str) -> None:
+    """Write long splits so that each side is a folder of its own; large sides become several files."""
+    splits.hint("rebalance", "split_id", "role").write.partitionBy("split_id", "role").parquet(path)
+
+
+def read_splits(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """Splits that `write_splits` wrote; a condition on split and role reads that folder alone."""
+    return spark.read.schema(f"doc_id {id_type}, target string, split_id string, role string").parquet(path).select(*COLUMNS)
+
+
 def iter_splits(
-    splits: DataFrame, docs: DataFrame, doc_id: str = "doc_id"
+    splits: DataFrame, docs: DataFrame, doc_id: str = "doc_id", path: str | None = None
 ) -> Iterator[tuple[str, DataFrame, DataFrame]]:
     """(split_id, train, test) with all columns of `docs`, for a model selection loop.
 
-    Write long splits to a table first, since each turn reads them again.
+    The plan of the splits runs once, whatever their number: they are written to the path, or to the
+    shared folder, and each turn reads its own.
     """
-    for row in splits.select("split_id").distinct().orderBy("split_id").toLocalIterator():
+    spark = splits.sparkSession
+    path = path or scratch_path(spark, "splits")
+    write_splits(splits.select(*COLUMNS), path)
+    written = read_splits(spark, path, splits.schema["doc_id"].dataType.simpleString())
+    for row in written.select("split_id").distinct().orderBy("split_id").toLocalIterator():
         sides = []
         for role in ("train", "test"):
-            ids = splits.where((F.col("split_id") == row[0]) & (F.col("role") == role))
+            ids = written.where((F.col("split_id") == row[0]) & (F.col("role") == role))
             ids = broadcast_if_small(ids.select(F.col("doc_id").alias("_id")))
             sides.append(docs.join(ids, F.col(doc_id) == F.col("_id"), "left_semi"))
         yield row[0], sides[0], sides[1]

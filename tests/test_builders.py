@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from splitloom.operators import joins
 from splitloom.operators.validate import fold_leakage, split_leakage, split_summary, validate_splits
-from splitloom.plans.splits import cv_split, iter_splits, train_test_split
+from splitloom.plans.splits import cv_split, iter_splits, read_splits, train_test_split
 
 
 @pytest.fixture(scope="module")
@@ -88,6 +88,25 @@ def test_model_selection_loop(spark, thousand):
     assert seen == 1000
 
 
+def test_the_plan_of_splits_runs_once(spark, thousand, tmp_path):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            ran.add(len(batch))
+            yield batch
+
+    splits = cv_split(thousand, target="y", n_splits=4).cache()
+    counted = splits.mapInPandas(count, splits.schema)
+    path = str(tmp_path / "splits")
+    got = {split_id: (train.count(), test.count()) for split_id, train, test in iter_splits(counted, thousand, path=path)}
+    assert got == {str(n): (750, 250) for n in range(4)}
+    assert ran.value == 4000
+    one = read_splits(spark, path).where("split_id = '2' AND role = 'test'")
+    assert "PartitionFilters: [isnotnull(split_id" in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(one.collect()) == sorted(splits.where("split_id = '2' AND role = 'test'").collect())
+
+
 def test_violations_are_counted(spark):
     rows = [
         ("a", "train", 1, "A"), ("a", "train", 2, "A"), ("a", "test", 3, "B"), ("a", "test", 4, None),

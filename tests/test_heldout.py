@@ -1,16 +1,19 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from splitloom.operators.heldout import (
     REST,
     one_title_split,
     split_heldout_title,
+    split_heldout_titles,
     title_overlap,
     title_plan,
     title_splits,
     untested_titles,
 )
+from splitloom.operators.validate import split_summary, title_split_languages, title_split_summary, validate_language_split
 
 SCHEMA = "doc_id long, author string, language string, title string"
 
@@ -87,3 +90,24 @@ def test_title_sets(spark):
     assert {r.title: r.overlaps for r in found.collect()} == {"t1": True, "t2": True, "t4": False, "t5": False}
     assert {r.title for r in untested_titles(docs, ["en"]).collect()} == {"t1", "t3"}
     assert {r.title for r in untested_titles(docs, ["en", "es"]).collect()} == {"t1"}
+
+
+def test_summaries_of_the_compact_form_equal_those_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [
+        (n, rng.choice(["A", "B", "C", None]), rng.choice(["en", "de", "fr", None]), rng.choice(["t1", "t2", "t3", "t4", None]))
+        for n in range(60)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, author string, language string, title string")
+    assigned = split_heldout_titles(docs, ["en", "de", "xx"])
+    summary = {tuple(row)[:2]: tuple(row)[2:] for row in title_split_summary(assigned).collect()}
+    spoken = assigned.join(docs.select("doc_id", "language"), "doc_id")
+    languages = {tuple(row)[:2]: tuple(row)[2:] for row in title_split_languages(spoken).collect()}
+    seen = 0
+    for name in ("en", "de", "xx"):
+        for split_id, split in title_splits(assigned.where(F.col("test_language") == name)):
+            seen += 1
+            assert summary[name, split_id] == tuple(split_summary(split).first())[1:]
+            told = split.join(docs.select("doc_id", "language"), "doc_id")
+            assert languages[name, split_id] == tuple(validate_language_split(told).first())[1:]
+    assert seen == len(summary) == len(languages)
