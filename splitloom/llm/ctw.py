@@ -25,8 +25,9 @@ from splitloom.llm.common import kept
 #: Context bytes; a string of context and next byte fits a long.
 DEPTH = 5
 END = b"\n"
-#: Rows of a block, and bytes that are worked on at once.
-BLOCK_ROWS, CHUNK_BYTES, CONDENSE_BYTES = 8_192, 2_000_000, 3_000_000
+#: Neighbouring rows that a block is taken from, fewer for long texts, and bytes that are worked on at once.
+BLOCK_ROWS, LONG_ROWS, LONG_BYTES = 32_768, 256, 65_536
+CHUNK_BYTES, CONDENSE_BYTES = 2_000_000, 3_000_000
 #: Distinct strings that a task holds before it hands them on; a block may then come in parts.
 HELD_STRINGS = 2_500_000
 
@@ -257,7 +258,7 @@ def string_probabilities(counts: DataFrame) -> DataFrame:
     seen has no node; the mix then ends at the deepest that was. A task holds the
     strings of one pair of nearest bytes.
     """
-    strings = kept(counts.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF)), "ctw-strings")
+    strings = kept(counts, "ctw-strings").withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
     crown = _crown(strings)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -357,9 +358,12 @@ def score(docs: DataFrame) -> DataFrame:
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def stored_blocks(scan: DataFrame, *alike: str, rows: int = BLOCK_ROWS) -> Column:
+def stored_blocks(scan: DataFrame, *alike: str, text: str = "text", rows: int = BLOCK_ROWS) -> Column:
     """A block number for the rows of a table read from files: neighbouring rows of one file.
 
-    Rows that differ in one of the columns `alike` go apart, as like texts share more strings.
+    Rows that differ in one of the columns `alike` go apart, as like texts share more strings; so do
+    long texts, of which a block has fewer.
     """
-    return F.xxhash64(scan["_metadata.file_path"], F.expr(f"_metadata.row_index div {rows}"), *alike)
+    long = F.coalesce(F.octet_length(text) >= LONG_BYTES, F.lit(False))
+    size = F.when(long, LONG_ROWS).otherwise(rows)
+    return F.xxhash64(scan["_metadata.file_path"], long, F.floor(scan["_metadata.row_index"] / size), *alike)
