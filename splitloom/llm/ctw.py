@@ -27,7 +27,7 @@ DEPTH = 5
 END = b"\n"
 #: Neighbouring rows that a block is taken from, fewer for long texts, and bytes that are worked on at once.
 BLOCK_ROWS, LONG_ROWS, LONG_BYTES = 32_768, 256, 65_536
-CHUNK_BYTES, CONDENSE_BYTES = 2_000_000, 3_000_000
+CHUNK_BYTES, CONDENSE_BYTES = 1_000_000, 2_000_000
 #: Distinct strings that a task holds before it hands them on; a block may then come in parts.
 HELD_STRINGS = 2_500_000
 
@@ -276,6 +276,37 @@ def string_probabilities(counts: DataFrame) -> DataFrame:
     return strings.groupBy("pair").applyInPandas(answer, "gram long, value double")
 
 
+class Places:
+    """Where numbers lie in a list without repeats: open addressing, many numbers at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        waiting, at = np.arange(len(keys), dtype=np.int32), self._first(keys)
+        while len(waiting):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = waiting[free]
+            lost = self.slots[at] != waiting
+            waiting, at = waiting[lost], (at[lost] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        # Multiplication by a large odd number spreads neighbouring numbers.
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each number, all of which must be there."""
+        at = self._first(wanted)
+        found = self.slots[at]
+        wrong = np.flatnonzero(self.keys[found] != wanted)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.mask
+            found[wrong] = self.slots[at[wrong]]
+            wrong = wrong[self.keys[found[wrong]] != wanted[wrong]]
+        return found
+
+
 SCORES = (
     "doc_id {id}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
     "score double, bits_per_byte double"
@@ -314,8 +345,7 @@ def score(docs: DataFrame) -> DataFrame:
         is_word = found.column("gram").is_null()
         gram_rows, word_rows = found.filter(pa.compute.invert(is_word)), found.filter(is_word)
         strings = gram_rows.column("gram").to_numpy().view(np.uint64)
-        order = np.argsort(strings)
-        strings, logs = strings[order], gram_rows.column("value").to_numpy()[order]
+        places, logs = Places(strings), gram_rows.column("value").to_numpy()
         counts = dict(zip(word_rows.column("word").to_pylist(), word_rows.column("value").to_numpy()))
         n_tokens, n_known, base, scores, lengths = [], [], [], [], []
         bodies, held = [], 0
@@ -324,7 +354,7 @@ def score(docs: DataFrame) -> DataFrame:
             nonlocal bodies, held
             if bodies:
                 grams, sizes = grams_of(bodies)
-                at = logs[np.searchsorted(strings, grams)]
+                at = logs[places.of(grams)]
                 scores.append(np.add.reduceat(at, np.cumsum(sizes) - sizes))
                 lengths.append(sizes)
             bodies, held = [], 0
@@ -332,7 +362,7 @@ def score(docs: DataFrame) -> DataFrame:
         for column in texts.column("text").iterchunks():
             for text in column:
                 tokens = tokens_of(text.as_py())
-                c = np.array([counts[token] for token in tokens])
+                c = np.array([*map(counts.__getitem__, tokens)])
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))

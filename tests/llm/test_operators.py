@@ -498,3 +498,11 @@ def test_empty_tables_and_odd_rows(spark, operator):
     docs = odd_docs(spark)
     assert run(docs.limit(0)).count() == 0
     assert run(docs).count() >= docs.count()
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 1000, 50_000])
+def test_places_in_a_list(count):
+    rng = np.random.default_rng(count)
+    keys = rng.permutation(np.unique(np.concatenate([rng.integers(0, 1 << 48, count, dtype=np.uint64), np.arange(count, dtype=np.uint64)])))
+    wanted = rng.permutation(np.repeat(np.arange(len(keys)), 2))
+    assert (ctw.Places(keys).of(keys[wanted]) == wanted).all()
