@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Fitted models and tokenizers have no SQL; the stages are tested against brute force.
+#: Fitted models and tokenizers have no SQL; tests check what each stage keeps, and its operator by itself.
 ORACLE_SQL = None
 
 
