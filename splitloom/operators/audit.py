@@ -32,7 +32,7 @@ def trigrams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class LanguageProfiles:
-    """`grams`: (gram, logs), with one logarithm for each of the languages, which are in order."""
+    """`grams`: (gram, log0, log1, ...), a logarithm for each of the languages, which are in order."""
 
     languages: tuple[str, ...]
     grams: DataFrame
@@ -56,8 +56,7 @@ def train_profiles(docs: DataFrame, language: str = "language", text: str = "tex
         F.ln((F.coalesce(F.sum(F.when(F.col("language") == name, F.col("n"))), F.lit(0)) + 1.0) / float(sums[name] + size))
         for name in languages
     ]
-    empty = F.array().cast("array<double>")
-    table = counts.groupBy("gram").agg((F.array(*logs) if logs else empty).alias("logs"))
+    table = counts.groupBy("gram").agg(F.count("*").alias("n_languages"), *[log.alias(f"log{n}") for n, log in enumerate(logs)])
     return LanguageProfiles(languages, lookup_side(table))
 
 
@@ -71,7 +70,7 @@ def detect_language(docs: DataFrame, profiles: LanguageProfiles, text: str = "te
     key = F.col(doc_id).alias("doc_id")
     grams = docs.select(key, F.explode(trigrams(F.col(text))).alias("gram"))
     found = grams.join(profiles.grams, "gram")
-    scores = [F.sum(F.get("logs", F.lit(n))).alias(f"s{n}") for n in range(len(profiles.languages))]
+    scores = [F.sum(f"log{n}").alias(f"s{n}") for n in range(len(profiles.languages))]
     sums = found.groupBy("doc_id").agg(F.count("*").alias("n_grams"), *scores)
     likeliest = F.lit(None).cast("string")
     if profiles.languages:
