@@ -38,7 +38,7 @@ def _detected(taught: str) -> str:
     """Language by trigrams, learnt from some of the documents."""
     return r""",
 told AS (SELECT *, md5(CAST(doc_id AS VARCHAR)) < '3' AS held_out FROM docs),
-runs AS (SELECT doc_id, language, held_out, unnest(regexp_extract_all(lower(text), '\pL{1,40}')) AS run FROM told),
+runs AS (SELECT doc_id, language, held_out, unnest(regexp_extract_all(lower(text), '\pL+')) AS run FROM told),
 grams AS (
   SELECT doc_id, language, held_out, substr(' ' || run || ' ', unnest(range(1, length(run) + 1))::INT, 3) AS gram FROM runs
 ),

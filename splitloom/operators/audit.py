@@ -14,20 +14,14 @@ from pyspark.sql import functions as F
 
 from splitloom.operators.joins import lookup_side, stored
 
-#: Runs of letters are cut into pieces of at most so many, as a place in a long string is found by counting.
-PIECE = 40
-GRAM = 3
+#: One for each letter, with its neighbours: a match takes no characters, so that the next begins one further on.
+GRAM = r"(?=([\p{L} ]\p{L}[\p{L} ]))"
 
 
 def trigrams(text: Column) -> Column:
     """All letter trigrams of a text in lower case; each run of letters has a blank on both sides."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{1,{PIECE}}}"), F.lit(0))
-
-    def grams(run: Column) -> Column:
-        padded = F.concat(F.lit(" "), run, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(run)), lambda at: F.substring(padded, at, F.lit(GRAM)))
-
-    return F.flatten(F.transform(runs, grams))
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    return F.regexp_extract_all(F.concat(F.lit(" "), spaced, F.lit(" ")), F.lit(GRAM), F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -45,7 +39,7 @@ def train_profiles(docs: DataFrame, language: str = "language", text: str = "tex
     much as rare ones.
     """
     known = docs.where(F.col(language).isNotNull())
-    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"\p{{L}}{{1,{PIECE}}}"), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))
     words = known.select(F.col(language).alias("language"), F.explode(runs).alias("run")).groupBy("language", "run").count()
     grams = words.select("language", "count", F.explode(trigrams(F.col("run"))).alias("gram"))
     counts = stored(grams.groupBy("gram", "language").agg(F.sum("count").alias("n")))
