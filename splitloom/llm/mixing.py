@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -17,7 +19,10 @@ from splitloom.operators.joins import broadcast_if_small
 LABELLED, FEATURES = 20_000, 4_096
 #: Documents whose posteriors have equal whole parts of this number share a rate.
 PARTS = 50
-STEPS, TOLERANCE = 30, 1e-4
+#: Steps of the fit, Newton steps and halvings in each, and the first step's length by the inverse curvature.
+STEPS, NEWTON_STEPS, HALVINGS, FIRST_LENGTH = 20, 30, 6, 300.0
+#: Targets are met to this share, or the squares proven to be within this share of the least.
+TOLERANCE, CERTIFIED = 1e-4, 5e-3
 
 
 #: White space between words.
@@ -138,53 +143,123 @@ def _rate(path: list[list[float]], least: float) -> Column:
     return F.aggregate(moves, start, lambda rate, move: F.greatest(F.lit(float(least)), rate - move))
 
 
-def fit_rates(cells: DataFrame, targets: list[float], least: float = 0.0) -> list[list[float]]:
-    """Projected gradient for the least squares over domains of expected less target tokens.
+@dataclass
+class Sums:
+    """What a move leaves, summed over the cells; see `_looks`."""
 
-    `cells` has (posterior, tokens): the tokens of all documents that share a rate, and the
-    unrounded mean posterior of such a token, so that sums over cells are those over documents.
-    The gradient of a rate, by its tokens, holds nothing else. The gradient is scaled by the inverse Gram matrix of the rates that are free to
-    follow it, and halved until it helps; then rates below the least one are projected.
-    A step is a few passes of sums over the cells, whose number is bounded by PARTS and
-    the domains, whatever the input. Returns the steps, which give each rate.
-    """
-    count = len(targets)
-    aim = np.array(targets)
-    scale = np.maximum(aim, 1e-9 * max(aim.sum(), 1.0))
-    share = [F.get("posterior", F.lit(n)) for n in range(count)]
+    potential: float
+    settled: float
+    expected: np.ndarray
+    gram: np.ndarray
+    lowest: float
 
-    def sums(terms: list[Column]) -> np.ndarray:
-        row = cells.agg(*[F.sum(F.col("tokens") * term).alias(f"s{n}") for n, term in enumerate(terms)]).first()
-        return np.array([float(x or 0.0) for x in row])
 
-    def expected(path: list[list[float]]) -> np.ndarray:
-        rate = _rate(path, least)
-        return sums([rate * s for s in share])
+def _looks(cells: DataFrame, least: float, path: list[list[float]], moves: list[np.ndarray]) -> list[Sums]:
+    """Sums over the cells for each of a few moves after the steps in `path`, in one pass.
 
+    A cell's rate goes from r to u = r - (posterior . move), or to the least one. `potential` is the sum of
+    tokens times an integral of that rate by u, `settled` what it is once the rate is u, `expected` the tokens of each domain, `gram` the products of
+    posteriors where u is above the least, and `lowest` the least inner product with the move.
+    """
+    count = len(moves[0])
+    share = [F.get("posterior", F.lit(n)) for n in range(count)]
+    tries = F.array(*[F.array(*[F.lit(float(x)) for x in move]) for move in moves])
+    along = sum([share[n] * F.get("move", F.lit(n)) for n in range(count)], F.lit(0.0))
+    rows = cells.where("tokens > 0").withColumn("rate", _rate(path, least)).select("*", F.posexplode(tries).alias("n", "move"))
+    moved = rows.withColumn("along", along).withColumn("u", F.col("rate") - F.col("along"))
+    bound, tokens, free = F.lit(float(least)), F.col("tokens"), F.col("u") > least
+    area = F.when(free, F.col("u") * F.col("u") / 2).otherwise(bound * F.col("u") - bound * bound / 2)
+    pairs = [(a, b) for a in range(count) for b in range(a, count)]
+    found = moved.groupBy("n").agg(
+        F.sum(tokens * area).alias("potential"),
+        F.sum(tokens * F.greatest("u", bound) * F.greatest("u", bound) / 2).alias("settled"), F.min("along").alias("lowest"),
+        *[F.sum(tokens * F.greatest("u", bound) * share[a]).alias(f"e{a}") for a in range(count)],
+        *[F.sum(F.when(free, tokens * share[a] * share[b]).otherwise(0.0)).alias(f"g{a}_{b}") for a, b in pairs],
+    )
+    sums = [Sums(0.0, 0.0, np.zeros(count), np.zeros((count, count)), 0.0) for _ in moves]
+    for row in found.collect():
+        gram = np.zeros((count, count))
+        for a, b in pairs:
+            gram[a, b] = gram[b, a] = row[f"g{a}_{b}"]
+        sums[row.n] = Sums(row.potential, row.settled, np.array([row[f"e{a}"] for a in range(count)]), gram, row.lowest)
+    return sums
+
+
+def projected_steps(
+    look: Callable[[list[list[float]], list[np.ndarray]], list[Sums]], targets: list[float], least: float
+) -> list[list[float]]:
+    """Steps of implicit projected gradient to the least squares of the gaps, each by its target.
+
+    A step takes the gradient where it ends, so that a long one stays stable: its move solves
+    move = length * gap(after the move) / target, one equation per domain, by Newton's method
+    with halvings on the potential. Steps grow tenfold while they help and shrink otherwise. They end when every
+    target is met to TOLERANCE, or when the dual problem proves that the squares are within CERTIFIED of
+    the least there are: adding one number to all multipliers adds it to every cell's slope, as
+    posteriors sum to one, so that any gap gives a bound.
+    """
+    aim = np.array(targets)
+    scale = np.maximum(aim, 1e-9 * max(aim.sum(), 1.0))
+    nowhere = np.zeros(len(aim))
     path: list[list[float]] = []
-    gap = expected(path) - aim
+    here = look(path, [nowhere])[0]
+    have = here.expected / max(1.0, least)
+    if not have.any():
+        return path
+    length = FIRST_LENGTH / (have / scale).sum()
     for _ in range(STEPS):
-        if np.abs(gap / scale).max() < TOLERANCE:
+        gap = here.expected - aim
+        slope, squares = gap / scale, (gap**2 / scale).sum()
+        if np.abs(slope).max() < TOLERANCE:
             break
-        slope = sum([share[n] * F.lit(float(gap[n] / scale[n])) for n in range(count)], F.lit(0.0))
-        free = ((_rate(path, least) > least) | (slope < 0)).cast("double")
-        pairs = [(a, b) for a in range(count) for b in range(a, count)]
-        gram = np.zeros((count, count))
-        for (a, b), value in zip(pairs, sums([free * share[a] * share[b] for a, b in pairs])):
-            gram[a, b] = gram[b, a] = value
-        move = np.linalg.pinv(gram, rcond=1e-8, hermitian=True) @ gap
-        for _ in range(6):
-            after = expected([*path, move.tolist()]) - aim
-            if (after**2 / scale).sum() < (gap**2 / scale).sum() * (1 - 1e-6):
+        multiplier = slope - min(0.0, look(path, [slope])[0].lowest)
+        bound = least * (have @ multiplier) - multiplier @ aim - (multiplier**2 * scale).sum() / 2
+        if squares / 2 - bound <= CERTIFIED * squares / 2:
+            break
+        move, after = nowhere, here
+
+        def left(at: np.ndarray, sums: Sums) -> np.ndarray:
+            return at * scale / length + aim - sums.expected
+
+        def height(at: np.ndarray, sums: Sums) -> float:
+            return (at**2 * scale).sum() / 2 / length + aim @ at + sums.potential
+
+        def error(at: np.ndarray, sums: Sums) -> float:
+            return np.abs(left(at, sums) / np.sqrt(scale)).max()
+
+        for _ in range(NEWTON_STEPS):
+            if error(move, after) <= 1e-3 * np.abs((after.expected - aim) / np.sqrt(scale)).max():
                 break
-            move = move / 2
+            way = np.linalg.lstsq(after.gram + np.diag(scale / length), left(move, after), rcond=None)[0]
+            tries = [move - way / 2.0**n for n in range(HALVINGS)]
+            seen = look(path, tries)
+            heights = [height(at, sums) for at, sums in zip(tries, seen)]
+            best, now = int(np.argmin(heights)), height(move, after)
+            if heights[best] >= now - 1e-11 * abs(now):  # equal but for rounding
+                errors = [error(at, sums) for at, sums in zip(tries, seen)]
+                best = int(np.argmin(errors))
+                if errors[best] >= error(move, after):
+                    break
+            move, after = tries[best], seen[best]
+        if ((after.expected - aim) ** 2 / scale).sum() < squares:
+            path, length = [*path, move.tolist()], length * 10
+            here = replace(after, potential=after.settled)
         else:
-            break  # what is left can't be reached with rates of at least the least one
-        path.append(move.tolist())
-        gap = after
+            length /= 30
     return path
 
 
+def fit_rates(cells: DataFrame, targets: list[float], least: float = 0.0) -> list[list[float]]:
+    """Projected gradient for the least squares over domains of expected less target tokens.
+
+    `cells` has (posterior, tokens): the tokens of all documents that share a rate, and the
+    unrounded mean posterior of such a token, so that sums over cells are those over documents.
+    The gradient of a rate, by its tokens, holds nothing else. Each pass sums over the cells where
+    they lie; only sums per domain reach the driver. Targets that rates of at least the least one
+    can't meet are missed by the least squares. Returns the steps, which give each rate.
+    """
+    return projected_steps(partial(_looks, cells, least), targets, least)
+
+
 def covering_total(have: list[float], weights: list[float]) -> float:
     """The smallest total at which no domain's target is below what it has."""
     return max([h / w for h, w in zip(have, weights) if w > 0], default=0.0)
@@ -212,14 +287,30 @@ def mix(
     aim = [weights[d] / sum(weights.values()) for d in domains]
     rows = kept(posteriors(docs, labelled, domains), "mixing")
     stored = kept(cells_of(rows, len(domains)), "mixing-cells")
-    cells = stored.repartition(1)
+    cells = stored.persist()
     share = [F.get("posterior", F.lit(n)) for n in range(len(domains))]
     have = [float(x or 0) for x in cells.agg(*[F.sum(F.col("tokens") * s) for s in share]).first()]
     if total is None:
         total = covering_total(have, aim) if cover else sum(have)
     path = fit_rates(cells, [a * total for a in aim], least) if total else []
+    cells.unpersist()
     rates = stored.select(F.col("parts").alias("__parts"), _rate(path, least).alias("rate"))
     plain = rows.drop("rate")
     rated = plain.join(broadcast_if_small(rates), plain["parts"] == F.col("__parts")).drop("__parts")
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+
+
+def repeated(
+    docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], total: float | None = None,
+    least: float = 0.0, cover: bool = False, seed: int = 1,
+) -> DataFrame:
+    """The rows of `docs`, each as often as its copies by `mix`, with the columns of `docs` as they are.
+
+    Columns of any name keep their values, also those that `mix` would replace.
+    """
+    own = ("doc_id", "text")
+    plain = docs.toDF(*[c if c in own else f"__own{n}" for n, c in enumerate(docs.columns)])
+    mixed = mix(plain, labelled, weights, total, least, cover, seed).where("copies > 0")
+    rows = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select(*[F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns)])

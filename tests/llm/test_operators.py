@@ -341,6 +341,100 @@ def test_mixing_reaches_its_targets(spark):
         mixing.mix(docs, labelled, {})
 
 
+def mixing_instance(seed):
+    rng = np.random.default_rng(seed)
+    domains = int(rng.integers(2, 6))
+    shares = rng.dirichlet(np.full(domains, rng.choice([0.3, 1.0, 3.0, 10.0])), 200)
+    tokens = rng.integers(1, 500, 200).astype(float)
+    weights = rng.dirichlet(np.ones(domains)) * 0.75 + 0.05
+    if seed % 10 == 0:
+        weights[0] = 0.0
+    return shares, tokens, weights / weights.sum() * tokens.sum(), float(rng.choice([0.0, 0.5, 1.0]))
+
+
+def rates_after(path, shares, least):
+    rate = np.full(len(shares), max(1.0, least))
+    for move in path:
+        rate = np.maximum(least, rate - shares @ np.array(move))
+    return rate
+
+
+def plain_looks(shares, tokens, least):
+    def look(path, moves):
+        found = []
+        for move in moves:
+            along = shares @ np.array(move)
+            u = rates_after(path, shares, least) - along
+            rate, free = np.maximum(u, least), u > least
+            area = np.where(free, u**2 / 2, least * u - least**2 / 2)
+            gram = (shares * (tokens * free)[:, None]).T @ shares
+            found.append(mixing.Sums(tokens @ area, tokens @ rate**2 / 2, (tokens * rate) @ shares, gram, along.min()))
+        return found
+
+    return look
+
+
+def misses(shares, tokens, aim, rate):
+    """Squares of the gaps by target."""
+    return ((((tokens * rate) @ shares - aim) ** 2) / np.maximum(aim, 1e-9 * aim.sum())).sum()
+
+
+def least_squares(shares, tokens, aim, least, rounds=6_000):
+    """Brute force: accelerated projected gradient with restarts, over each row's rate."""
+    a = (shares * np.sqrt(tokens)[:, None]).T / np.sqrt(aim)[:, None]
+    b, low = aim / np.sqrt(aim), least * np.sqrt(tokens)
+    curve = np.linalg.eigvalsh(a @ a.T).max()
+    x = y = np.maximum(low, np.sqrt(tokens))
+    t = 1.0
+    for _ in range(rounds):
+        z = np.maximum(low, y - a.T @ (a @ y - b) / curve)
+        if (z - x) @ (y - z) > 0:
+            t, y = 1.0, z
+        else:
+            t, last = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+            y = z + (last - 1) / t * (z - x)
+        x = z
+    return ((a @ x - b) ** 2).sum()
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_rates_are_the_least_squares(seed):
+    shares, tokens, aim, least = mixing_instance(seed)
+    path = mixing.projected_steps(plain_looks(shares, tokens, least), aim.tolist(), least)
+    rate = rates_after(path, shares, least)
+    if aim.all():
+        assert misses(shares, tokens, aim, rate) <= 1.01 * least_squares(shares, tokens, aim, least) + 1e-7 * aim.sum()
+    else:  # too steep for brute force; multipliers that no row can use to fall bound the least squares from below
+        scale = np.maximum(aim, 1e-9 * aim.sum())
+        slope = ((tokens * rate) @ shares - aim) / scale
+        slope = slope + max(0.0, -(shares @ slope).min())
+        bound = 2 * least * tokens @ (shares @ slope) - 2 * slope @ aim - slope**2 @ scale
+        assert rate.min() >= least and misses(shares, tokens, aim, rate) <= 1.01 * bound + 1e-7 * aim.sum()
+
+
+def test_looks_of_cells_are_those_of_arrays(spark):
+    shares, tokens, aim, least = mixing_instance(25)
+    cells = spark.createDataFrame([(int(t), p.tolist()) for t, p in zip(tokens, shares)] + [(0, [1.0] + [0.0] * (len(aim) - 1))], "tokens long, posterior array<double>")
+    rng = np.random.default_rng(1)
+    path, moves = [rng.normal(size=len(aim)).tolist()], [rng.normal(size=len(aim)) for _ in range(3)]
+    for got, want in zip(mixing._looks(cells, least, path, moves), plain_looks(shares, tokens, least)(path, moves)):
+        assert (got.potential, got.settled, got.lowest) == pytest.approx((want.potential, want.settled, want.lowest))
+        assert got.expected == pytest.approx(want.expected) and got.gram == pytest.approx(want.gram)
+    rate = rates_after(mixing.fit_rates(cells, aim.tolist(), least), shares, least)
+    assert misses(shares, tokens, aim, rate) <= 1.01 * least_squares(shares, tokens, aim, least)
+    assert mixing._looks(cells.limit(0), least, [], moves)[0].expected.tolist() == [0.0] * len(aim)
+
+
+def test_repeated_rows_keep_columns_of_any_name(spark):
+    rows = [(1, "ein Hund", "de", 7, "r"), (2, "a dog", "en", None, "s"), (None, None, None, 9, None), (2, "a dog", "en", 8, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Tokens long, rate string")
+    docs = docs.withColumns({name: F.lit(name) for name in ("copies", "parts", "posterior", "__copy", "__words")})
+    labelled = docs.select("text", F.col("lang").alias("domain"))
+    got = mixing.repeated(docs, labelled, {"de": 1, "en": 1}, least=1.0, cover=True)
+    assert got.columns == docs.columns and set(got.distinct().collect()) == set(docs.collect())
+    assert mixing.repeated(docs.limit(0), labelled, {"de": 1, "en": 1}).count() == 0
+
+
 def test_small_shares_count_in_expected_tokens(spark, monkeypatch):
     rng = random.Random(12)
     rows = []
