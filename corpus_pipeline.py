@@ -34,9 +34,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, in as many copies as its rate, at least one, asks for."""
     labelled = labelled_languages(docs, read(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labelled, WEIGHTS, least=1.0, cover=True)
-    repeated = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select(*[f"`{c}`" for c in docs.columns])
+    return mixing.repeated(docs, labelled, WEIGHTS, least=1.0, cover=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
