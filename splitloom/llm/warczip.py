@@ -2,11 +2,14 @@
 
 An archive holds `archive/data.warc.gz`, a chain of records each compressed alone, and
 `indexes/index.cdxj`, a line per record with its range in that member. Both members are
-stored, so that a record is read by one range request, without extraction.
+stored, so that a record is read by one range request, without extraction. Archives of
+other writers may have any number of `archive/*.warc` and `archive/*.warc.gz`, and indexes
+of lines that end in JSON, in `indexes/*.cdxj`, `*.cdx` or either compressed.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import struct
@@ -34,7 +37,10 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES, WINDOW_BYTES = 256 << 20, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PAGE = "urn:page:"
+PAGE, NO_PAGE = "urn:page:", "urn:nopage"
+#: Record bytes for one reading task, once there are more than the shuffle's partitions.
+TASK_BYTES = 128 << 20
+DATA_NAMES, INDEX_NAMES = (".warc", ".warc.gz"), (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
 
 RECORDS = "page_id {id}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {id}, payload binary"
 
@@ -102,19 +108,60 @@ def members(read: Callable[[int, int], bytes], size: int) -> list[Member]:
     return found
 
 
-def stored_range(read: Callable[[int, int], bytes], member: Member) -> tuple[int, int]:
-    """Where the bytes of a stored member lie."""
-    if member.method != 0:
-        raise ValueError(f"{member.name} is compressed, so it has no ranges")
+def _data_start(read: Callable[[int, int], bytes], member: Member) -> int:
     head = read(member.header, 30)
     if head[:4] != b"PK\x03\x04":
         raise ValueError("broken local header")
     name, extra = struct.unpack_from("<HH", head, 26)
-    return member.header + 30 + name + extra, member.packed
+    return member.header + 30 + name + extra
+
+
+def stored_range(read: Callable[[int, int], bytes], member: Member) -> tuple[int, int]:
+    """Where the bytes of a stored member lie."""
+    if member.method != 0:
+        raise ValueError(f"{member.name} is compressed, so it has no ranges")
+    return _data_start(read, member), member.packed
+
+
+def _inflated(chunks: Iterator[bytes], window_bits: int) -> Iterator[bytes]:
+    """Plain bytes of a chain of compressed streams."""
+    unpacker = zlib.decompressobj(window_bits)
+    for chunk in chunks:
+        while chunk:
+            yield unpacker.decompress(chunk)
+            chunk = unpacker.unused_data
+            if unpacker.eof:
+                unpacker = zlib.decompressobj(window_bits)
+
+
+def index_lines(read: Callable[[int, int], bytes], member: Member) -> Iterator[list[bytes]]:
+    """The lines of an index, some at a time; it may be compressed by the archive, by gzip, or by both."""
+    start, packed = _data_start(read, member), member.method == 8 or member.name.endswith(".gz")
+    if member.method not in (0, 8):
+        raise ValueError(f"{member.name} is compressed by an unknown method")
+    step = 1 << 16 if packed else WINDOW_BYTES
+    chunks = (read(start + at, min(step, member.packed - at)) for at in range(0, member.packed, step))
+    if member.method == 8:
+        chunks = _inflated(chunks, -15)
+    if member.name.endswith(".gz"):
+        chunks = _inflated(chunks, 31)
+    rest = b""
+    for chunk in chunks:
+        *lines, rest = (rest + chunk).split(b"\n")
+        yield lines
+    yield [rest]
+
+
+def index_entry(line: bytes) -> dict[str, object]:
+    """The JSON at the end of an index line, after its key and time if it has them."""
+    at = line.find(b"{")
+    if at < 0:
+        raise ValueError(f"index line without JSON: {line[:80]!r}")
+    return json.loads(line[at:])
 
 
 def _named(value: object) -> str:
-    return PAGE if value is None else PAGE + quote(str(value), safe="")
+    return NO_PAGE if value is None else PAGE + quote(str(value), safe="")
 
 
 def record(
@@ -136,39 +183,77 @@ def record(
 
 
 def _fields(lines: bytes) -> dict[str, str]:
-    pairs = (line.split(":", 1) for line in lines.decode().split("\r\n")[1:] if ":" in line)
+    pairs = (line.split(":", 1) for line in lines.decode(errors="replace").split("\r\n")[1:] if ":" in line)
     return {name.strip().lower(): value.strip() for name, value in pairs}
 
 
 def _page(name: str) -> str | None:
-    text = unquote(name.strip("<>").removeprefix(PAGE))
-    return text or None
+    """The page of a record's name; records of other writers have their name itself."""
+    plain = name.strip("<>")
+    if plain.startswith(PAGE):
+        return unquote(plain.removeprefix(PAGE))
+    return None if plain == NO_PAGE else plain
+
+
+def _joined(chunked: bytes) -> bytes:
+    """The payload of a chunked transfer."""
+    parts, at = [], 0
+    while True:
+        end = chunked.index(b"\r\n", at)
+        size = int(chunked[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(parts)
+        parts.append(chunked[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _holds(claim: str, payload: bytes) -> bool:
+    """Whether a digest as `algorithm:value`, in hex or base 32, is the payload's; unknown algorithms hold."""
+    algorithm, _, value = claim.partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    got = hashlib.new(algorithm, payload)
+    return value.lower() == got.hexdigest() or value.upper().rstrip("=") == base64.b32encode(got.digest()).decode().rstrip("=")
 
 
 def parse_record(raw: bytes) -> dict[str, object]:
-    """The parts of a compressed record; a length or digest that does not hold is an error."""
-    plain = zlib.decompress(raw, 31)
+    """The parts of a record, compressed or not; a length or digest that does not hold is an error.
+
+    The payload of an HTTP response is what follows its header, put together if it came in
+    chunks; that of other records is their block. A revisit has none: its digest is the one it
+    claims, bare if that is SHA-256, and its size the one of its HTTP header, NULL without one.
+    """
+    plain = zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
     head, _, rest = plain.partition(b"\r\n\r\n")
     fields = _fields(head)
     length = int(fields["content-length"])
     block = rest[:length]
     if not head.startswith(b"WARC/1.") or len(block) < length:
         raise ValueError("broken WARC record")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size, digest = int(_fields(http)["content-length"]), fields["warc-payload-digest"].removeprefix("sha256:")
-    if fields["warc-type"] == "response":
-        got = hashlib.sha256(payload).hexdigest()
-        if (got, len(payload)) != (digest, size):
+    kind, claim = fields["warc-type"], fields.get("warc-payload-digest")
+    http, payload = {}, block
+    if fields.get("content-type", "").startswith("application/http"):
+        top, _, payload = block.partition(b"\r\n\r\n")
+        http = _fields(top)
+    if kind == "revisit":
+        size = int(http["content-length"]) if "content-length" in http else None
+        digest = claim and claim.removeprefix("sha256:")
+    else:
+        if http.get("transfer-encoding", "").lower() == "chunked" and not (claim and _holds(claim, payload)):
+            payload = _joined(payload)
+        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+        if claim and claim != f"sha256:{digest}" and not _holds(claim, payload):
             raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
     refers = fields.get("warc-refers-to")
     return {
         "page_id": _page(fields["warc-record-id"]),
-        "url": fields["warc-target-uri"],
+        "url": fields.get("warc-target-uri"),
         "payload_bytes": size,
         "payload_digest": digest,
-        "record_type": fields["warc-type"],
+        "record_type": kind,
         "refers_to": _page(refers) if refers else None,
-        "payload": payload if fields["warc-type"] == "response" else None,
+        "payload": None if kind == "revisit" else payload,
     }
 
 
@@ -243,41 +328,74 @@ def _reader(path: str) -> tuple[Callable[[int, int], bytes], int, Callable[[], N
 
 
 def locate_records(archives: DataFrame) -> DataFrame:
-    """(archive, start, length) of every record, from the directories and indexes alone."""
+    """(archive, start, length) of every record, from the directories and indexes alone.
+
+    An index line without a file name stands for the archive's only data member. Data
+    without an index, members that a line names but the archive lacks, and lines without
+    JSON are errors.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["archive"]:
-                read, size, close = _reader(path)
-                found = {member.name: member for member in members(read, size)}
-                start, _ = stored_range(read, found[DATA])
-                at, left = stored_range(read, found[INDEX])
-                rest = b""
-                while left:
-                    chunk = read(at, min(left, WINDOW_BYTES))
-                    at, left = at + len(chunk), left - len(chunk)
-                    *lines, rest = (rest + chunk).split(b"\n")
-                    entries = [json.loads(line) for line in lines]
+        for path in (path for batch in batches for path in batch["archive"]):
+            read, size, close = _reader(path)
+            found = members(read, size)
+            data = {
+                member.name.rpartition("/")[2]: stored_range(read, member)[0]
+                for member in found
+                if member.name.startswith("archive/") and member.name.endswith(DATA_NAMES)
+            }
+            indexes = [m for m in found if m.name.startswith("indexes/") and m.name.endswith(INDEX_NAMES)]
+            if data and not indexes:
+                raise ValueError(f"{path} has records but no index")
+            alone = next(iter(data)) if len(data) == 1 else ""
+            for member in indexes:
+                for lines in index_lines(read, member):
+                    entries = [index_entry(line) for line in lines if line.strip()]
+                    if not entries:
+                        continue
+                    names = [str(entry.get("filename", alone)).rpartition("/")[2] for entry in entries]
+                    if missing := set(names) - set(data):
+                        raise ValueError(f"{path} has no stored member {sorted(missing)[0]!r}")
                     yield pd.DataFrame(
                         {
                             "archive": [path] * len(entries),
-                            "start": [start + entry["offset"] for entry in entries],
-                            "length": [entry["length"] for entry in entries],
+                            "start": [data[name] + int(entry["offset"]) for name, entry in zip(names, entries)],
+                            "length": [int(entry["length"]) for entry in entries],
                         }
                     )
-                close()
+            close()
 
     return archives.select("archive").mapInPandas(run, "archive string, start long, length long")
 
 
+def _reading_tasks(archives: DataFrame) -> int:
+    """A task per window up to the shuffle's partitions, and one for every TASK_BYTES beyond."""
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["archive"]:
+                _, size, close = _reader(path)
+                close()
+                found.append(size)
+            yield pd.DataFrame({"bytes": found})
+
+    sized = archives if "bytes" in archives.columns else archives.select("archive").mapInPandas(sizes, "bytes long")
+    row = sized.agg(F.sum("bytes").alias("bytes"), F.sum(F.expr(f"bytes div {WINDOW_BYTES} + 1")).alias("windows")).first()
+    most = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(row.windows or 1, most), (row.bytes or 0) // TASK_BYTES)
+
+
 def read_records(archives: DataFrame, id_type: str = "long", with_payload: bool = True) -> DataFrame:
-    """Every record of the archives: ids, sizes, digests, type, and a response's payload.
+    """Every record of the archives: ids, sizes, digests, type, and a payload.
 
-    Windows of neighbouring records are read at once; they are dealt over the tasks,
-    so that one large archive is read by many.
+    `archives` has the paths as `archive`, and sizes as `bytes` if they are known. Records of
+    other writers have names in place of ids, so their `id_type` is string. Windows of
+    neighbouring records are read at once; they are dealt over a number of tasks that follows
+    from the bytes of the archives, so that one large archive is read by many.
     """
     ranges = locate_records(archives).withColumn("window", F.expr(f"start div {WINDOW_BYTES}"))
-    dealt = ranges.repartition("archive", "window").sortWithinPartitions("archive", "start")
+    dealt = ranges.repartition(_reading_tasks(archives), "archive", "window").sortWithinPartitions("archive", "start")
     schema = RECORDS.format(id="string") if with_payload else RECORDS.format(id="string").removesuffix(", payload binary")
     names = [part.split()[0] for part in schema.split(", ")]
 

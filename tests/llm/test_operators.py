@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
+import json
 import math
 import random
 import zipfile
@@ -288,6 +291,66 @@ def test_warc_round_trip(spark):
     assert warczip.round_trip(pages.limit(0)).count() == 0
 
 
+def foreign_record(kind, name, block, *fields):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"Content-Length: {len(block)}", *fields]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Several members of other names, compressed and not; index lines with key and time, compressed by gzip or the archive."""
+    web = "Content-Type: application/http; msgtype=response"
+    body = "grün".encode()
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunks = b"2\r\n" + body[:2] + b"\r\n3;x=y\r\n" + body[2:] + b"\r\n0\r\n\r\n"
+    records = [
+        ("one.warc.gz", foreign_record("warcinfo", "urn:uuid:0", b"software: x", "Content-Type: application/warc-fields")),
+        ("one.warc.gz", foreign_record("response", "urn:uuid:1", b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + body, web, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha1}")),
+        ("two.warc", foreign_record("response", "urn:uuid:2", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks, web, f"WARC-Payload-Digest: sha1:{sha1}")),
+        ("two.warc", foreign_record("revisit", "urn:uuid:3", b"", f"WARC-Payload-Digest: sha1:{sha1}", "WARC-Refers-To: <urn:uuid:1>")),
+        ("two.warc", foreign_record("resource", "urn:uuid:4", b"", "Content-Type: text/plain")),
+    ]
+    data, lines = {"one.warc.gz": b"", "two.warc": b""}, []
+    for number, (member, plain) in enumerate(records):
+        raw = gzip.compress(plain) if member.endswith("gz") else plain
+        where = {"offset": str(len(data[member])), "length": len(raw), "filename": member}
+        lines.append(f"com,a)/{number} 20240101000000 {json.dumps(where)}")
+        data[member] += raw
+    path = tmp_path / "foreign.wacz"
+    with zipfile.ZipFile(path, "w") as archive:
+        for member, raw in data.items():
+            archive.writestr(f"archive/{member}", raw)
+        archive.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(lines[:2]).encode()) + gzip.compress(b"\n" + lines[2].encode()))
+        archive.writestr("indexes/more.cdxj", "\n".join(lines[3:]) + "\n", zipfile.ZIP_DEFLATED)
+        archive.writestr("datapackage.json", "{}")
+    archives = spark.createDataFrame([(path.as_uri(),)], "archive string")
+    got = {r.page_id: r for r in warczip.read_records(archives, "string").collect()}
+    assert sorted(got) == [f"urn:uuid:{n}" for n in range(5)]
+    for name, kind, payload in (("0", "warcinfo", b"software: x"), ("1", "response", body), ("2", "response", body), ("4", "resource", b"")):
+        row = got[f"urn:uuid:{name}"]
+        assert (row.record_type, bytes(row.payload), row.payload_bytes) == (kind, payload, len(payload))
+        assert row.payload_digest == hashlib.sha256(payload).hexdigest()
+    again = got["urn:uuid:3"]
+    assert (again.record_type, again.refers_to, again.payload_bytes, again.payload) == ("revisit", "urn:uuid:1", None, None)
+    assert got["urn:uuid:1"].url == "http://a/" and got["urn:uuid:2"].url is None
+    wrong = foreign_record("response", "urn:uuid:9", b"HTTP/1.1 200 OK\r\n\r\nother", web, f"WARC-Payload-Digest: sha1:{sha1}")
+    with pytest.raises(ValueError):
+        warczip.parse_record(wrong)
+    with pytest.raises(ValueError):
+        warczip.index_entry(b" CDX N b a m s k r M S V g")
+
+
+def test_empty_and_missing_ids_differ_and_reading_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(warczip, "WINDOW_BYTES", 2_000)
+    rng = random.Random(4)
+    rows = [("", "u", "a"), (None, "u", "b"), ("x y/é", "u", None)] + [(str(n), "u", rng.randbytes(300).hex()) for n in range(60)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    archives = warczip.write_archives(pages)
+    found = warczip.read_records(archives, "string")
+    assert {(r.page_id, bytes(r.payload).decode()) for r in found.collect()} == {(i, h or "") for i, _, h in rows}
+    assert archives.count() == 1 and found.select(F.spark_partition_id()).distinct().count() > 2
+    assert warczip.read_records(archives.drop("bytes"), "string").count() == len(rows)
+
+
 def test_zip64_directory(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 40)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
