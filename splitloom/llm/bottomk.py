@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +75,36 @@ def merge_sketches(parts: DataFrame, key: str, column: str = "sketch", k: int =
 
 
 def digest(a: Column) -> Column:
-    """A sketch as text: the upper half of each hash, in base 64."""
-    halves = F.transform(a, lambda x: F.lpad(F.hex(F.shiftrightunsigned(x, 32)), 8, "0"))
-    return F.translate(F.base64(F.unhex(F.array_join(halves, ""))), "\r\n", "")
+    """A sketch as text: its hashes of eight bytes each, in base 64."""
+    whole = F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0"))
+    return F.translate(F.base64(F.unhex(F.array_join(whole, ""))), "\r\n", "")
+
+
+def ranged(texts: DataFrame, buckets: int) -> DataFrame:
+    """Add `order`, a hash of the text, and `bucket`, which ascends by descending doc_id and then by `order`.
+
+    An id that has the rows of several buckets, or NULL ids that do, get as many buckets, by ranges of the hash.
+    """
+    doc_id = F.col("doc_id")
+    shares = [n / buckets for n in range(1, buckets)]
+    seen = texts.agg(
+        F.percentile_approx("doc_id", shares, 10_000).alias("bounds"), F.count("*").alias("rows"),
+        F.count_if(doc_id.isNull()).alias("missing"),
+    ).first()
+    repeats = Counter(seen.bounds or [])
+    bounds = sorted(repeats)
+    base = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: doc_id < b)) if bounds else F.lit(0)
+    parts = F.lit(0)
+    for bound, times in repeats.items():
+        if times > 1:
+            parts = F.when(doc_id == bound, F.lit(times)).otherwise(parts)
+    missing = max(1, buckets * seen.missing // max(seen.rows, 1))
+    parts = F.when(doc_id.isNull(), F.lit(missing)).otherwise(parts)
+    place = F.least(F.floor((F.col("order").cast("double") / 2.0**64 + 0.5) * parts), parts - 1)
+    # Greater ids of the range of a frequent id come before all of its parts.
+    part = F.when(parts > 0, place + 1).otherwise(F.lit(0))
+    low = F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(base)
+    return texts.withColumn("order", F.xxhash64("text")).withColumn("bucket", (low * (buckets + 2) + part).cast("long"))
 
 
 def with_next(texts: DataFrame, buckets: int, add) -> DataFrame:
@@ -83,18 +112,12 @@ def with_next(texts: DataFrame, buckets: int, add) -> DataFrame:
 
     Rows go to ranges of ids; the first row of each range also goes to the range
     before, so that no range needs another. `add` gives the columns that rows need
-    of each other, computed after the shuffle. Rows of one id are ordered by a hash of
-    their text; NULL ids come last.
+    of each other, computed after the shuffle. Ids are numbers. Rows of one id are ordered by a hash of
+    their text; NULL ids come last. Rows of a frequent id are dealt over ranges of that hash; only rows of
+    equal id and text stay together.
     """
     doc_id = F.col("doc_id")
-    shares = [n / buckets for n in range(1, buckets)]
-    bounds = texts.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first().b or []
-    bounds = sorted(set(bounds))
-    reached = [F.lit(b) for b in bounds] or [F.lit(0)]
-    bucket = F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.size(F.filter(F.array(*reached), lambda b: doc_id < b)) if bounds else F.lit(0)
-    )
-    keyed = texts.withColumns({"bucket": bucket, "order": F.xxhash64("text"), "guard": F.lit(False)})
+    keyed = ranged(texts, buckets).withColumn("guard", F.lit(False))
     order = F.struct(F.coalesce(-doc_id, F.lit(0)).alias("id"), "order")
     firsts = keyed.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "text", "order"), order).alias("row"))
     filled = sorted(row.bucket for row in keyed.select("bucket").distinct().collect())

@@ -239,6 +239,37 @@ def test_sketches(spark):
         assert row.c == pytest.approx(len(a & b) / len(a) if a else 1.0)
 
 
+def test_digest_holds_the_whole_sketch(spark):
+    """The likeness of two documents follows from their fingerprints alone."""
+    docs = frame(spark, list(enumerate(some_texts(6))))
+    rows = bottomk.fingerprint_documents(docs, buckets=3).select(
+        "sketch", "edited_sketch", bottomk.digest(F.col("sketch")).alias("a"), bottomk.digest(F.col("edited_sketch")).alias("b"),
+        bottomk.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near"),
+    )
+    for row in rows.collect():
+        a, b = [np.frombuffer(base64.b64decode(text), ">i8").tolist() for text in (row.a, row.b)]
+        assert (a, b) == (row.sketch, row.edited_sketch)
+        low = sorted({*a, *b})[: bottomk.K if max(len(a), len(b)) >= bottomk.K else None]
+        assert row.near == pytest.approx(len({*low} & {*a} & {*b}) / len(low) if low else 1.0)
+
+
+@pytest.mark.parametrize("hot", [None, 300, 0, 599])
+def test_next_rows_with_a_third_on_one_id(spark, hot):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 9))) + str(n) for n in range(900)]
+    rows = [(n if n < 600 else hot, text) for n, text in enumerate(texts)]
+    docs = frame(spark, rows)
+    keyed = bottomk.ranged(docs, 12).collect()
+    sizes = {}
+    for row in keyed:
+        sizes[row.bucket] = sizes.get(row.bucket, 0) + 1
+    assert max(sizes.values()) < 160  # a twelfth is 75
+    ordered = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.order))
+    assert [r.bucket for r in ordered] == sorted(r.bucket for r in keyed)
+    got = {r.text: r.next.text for r in bottomk.with_next(docs, 12, {"length": F.length("text")}).collect()}
+    assert got == {a.text: b.text for a, b in zip(ordered, ordered[1:] + ordered[:1])}
+
+
 def test_sketches_of_many_shingles_and_merging(spark):
     rng = random.Random(8)
     words = [str(rng.random()) for _ in range(9_000)]
