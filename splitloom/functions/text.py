@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 # White space that both Java and RE2 count as such.
 BLANK = r"[ \t\n\r\f]"
+BLANKS = " \t\n\r\f"
+# Ends of lines that are no white space here, but before which Java's $ matches, too.
+LINE_ENDS = "\u0085\u2028\u2029"
 
 # The bytes 0x80-0x9F of windows-1252, from Python's own codec.
 _HIGH = [(bytes([b]).decode("cp1252", errors="ignore"), chr(b)) for b in range(0x80, 0xA0)]

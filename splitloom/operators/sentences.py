@@ -3,20 +3,24 @@
 After Kiss and Strunk (2006): an abbreviation is a short word that goes with its period
 more closely than chance has it, measured by likelihood ratios over counts per language;
 a frequent sentence starter is a capitalised word that follows sure sentence ends more
-often than chance has it. Both come from one pass of aggregation each, and are applied to
-a text by built-in functions.
+often than chance has it. Both come from one pass of aggregation each, in which tasks count
+what they read before anything is shuffled. They are applied to a text by built-in functions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from splitloom.functions.text import BLANK, let, strip_blanks
+from splitloom.functions.text import BLANK, BLANKS, LINE_ENDS, let, strip_blanks
 from splitloom.operators.joins import stored
 
 #: From the publication: the least scores of an abbreviation and of a sentence starter, and the
@@ -25,24 +29,77 @@ ABBREVIATION_SCORE, STARTER_SCORE, PERIOD_SHARE = 0.3, 30.0, 0.99
 #: Words of a model, which the driver holds and the plan names; more are an error.
 MOST_WORDS = 100_000
 
-OPENING, CLOSING = r"[\"'(\[«„“”‘’]", r"[\"')\]»“”‘’]"
+#: Distinct things that a task counts before it hands them on.
+MOST_COUNTED = 400_000
+
+OPENING, CLOSING = "\"'([«„“”‘’", "\"')]»“”‘’"
 SOLID = f"[^{BLANK[1:-1]}]"
 TOKEN = f"{SOLID}+{BLANK}*"
-#: A token with a period, and the one behind it.
-DOTTED = rf"(?<!{SOLID})({SOLID}*\.{SOLID}*){BLANK}+(?=({SOLID}+))"
+
+_PERIOD = ord(".")
+_BLANK_BYTES = BLANKS.encode()
+_BLANK_RUNS = re.compile(f"[{BLANKS}]+".encode())
+_LINE_ENDS = tuple(end.encode() for end in LINE_ENDS)
+
+
+def tokens_in(text: bytes) -> list[bytes]:
+    """What stands between the blanks of a UTF-8 text, stripped as `strip_blanks` has it."""
+    for end in _LINE_ENDS:
+        if text.endswith(end):
+            text = text.removesuffix(end).rstrip(_BLANK_BYTES) + end
+            break
+    if b"\v" in text:  # no blank here, but one for bytes.split
+        return [token for token in _BLANK_RUNS.split(text) if token]
+    return text.split()
 
 
-def tokens_of(text: Column) -> Column:
-    return F.split(strip_blanks(text), f"{BLANK}+")
+def dotted_pairs(text: bytes) -> list[bytes]:
+    """Each token with a period, and the one behind it, with a space between."""
+    tokens = tokens_in(text)
+    return [token + b" " + after for token, after in zip(tokens, tokens[1:]) if _PERIOD in token]
+
+
+def counted_in_tasks(
+    docs: DataFrame, language: str, text: str, name: str, find: Callable[[bytes], Iterable[bytes]]
+) -> DataFrame:
+    """(language, name, n): what is found in the texts, counted where they are read and then summed up."""
+    texts = docs.select(F.col(language).alias("language"), F.col(text).cast("binary").alias("text"))
+    key = texts.schema["language"].dataType
+    arrow_key = to_arrow_type(key)
+
+    def rows(counts: dict[object, Counter]) -> Iterator[pa.RecordBatch]:
+        for value, counter in counts.items():
+            columns = [pa.array([value] * len(counter), arrow_key), pa.array([*counter], pa.binary()), pa.array([*counter.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["language", name, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[object, Counter] = {}
+        held = 0
+        for batch in batches:
+            for value, content in zip(batch.column("language"), batch.column("text")):
+                content = content.as_py()
+                if not content:
+                    continue
+                counter = counts.setdefault(value.as_py(), Counter())
+                held -= len(counter)
+                counter.update(find(content))
+                held += len(counter)
+                if held >= MOST_COUNTED:
+                    yield from rows(counts)
+                    counts, held = {}, 0
+        yield from rows(counts)
+
+    parts = texts.mapInArrow(run, f"language {key.simpleString()}, {name} binary, n long")
+    return parts.groupBy("language", F.col(name).cast("string").alias(name)).agg(F.sum("n").alias("n"))
 
 
 def core_of(token: Column) -> Column:
     """A token without quotes and brackets around it."""
-    return F.regexp_replace(token, rf"^{OPENING}+|{CLOSING}+\z", "")
+    return F.rtrim(F.ltrim(token, F.lit(OPENING)), F.lit(CLOSING))
 
 
 def word_of(core: Column) -> Column:
-    return F.lower(F.regexp_replace(core, r"[.,;:!?…]+\z", ""))
+    return F.lower(F.rtrim(core, F.lit(".,;:!?…")))
 
 
 def has_period(core: Column) -> Column:
@@ -60,9 +117,8 @@ def _ln(value: Column) -> Column:
 
 def word_counts(docs: DataFrame, language: str = "language", text: str = "text") -> DataFrame:
     """(language, word, n_period, n_plain): how often each word has a period behind it, and how often not."""
-    tokens = docs.select(F.col(language).alias("language"), F.explode(tokens_of(F.col(text))).alias("token"))
     # Tokens are counted as they stand first, so that each is looked at once.
-    counted = tokens.groupBy("language", "token").agg(F.count("*").alias("n"))
+    counted = counted_in_tasks(docs, language, text, "token", tokens_in)
     core = core_of(F.col("token"))
     words = counted.select("language", word_of(core).alias("word"), has_period(core).alias("period"), "n")
     return words.where(is_word(F.col("word"))).groupBy("language", "word").agg(
@@ -98,12 +154,8 @@ def sentence_starters(
 
     A sentence ends for sure at a period behind a word of several letters that is no abbreviation.
     """
-    stripped = strip_blanks(F.col(text))
-    found = [F.regexp_extract_all(stripped, F.lit(DOTTED), F.lit(group)) for group in (1, 2)]
-    rows = docs.select(F.col(language).alias("language"), F.explode(F.arrays_zip(*found)).alias("pair"))
-    rows = rows.select("language", F.col("pair.0").alias("token"), F.col("pair.1").alias("after"))
-    rows = rows.groupBy("language", "token", "after").agg(F.count("*").alias("n"))
-    core, following = core_of(F.col("token")), core_of(F.col("after"))
+    rows = counted_in_tasks(docs, language, text, "pair", dotted_pairs)
+    core, following = (core_of(F.substring_index("pair", " ", n)) for n in (1, -1))
     word = word_of(core)
     sure = has_period(core) & (F.length(F.replace(word, F.lit("."))) > 1) & is_word(word)
     ends = rows.where(sure & ~known_word(known, F.col("language"), word))

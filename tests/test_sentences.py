@@ -85,6 +85,25 @@ def test_chunks_of_learnt_sentences(spark, trained):
     assert [row.text for row in found] == [" ".join(fresh[i : i + 10]) for i in range(0, 25, 10)]
 
 
+def test_tasks_count_before_the_shuffle(spark, monkeypatch):
+    """Each task hands on a token once, or a bounded table of them at a time, with the same sums."""
+    rows = [("de", "Ab a. b\va \x85"), (None, "a. a. b"), ("de", None), ("en", ""), ("de", "a. c \u2028")] * 50
+    docs = spark.createDataFrame(rows, "language string, text string").coalesce(2)
+    plan = sentences.counted_in_tasks(docs, "language", "text", "token", sentences.tokens_in)
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
+    want = {
+        ("de", "Ab"): 50, ("de", "a."): 100, ("de", "b\va\x85"): 50, ("de", "c\u2028"): 50, (None, "a."): 100, (None, "b"): 50,
+    }
+    assert {(r.language, r.token): r.n for r in plan.collect()} == want
+    monkeypatch.setattr(sentences, "MOST_COUNTED", 3)
+    again = sentences.counted_in_tasks(docs, "language", "text", "token", sentences.tokens_in)
+    assert {(r.language, r.token): r.n for r in again.collect()} == want
+    pairs = sentences.counted_in_tasks(docs, "language", "text", "pair", sentences.dotted_pairs)
+    assert {(r.language, r.pair): r.n for r in pairs.collect()} == {
+        ("de", "a. b\va\x85"): 50, ("de", "a. c\u2028"): 50, (None, "a. a."): 50, (None, "a. b"): 50,
+    }
+
+
 def test_too_many_words_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(sentences, "MOST_WORDS", 2)
     table = spark.createDataFrame([("de", w) for w in "abc"], "language string, word string")
