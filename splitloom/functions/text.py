@@ -48,6 +48,14 @@ def encode_cp1252(text: Column) -> Column:
     return F.encode(bytewise, "ISO-8859-1")
 
 
+def ends_with_any(text: Column, characters: str) -> Column:
+    """Is the last character one of these?"""
+    found = F.lit(False)
+    for character in characters:
+        found = found | text.endswith(character)
+    return found
+
+
 def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 

@@ -4,7 +4,8 @@ After Kiss and Strunk (2006): an abbreviation is a short word that goes with its
 more closely than chance has it, measured by likelihood ratios over counts per language;
 a frequent sentence starter is a capitalised word that follows sure sentence ends more
 often than chance has it. Both come from one pass of aggregation each, in which tasks count
-what they read before anything is shuffled. They are applied to a text by built-in functions.
+what they read before anything is shuffled. They are applied to a text by built-in functions,
+which look only at tokens that may end a sentence.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from splitloom.functions.text import BLANK, BLANKS, LINE_ENDS, let, strip_blanks
+from splitloom.functions.text import BLANK, BLANKS, LINE_ENDS, ends_with_any, let, strip_blanks
 from splitloom.operators.joins import stored
 
 #: From the publication: the least scores of an abbreviation and of a sentence starter, and the
@@ -33,8 +34,10 @@ MOST_WORDS = 100_000
 MOST_COUNTED = 400_000
 
 OPENING, CLOSING = "\"'([«„“”‘’", "\"')]»“”‘’"
+MARKS = ".!?…"
 SOLID = f"[^{BLANK[1:-1]}]"
-TOKEN = f"{SOLID}+{BLANK}*"
+#: A stretch up to a token with a mark, with that token and the blanks behind it; or the rest.
+SEGMENT = f"[^{MARKS}]*+[{MARKS}]{SOLID}*+{BLANK}*+|[^{MARKS}]++"
 
 _PERIOD = ord(".")
 _BLANK_BYTES = BLANKS.encode()
@@ -219,6 +222,28 @@ def train_sentences(docs: DataFrame, language: str = "language", text: str = "te
     return SentenceModel(known, words_by_language(sentence_starters(docs, counts, known, language, text)))
 
 
+def without_end(text: Column) -> Column:
+    """A text without the blanks behind it, which are spaces mostly."""
+    bare = F.rtrim(text)
+    return F.when(ends_with_any(bare, BLANKS), F.rtrim(text, F.lit(BLANKS))).otherwise(bare)
+
+
+def end_token(text: Column, n: int) -> Column:
+    """The first (1) or last (-1) token of a text without blanks there."""
+    for blank in BLANKS:
+        text = F.substring_index(text, blank, n)
+    return text
+
+
+def segments_of(text: Column) -> Column:
+    """A text cut behind each token with a mark, which alone may end a sentence; blanks stay behind the token."""
+
+    def bare(text: Column) -> Column:
+        return F.when(ends_with_any(text, BLANKS + LINE_ENDS), strip_blanks(text)).otherwise(F.ltrim(text, F.lit(BLANKS)))
+
+    return F.regexp_extract_all(let(text, bare), F.lit(SEGMENT), F.lit(0))
+
+
 def split_sentences(text: Column, language: Column, model: SentenceModel) -> Column:
     """The sentences of a text, as they stand in it, without the blanks between them.
 
@@ -226,20 +251,18 @@ def split_sentences(text: Column, language: Column, model: SentenceModel) -> Col
     ellipsis, unless a capitalised sentence starter follows, nor behind a number before a small
     letter. No text, no sentence.
     """
-    # Each token keeps the blanks behind it.
-    tokens = F.regexp_extract_all(strip_blanks(text), F.lit(TOKEN), F.lit(0))
 
-    def ends(token: Column, following: Column) -> Column:
-        marked = token.contains(".") | token.contains("!") | token.contains("?") | token.contains("…")
-        core, after = core_of(strip_blanks(token)), core_of(strip_blanks(following))
-        word = word_of(core)
+    def ends(segment: Column, following: Column) -> Column:
+        core = core_of(end_token(without_end(segment), -1))
+        return F.when(following.isNull(), True).otherwise(let(core, lambda core: decided(core, following)))
+
+    def decided(core: Column, following: Column) -> Column:
+        word, after = word_of(core), core_of(end_token(following, 1))
         starts = after.rlike(r"^\p{Lu}") & known_word(model.starters, language, word_of(after))
-        doubtful = core.rlike(r"(\.\.|…)\z") | word.rlike(r"^\p{L}\z") | known_word(model.abbreviations, language, word)
+        doubtful = core.endswith("..") | core.endswith("…") | word.rlike(r"^\p{L}\z") | known_word(model.abbreviations, language, word)
         return (
-            F.when(following.isNull(), True)
-            .when(~marked, False)
-            .when(core.rlike(r"[!?]\z"), True)
-            .when(~core.rlike(r"[.…]\z"), False)
+            F.when(core.endswith("!") | core.endswith("?"), True)
+            .when(~(core.endswith(".") | core.endswith("…")), False)
             .when(doubtful, starts)
             .otherwise(~(word.rlike(r"^[0-9]+\z") & after.rlike(r"^\p{Ll}")))
         )
@@ -247,14 +270,15 @@ def split_sentences(text: Column, language: Column, model: SentenceModel) -> Col
     def cut(held: Column) -> Column:
         flags = F.zip_with(held, F.slice(held, F.lit(2), F.size(held)), ends)
         places = F.filter(F.transform(flags, lambda flag, i: F.when(flag, i + 1)), lambda place: place.isNotNull())
-        cuts = let(F.struct(held.alias("tokens"), places.alias("places")), joined)
+        cuts = let(F.struct(held.alias("segments"), places.alias("places")), joined)
         return F.when(F.size(held) > 0, cuts).otherwise(F.array().cast("array<string>"))
 
     def joined(both: Column) -> Column:
         def sentence(end: Column, k: Column) -> Column:
             before = F.coalesce(F.get(both["places"], k - 1), F.lit(0))
-            return strip_blanks(F.array_join(F.slice(both["tokens"], before + 1, end - before), ""))
+            whole = F.array_join(F.slice(both["segments"], before + 1, end - before), "")
+            return let(whole, lambda one: F.when(ends_with_any(one, LINE_ENDS), strip_blanks(one)).otherwise(without_end(one)))
 
         return F.transform(both["places"], sentence)
 
-    return let(tokens, cut)
+    return let(segments_of(text), cut)

@@ -85,6 +85,23 @@ def test_chunks_of_learnt_sentences(spark, trained):
     assert [row.text for row in found] == [" ".join(fresh[i : i + 10]) for i in range(0, 25, 10)]
 
 
+def test_only_tokens_with_a_mark_are_looked_at(spark):
+    """A segment holds all tokens up to one that may end a sentence."""
+    text = " Wort" * 5_000 + " Dr. Meier!\n Das " + "und so weiter " * 5_000 + "v2.0 "
+    row = spark.createDataFrame([(text,)], "text string").select(sentences.segments_of(F.col("text")).alias("s")).first()
+    assert len(row.s) == 3 and "".join(row.s) == text.strip() and row.s[1] == "Meier!\n "
+
+
+def test_odd_blanks_and_ends_of_lines(spark):
+    plain = sentences.SentenceModel({}, {})
+    cases = {
+        "\fAb.\r\nDa. \u2028": ["Ab.", "Da.\u2028"], "Ab. \x85\r\n": ["Ab.", "\x85"], "a\vb. c": ["a\vb.", "c"], "Ab? \t\f ": ["Ab?"],
+        "Ab.“\n„Da!" : ["Ab.“", "„Da!"], "…a? b": ["…a?", "b"],
+    }
+    for text, want in cases.items():
+        assert split(spark, plain, text) == want
+
+
 def test_tasks_count_before_the_shuffle(spark, monkeypatch):
     """Each task hands on a token once, or a bounded table of them at a time, with the same sums."""
     rows = [("de", "Ab a. b\va \x85"), (None, "a. a. b"), ("de", None), ("en", ""), ("de", "a. c \u2028")] * 50
