@@ -71,6 +71,22 @@ def test_same_without_broadcast(spark, sf_dir, limit, monkeypatch):
     assert right >= 0.95 * sum(row.n_docs for row in rows)
 
 
+def test_trigrams_are_scored_where_they_are_read(spark, monkeypatch):
+    """No row per trigram; the same languages as by a join, over windows' edges and for letters of many scripts."""
+    profiles = audit.train_profiles(spark.createDataFrame(TEXTS, SCHEMA))
+    odd = ["", "a", "ÉTÉ İSTANBUL ΑΣ ß", "Το σπίτι", "дом the", "日本 der", "x\u0301y", "1a2", "😀 und"]
+    texts = [(n, None, f"{one} {text} {two}") for n, (one, two) in enumerate((a, b) for a in odd for b in odd) for _, _, text in TEXTS[n % 4 :][:1]]
+    rows = spark.createDataFrame(texts + [(n + 1000, None, one) for n, one in enumerate(odd)], SCHEMA)
+    found = audit.detect_language(rows, profiles)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    joined = audit.detect_language(rows, audit.LanguageProfiles(profiles.languages, profiles.grams))
+    want = sorted(map(tuple, joined.collect()))
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(audit, "WINDOW", 7)
+    monkeypatch.setattr(audit, "CELLS", 0)
+    assert sorted(map(tuple, audit.detect_language(rows, profiles).collect())) == want
+
+
 def test_wrong_claims_stand_out(spark):
     rows = [(n, language, text) for n, (_, language, text) in enumerate(TEXTS * 5)] + [(99, "en", TEXTS[1][2])]
     found = audit.language_audit(spark.createDataFrame(rows, SCHEMA))
