@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ BUCKET_TOKENS = 4_000_000
 #: Linear work of a layer goes with 12 times its squared width, attention with twice
 #: its width, which gives 6 * width to 1; the width here is 768.
 LINEAR, QUADRATIC = 6 * 768.0, 1.0
-#: Distinct space-separated pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct runs of plain text, and other space-separated pieces, whose ids a worker remembers.
+REMEMBERED_RUNS, REMEMBERED = 500_000, 100_000
 #: Special tokens of the vocabulary, which may hold for whole texts only.
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -32,6 +33,11 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: runs: letters, single digits, and the rest, as the vocabulary's pattern has it.
 PLAIN = re.compile("[!-&(-~\u00a1-\u00ff]+")
 RUNS = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+#: The same over whole texts, whose white space is left out; texts of such chunks alone, and the chunks that are not plain.
+SPACES = " \t-\r"
+TEXT_RUNS = re.compile(RUNS.pattern.replace("[^a-z", f"[^{SPACES}a-z"))
+PLAIN_TEXT = re.compile(f"[{SPACES}{PLAIN.pattern[1:-2]}]*+")
+HARD = re.compile(f"(?<![^{SPACES}])({PLAIN.pattern[:-1]}*+[^{SPACES}{PLAIN.pattern[1:-2]}][^{SPACES}]*+)")
 
 PIECES = (
     "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -46,59 +52,62 @@ def byte_letters() -> list[str]:
     return [chr(byte) if byte in own else chr(next(rest)) for byte in range(256)]
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of whole texts as uint32.
 
-    The vocabulary's pre-tokenizer never joins over ASCII space, so each chunk between
-    spaces is encoded once and remembered. Latin-1 chunks without apostrophe are taken
-    apart here by the same rules (normal form and lower case are plain there) and ask
-    the vocabulary's model for each new run; others go through the whole tokenizer, as
-    do texts that hold a special token.
+    The vocabulary's pre-tokenizer never joins over ASCII space. Latin-1 text without
+    apostrophe is taken apart here by the same rules (normal form and lower case are plain
+    there); each new run asks the vocabulary's model once and is remembered. Other chunks between spaces go
+    through the whole tokenizer once, as do texts that hold a special token.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     model, letters = tokenizer.model, "".join(byte_letters())
-    chunks: dict[bytes, bytes] = {}
+    chunks: dict[str, bytes] = {}
     runs: dict[str, bytes] = {}
 
     def of_run(run: str) -> bytes:
-        found = model.tokenize(run.encode().decode("latin-1").translate(letters))
-        return np.array([token.id for token in found], "<u4").tobytes()
-
-    def learn(new: set[bytes]) -> None:
-        make_room(chunks, REMEMBERED)
-        make_room(runs, REMEMBERED)
-        hard = []
-        for chunk in new:
-            text = chunk.decode()
-            if PLAIN.fullmatch(text):
-                parts = []
-                for run in RUNS.findall(text.lower()):
-                    ids = runs.get(run)
-                    if ids is None:
-                        ids = runs[run] = of_run(run)
-                    parts.append(ids)
-                chunks[chunk] = b"".join(parts)
-            else:
-                hard.append(text)
-        for text, one in zip(hard, tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
-            chunks[text.encode()] = np.array(one.ids, "<u4").tobytes()
+        # ASCII letters stand for themselves.
+        word = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
+        return pack_ids([token.id for token in model.tokenize(word)])
+
+    def learn_runs(new: set[str]) -> dict[str, bytes]:
+        return {run: of_run(run) for run in new}
+
+    def learn_chunks(new: set[str]) -> dict[str, bytes]:
+        encoded = tokenizer.encode_batch_fast([*new], add_special_tokens=False)
+        return {chunk: pack_ids(one.ids) for chunk, one in zip(new, encoded)}
+
+    def ids_of(known: dict[str, bytes], size: int, learn: Callable[[set[str]], dict[str, bytes]], pieces: list[str]) -> list[bytes]:
+        found = [*map(known.get, pieces)]
+        if None in found:
+            missing = [n for n, ids in enumerate(found) if ids is None]
+            make_room(known, size)
+            known.update(learn({pieces[n] for n in missing}))
+            for n in missing:
+                found[n] = known[pieces[n]]
+        return found
+
+    def plain_ids(text: str) -> bytes:
+        return b"".join(ids_of(runs, REMEMBERED_RUNS, learn_runs, TEXT_RUNS.findall(text.lower())))
 
     def encode(text: str) -> np.ndarray:
         if "<|" in text and any(token in text for token in SPECIAL):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        pieces = text.encode().split()
-        try:
-            parts = [*map(chunks.__getitem__, pieces)]
-        except KeyError:
-            learn({piece for piece in pieces if piece not in chunks})
-            try:
-                parts = [chunks[piece] for piece in pieces]
-            except KeyError:  # some were forgotten to make room
-                learn(set(pieces))
-                parts = [chunks[piece] for piece in pieces]
-        return np.frombuffer(b"".join(parts), "<u4")
+        if PLAIN_TEXT.fullmatch(text):
+            return np.frombuffer(plain_ids(text), "<u4")
+        # Every second part is a chunk that is not plain.
+        parts = HARD.split(text)
+        hard = ids_of(chunks, REMEMBERED, learn_chunks, parts[1::2])
+        found = [plain_ids(parts[0])]
+        for chunk, part in zip(hard, parts[2::2]):
+            found += (chunk, plain_ids(part))
+        return np.frombuffer(b"".join(found), "<u4")
 
     return encode
 

@@ -201,6 +201,37 @@ def test_encoder_is_the_tokenizer():
         assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_asks_the_vocabulary_once_per_run(monkeypatch):
+    """Words that differ in capitals and marks around them share a run; texts of odd and plain chunks are whole."""
+    import tokenizers
+
+    path, asked = vocabulary(), []
+    real = tokenizers.Tokenizer.from_file(path)
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return real.model.tokenize(word)
+
+    class Asked:
+        model = Model()
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda _: Asked())}))
+    encode = packing.encoder(path)
+    texts = ["Haus, haus. (HAUS) haus!", "haus 12 don't\tHaus", "\x85a \xa0 b\x1c", "don't haus. 你 好", "x" * 50_000 + "'s y", "\v\fHaus"]
+    for text in [*texts, "", " ", *texts]:
+        assert list(encode(text)) == real.encode(text, add_special_tokens=False).ids
+    assert asked.count("haus") == 1 and "haus," not in asked and len(asked) == len(set(asked))
+    monkeypatch.setattr(packing, "REMEMBERED_RUNS", 2)
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    for text in texts * 2:  # some are forgotten to make room
+        assert list(encode(text)) == real.encode(text, add_special_tokens=False).ids
+
+
 def test_balanced_takes_the_cheapest_and_wastes_less_than_a_sequence():
     rng = random.Random(6)
     lengths = [rng.randint(1, 300) for _ in range(200)]
