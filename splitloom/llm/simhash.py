@@ -9,7 +9,8 @@ spells out the rest of them. That is the same set of variants with far fewer row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,8 +25,8 @@ from splitloom.llm.components import component_roots
 
 BITS = 64
 SEED = 42
-#: Hashes whose bits are counted at once.
-FLUSH = 150_000
+#: Hashes that are gathered before their bits are counted, and whose bits are spelt out at once.
+FLUSH, COUNTED_AT_ONCE = 32_000, 8_000
 #: Variants that a cell sorts at once.
 SORT_AT_ONCE = 2_000_000
 
@@ -43,15 +44,24 @@ def shingle_hashes(text: str, words_each: int) -> list[int]:
     return [xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])]
 
 
-def majority_bits(hashes: list[int], sizes: list[int]) -> np.ndarray:
-    """One word per run of hashes: the bits that over half of the run have set."""
+def majority_bits(hashes: Sequence[int], sizes: list[int]) -> np.ndarray:
+    """One word per run of hashes: the bits that over half of the run have set.
+
+    Bits take 64 bytes a hash and more, so they are counted block by block; a run may span blocks.
+    """
     out = np.zeros(len(sizes), np.uint64)
     runs = np.asarray(sizes)
     full = np.flatnonzero(runs)
     if len(full):
-        raw = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
-        starts = np.concatenate(([0], np.cumsum(runs[full])[:-1]))
-        counts = np.add.reduceat(np.unpackbits(raw, axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
+        words = np.asarray(hashes, np.uint64)
+        ends = np.cumsum(runs[full])
+        starts = ends - runs[full]
+        counts = np.zeros((len(full), BITS), np.int64)
+        for low in range(0, len(words), COUNTED_AT_ONCE):
+            block = words[low : low + COUNTED_AT_ONCE]
+            some = slice(np.searchsorted(ends, low, "right"), np.searchsorted(starts, low + len(block)))
+            bits = np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[some] += np.add.reduceat(bits, np.maximum(starts[some] - low, 0), axis=0, dtype=np.int32)
         bits = 2 * counts > runs[full][:, None]
         out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
@@ -63,14 +73,14 @@ def fingerprint_column(text: Column, words_each: int = 4) -> Column:
     @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            done, hashes, sizes = [], [], []
+            done, hashes, sizes = [], array("Q"), []
             for value in texts:
                 own = shingle_hashes(value.as_py() or "", words_each)
-                hashes += own
+                hashes.extend(own)
                 sizes.append(len(own))
                 if len(hashes) >= FLUSH:
                     done.append(majority_bits(hashes, sizes))
-                    hashes, sizes = [], []
+                    hashes, sizes = array("Q"), []
             done.append(majority_bits(hashes, sizes))
             yield pa.array(np.concatenate(done).view(np.int64))
 

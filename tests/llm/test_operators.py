@@ -9,6 +9,7 @@ import io
 import json
 import math
 import random
+import tracemalloc
 import zipfile
 import zlib
 
@@ -75,6 +76,30 @@ def test_simhash_fingerprints_and_classes(spark):
     assert empty == {min(i for i, t in texts if not t.split() and i is not None)}
 
 
+def peak_mb(run) -> tuple[float, float]:
+    """MB that Python and numpy hold at most, and at the end, while a function runs."""
+    tracemalloc.start()
+    run()
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return peak / 1e6, now / 1e6
+
+
+def test_bits_are_counted_block_by_block(monkeypatch):
+    """Runs that span blocks count whole, and a long run takes no more memory than a block."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 64, 300_000, dtype=np.uint64)
+    got = []
+    assert peak_mb(lambda: got.append(simhash.majority_bits(hashes, [200_000, 0, 100_000])))[0] < 10
+    for word, own in zip(got[0], (hashes[:200_000], hashes[:0], hashes[200_000:])):
+        assert int(word) == sum(1 << b for b in range(64) if 2 * int((own >> np.uint64(b) & np.uint64(1)).sum()) > len(own))
+    sizes = [3, 0, 1, 20, 0, 7, 8, 9, 2]
+    whole = simhash.majority_bits(hashes[: sum(sizes)], sizes)
+    for block in (1, 4, 8):
+        monkeypatch.setattr(simhash, "COUNTED_AT_ONCE", block)
+        assert (simhash.majority_bits(hashes[: sum(sizes)], sizes) == whole).all()
+
+
 def test_ball_links_are_whole(spark):
     rng = random.Random(5)
     words = [rng.getrandbits(64) for _ in range(60)]
@@ -232,6 +257,23 @@ def test_encoder_asks_the_vocabulary_once_per_run(monkeypatch):
         assert list(encode(text)) == real.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_remembers_little():
+    """A worker keeps its encoder over other stages, so that it may hold little, however many words there are."""
+    from tokenizers import Tokenizer
+
+    tokenizer, encode, rng = Tokenizer.from_file(vocabulary()), packing.encoder(vocabulary()), random.Random(8)
+
+    def run():
+        for n in range(300):
+            text = " ".join("".join(rng.choices("abcdefgh", k=10)) for _ in range(1_000))
+            ids = encode(text)
+            if n % 100 == 99:
+                assert list(ids) == tokenizer.encode(text, add_special_tokens=False).ids
+
+    peak, held = peak_mb(run)
+    assert peak < 25 and held < 25
+
+
 def test_balanced_takes_the_cheapest_and_wastes_less_than_a_sequence():
     rng = random.Random(6)
     lengths = [rng.randint(1, 300) for _ in range(200)]
