@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable
 from itertools import islice
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +48,38 @@ def words_of(text: Column) -> Column:
 
 def per_worker(name: str, make: Callable[[], object]) -> object:
     """What a worker process makes once and keeps over its tasks, also where functions travel with them."""
-    store = vars(sys.modules.setdefault("splitloom_made_once", ModuleType("splitloom_made_once")))
+    store = _made_once()
     if name not in store:
+        clear_worker()
         store[name] = make()
     return store[name]
 
 
+def clear_worker() -> None:
+    """Drop what earlier steps have made in this worker process, and give back the memory that is free.
+
+    A worker lives on over the stages of a job, so a step would hold another's tables beside its own.
+    """
+    store = _made_once()
+    if store:
+        store.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system, which an idle worker would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def _made_once() -> dict[str, object]:
+    module = sys.modules.setdefault("splitloom_made_once", ModuleType("splitloom_made_once"))
+    return module.__dict__.setdefault("store", {})
+
+
 def make_room(remembered: dict, size: int) -> None:
     """Once it is full, a worker forgets the oldest of what it remembers, down to half the size."""
     if len(remembered) >= size:

@@ -25,7 +25,7 @@ BUCKET_TOKENS = 4_000_000
 #: its width, which gives 6 * width to 1; the width here is 768.
 LINEAR, QUADRATIC = 6 * 768.0, 1.0
 #: Distinct runs of plain text, and other space-separated pieces, whose ids a worker remembers. It lives on in other
-#: stages with what it remembers: 48 MB at most with runs of ten letters, 68 with 500,000 of them; a run not remembered costs 5 microseconds.
+#: stages with what it remembers, until another step needs the room: 48 MB at most with runs of ten letters, 68 with 500,000 of them; a run not remembered costs 5 microseconds.
 REMEMBERED_RUNS, REMEMBERED = 300_000, 100_000
 #: Pieces that are given back at once.
 PIECES_AT_ONCE = 1_000

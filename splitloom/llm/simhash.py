@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.llm.common import kept, texts_of
+from splitloom.llm.common import clear_worker, give_back, kept, texts_of
 from splitloom.llm.components import component_roots
 
 BITS = 64
@@ -70,19 +70,23 @@ def majority_bits(hashes: Sequence[int], sizes: list[int]) -> np.ndarray:
 def fingerprint_column(text: Column, words_each: int = 4) -> Column:
     """The fingerprint of whole texts as a long; no words give zero."""
 
+    def words(texts: pa.Array) -> pa.Array:
+        done, hashes, sizes = [], array("Q"), []
+        for value in texts:
+            own = shingle_hashes(value.as_py() or "", words_each)
+            hashes.extend(own)
+            sizes.append(len(own))
+            if len(hashes) >= FLUSH:
+                done.append(majority_bits(hashes, sizes))
+                hashes, sizes = array("Q"), []
+        done.append(majority_bits(hashes, sizes))
+        return pa.array(np.concatenate(done).view(np.int64))
+
     @F.arrow_udf("long")
     def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            done, hashes, sizes = [], array("Q"), []
-            for value in texts:
-                own = shingle_hashes(value.as_py() or "", words_each)
-                hashes.extend(own)
-                sizes.append(len(own))
-                if len(hashes) >= FLUSH:
-                    done.append(majority_bits(hashes, sizes))
-                    hashes, sizes = array("Q"), []
-            done.append(majority_bits(hashes, sizes))
-            yield pa.array(np.concatenate(done).view(np.int64))
+        clear_worker()
+        yield from map(words, batches)
+        give_back()
 
     return fingerprint(text)
 

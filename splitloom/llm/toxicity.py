@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.llm.common import id_bucket, kept, texts_of
+from splitloom.llm.common import clear_worker, give_back, id_bucket, kept, texts_of
 
 #: Bounds of the fitting sample: confirmed documents, and unlabelled ones.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -144,6 +144,7 @@ def _sample(ids: DataFrame, most: int) -> DataFrame:
 
 def _featurised(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clear_worker()
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             found = [np.array(sorted(document_features(t, known)), np.int32) for t in batch["text"]]
@@ -170,8 +171,10 @@ def fit_sample(sample: DataFrame, prior: float) -> Model:
     copies = near_copies(np.array(signs["hashes"].tolist(), np.int64).reshape(len(signs), HASHES))
     dropped = sorted(set(signs["doc_id"][copies]) - set(signs["doc_id"][~copies]))
     if dropped:
-        # At most as many ids as confirmed documents in the sample.
-        gone = sample.sparkSession.createDataFrame([(x, True) for x in dropped], "doc_id string, confirmed boolean")
+        # At most as many ids as confirmed documents in the sample. From a list of rows, executors would start a
+        # second kind of Python workers, whose daemon stays.
+        gone = pa.table({"doc_id": pa.array(dropped, pa.string()), "confirmed": pa.array([True] * len(dropped))})
+        gone = sample.sparkSession.createDataFrame(gone, "doc_id string, confirmed boolean")
         sample = sample.join(F.broadcast(gone), ["doc_id", "confirmed"], "left_anti")
     sizes = {row.confirmed: row["count"] for row in sample.groupBy("confirmed").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
@@ -219,9 +222,13 @@ def score_column(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        clear_worker()
         known: dict[str, tuple[int, ...]] = {}
         for texts in batches:
             yield pa.array([model.score(value.as_py() or "", known) for value in texts], pa.float64())
+        texts = None
+        known.clear()
+        give_back()
 
     return score(text)
 

@@ -10,15 +10,17 @@ import json
 import math
 import random
 import tracemalloc
+import weakref
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from splitloom.llm import bottomk, ctw, mixing, neighbours, packing, secrets, sharding, simhash, toxicity, warczip
+from splitloom.llm import bottomk, common, ctw, mixing, neighbours, packing, secrets, sharding, simhash, toxicity, warczip
 from splitloom.llm.components import component_roots
 from splitloom.llm.queries import vocabulary
 
@@ -274,6 +276,49 @@ def test_encoder_remembers_little():
     assert peak < 55 and held < 55
 
 
+def test_a_worker_keeps_the_tables_of_one_step():
+    """Beside the texts of the next step, an encoder would take 80 MB of each worker."""
+    class Table:
+        pass
+
+    kept = [weakref.ref(common.per_worker(name, Table)) for name in ("one", "one", "two")]
+    assert kept[0]() is None and kept[2]() is common.per_worker("two", Table)
+    common.clear_worker()
+    assert kept[2]() is None
+
+
+@pytest.mark.parametrize("step", [lambda text: simhash.fingerprint_column(text), lambda text: toxicity.score_column(text, toxicity.Model({}, 0.0))])
+def test_steps_drop_what_workers_hold(spark, step):
+    def holding(batches):
+        common.per_worker("test", lambda: [0])
+        yield from batches
+
+    def asked(batches):
+        held = "test" in common._made_once()
+        yield from (batch.append_column("held", pa.array([held] * len(batch))) for batch in batches)
+
+    docs = spark.createDataFrame([(i, "some words") for i in range(8)], "doc_id long, text string").coalesce(1).cache()
+    docs.mapInArrow(holding, docs.schema).count()
+    for _ in range(20):
+        docs.select(step(docs.text)).collect()
+    held = [docs.mapInArrow(asked, "doc_id long, text string, held boolean").where("held").count() for _ in range(20)]
+    assert held == [0] * 20
+
+
+def test_copies_are_left_out_without_more_workers(spark, monkeypatch):
+    """Rows of a list would go through Python workers of another kind, beside those that steps use."""
+    rows = [(str(i), i < 4, [1, 2 + i % 3], [i // 2 if i < 4 else i] * 16) for i in range(8)]
+    sample = spark.createDataFrame(rows, "doc_id string, confirmed boolean, features array<int>, hashes array<long>").cache()
+    sample.count()
+
+    def refused(*_, **__):
+        raise AssertionError("a list became an RDD")
+
+    want = toxicity.fit_sample(sample.where("doc_id NOT IN ('1', '3')"), 0.3)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert toxicity.fit_sample(sample, 0.3) == want
+
+
 def test_balanced_takes_the_cheapest_and_wastes_less_than_a_sequence():
     rng = random.Random(6)
     lengths = [rng.randint(1, 300) for _ in range(200)]
