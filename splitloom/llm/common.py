@@ -52,6 +52,7 @@ def per_worker(name: str, make: Callable[[], object]) -> object:
     if name not in store:
         clear_worker()
         store[name] = make()
+        give_back()
     return store[name]
 
 
