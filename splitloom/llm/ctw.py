@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitloom.llm.common import kept
+from splitloom.llm.common import give_back, kept
 
 #: Context bytes; a string of context and next byte fits a long.
 DEPTH = 5
@@ -119,7 +119,8 @@ def count_strings(docs: DataFrame) -> DataFrame:
             nonlocal size
             for block, own in state.items():
                 own.condense()
-                whole = batch_of(block, own.grams, list(own.words), [own.n, list(own.words.values())])
+                words = sorted(own.words)  # as the strings are: runs in order are cheap to shuffle and to sort
+                whole = batch_of(block, own.grams, words, [own.n, [*map(own.words.__getitem__, words)]])
                 for at in range(0, len(whole), 100_000):
                     yield whole.slice(at, 100_000)
             state.clear()
@@ -134,10 +135,20 @@ def count_strings(docs: DataFrame) -> DataFrame:
                 if size > HELD_STRINGS:
                     yield from flush()
         yield from flush()
+        give_back()
 
     return docs.select("block", "train", "text").mapInArrow(run, COUNTS)
 
 
+def gathered(counts: DataFrame) -> DataFrame:
+    """(gram or word, n, blocks): each string once, with its count in training rows and the blocks that hold it.
+
+    Blocks come in few parts, so adding up before the shuffle would save little; no list is longer than there are blocks.
+    """
+    blocks = F.array_distinct(F.collect_list("block"))
+    return counts.repartition("gram", "word").groupBy("gram", "word").agg(F.sum("n").alias("n"), blocks.alias("blocks"))
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after eight steps of the recurrence."""
     steps = sum(np.log(x + n) for n in range(8))
@@ -256,9 +267,9 @@ def string_probabilities(counts: DataFrame) -> DataFrame:
 
     Strings with n = 0 are not learnt from, only asked for. A context that was never
     seen has no node; the mix then ends at the deepest that was. A task holds the
-    strings of one pair of nearest bytes.
+    strings of one pair of nearest bytes. The counts are read twice, so they should be stored.
     """
-    strings = kept(counts, "ctw-strings").withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+    strings = counts.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
     crown = _crown(strings)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
@@ -326,17 +337,14 @@ def score(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     rows = docs.select("doc_id", "text", "train", "block")
-    counted = kept(count_strings(rows), "ctw-counts")
-    grams = counted.where("gram IS NOT NULL").select("block", "gram", "n")
-    words = counted.where("gram IS NULL").select("block", "word", "n")
-    values = string_probabilities(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    known = kept(words.groupBy("word").agg(F.sum("n").alias("c")), "ctw-words")
-    sums = known.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    strings = kept(gathered(count_strings(rows)), "ctw-strings")
+    grams, words = strings.where("gram IS NOT NULL"), strings.where("gram IS NULL")
+    sums = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     total, distinct = int(sums.n or 0), int(sums.v or 0)
-    asked = grams.select("block", "gram").join(values, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    named = words.select("block", "word").join(known, "word").select(
-        "block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")
-    )
+    values = string_probabilities(grams.select("gram", "n"))
+    block = F.explode("blocks").alias("block")
+    asked = grams.select("gram", "blocks").join(values, "gram").select(block, "gram", F.lit(None).cast("binary").alias("word"), "value")
+    named = words.select(block, "gram", "word", F.col("n").cast("double").alias("value"))
     answers = asked.unionByName(named)
     id_type = rows.schema["doc_id"].dataType
     schema = SCORES.format(id=id_type.simpleString())
